@@ -1,23 +1,57 @@
 """The corpus pipeline: toxicity, near duplicates, benchmark passages, mixing, token files.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage but the last returns the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage but the last returns the columns of documents,
+and works on all that the stage before it kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import jaccard
-from sparkloom.llm.shared import written
+from sparkloom.llm import decontaminate, jaccard, mixing, token_output, toxicity
+from sparkloom.llm.shared import new_path, written
+from sparkloom.llm.tokenize import vocabulary
+
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learnt from the labels of these documents, does not reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one with the least id."""
+    """One document of each class of near copies: the one with the least id."""
     return jaccard.keep_one(docs)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them, in training order."""
+    return mixing.training_order(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents; what they hold, read back."""
+    path = new_path(spark, "tokens")
+    token_output.write_tokens(docs, path, vocabulary(TOKENIZER), END_ID, ("lang", "source"))
+    return token_output.digest(spark, path)
+
+
+STAGES = [
+    ("toxicity", not_toxic),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", no_benchmark),
+    ("source_mixing", mix),
+    ("token_output", tokens),
+]
 
+#: The toxicity model and the tokenizer can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

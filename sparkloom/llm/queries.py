@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, token_count, token_output
+from . import chat, decontaminate, jaccard, linededup, mixing, quality, token_count, token_output, toxicity, urls
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -25,14 +25,87 @@ with recursive w as (select doc_id, {WORDS.format(LOWER)} as w from documents)
 select s.doc_id, len(s.g)::bigint as n_shingles, coalesce(c.component_id, s.doc_id) as component_id from s left join c using (doc_id)
 """
 
+OP3_SQL = rf"""
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents where text is not null)
+, w as (select *, {WORDS.format('line')} as ws from l where regexp_matches(line, '[^\x20\x09-\x0D]'))
+, f as (select array_to_string(ws, ' ') as norm, any_value(ws) as ws, len(any_value(ws)) as n, min((doc_id, line_no)) as first from w group by 1)
+, g as (select * from f where n >= 5)
+, d as (select norm, n, first, i, array_to_string(list_concat(ws[:i - 1], ws[i + 1:]), ' ') as s from (select *, unnest(range(1, n + 1)) as i from g))
+, m as (select s, i, n, min(first) as of from d group by all)
+, p as (select d.first as first, m.of as of from d join m using (s, i, n) where m.of < d.first
+        union all select g.first, d.first from g join d on g.norm = d.s where d.first < g.first
+        union all select d.first, g.first from d join g on g.norm = d.s where g.first < d.first)
+, near as (select first, min(of) as of from p group by first)
+, gone as (select w.doc_id, w.line_no from w join f on f.norm = array_to_string(w.ws, ' ') left join near using (first)
+           where near.of is not null or f.first < (w.doc_id, w.line_no))
+, kept as (select l.doc_id, string_agg(l.line, chr(10) order by l.line_no) as text from l left join gone using (doc_id, line_no) where gone.doc_id is null group by 1)
+, n as (select doc_id, count(*) as n_dropped from gone group by 1)
+select d.doc_id, coalesce(n.n_dropped, 0)::bigint as n_dropped, case when d.text is not null then length(coalesce(kept.text, '')) end::bigint as kept_chars,
+       case when d.text is not null then md5(coalesce(kept.text, '')) end as kept_md5
+from documents d left join kept using (doc_id) left join n using (doc_id)
+"""
+
+STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+MEASURES = {"n_words": ("n_words", "1"), "mean_word_chars": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "stop_word_ratio": ("n_stop", "n_words")}
+VERDICT = " and ".join(f"{MEASURES[m][0]} {op} {MEASURES[m][1]} * {x}::double" for m, lo, hi in quality.RULES for op, x in ((">=", lo), ("<=", hi)) if x is not None)
+
+OP4_SQL = rf"""
+with t as (select doc_id, coalesce(text, '') as text from documents)
+, w as (select doc_id, text, {WORDS.format('text')} as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from t)
+, g as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as x from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w))
+, r as (select doc_id, count(distinct k) as n from (select doc_id, unnest(range(i, i + 5)) as k from (select *, count(*) over (partition by doc_id, x) as c from g) where c > 1) group by 1)
+, m as (select w.doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(ls) as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
+        coalesce(r.n, 0)::bigint as n_repeat_words, len(list_filter(w, lambda x: lower(trim(x, '.,;:!?')) in ({STOPS}))) as n_stop from w left join r using (doc_id))
+, b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {VERDICT} as kept from b
+"""
+
+OP7_SQL = rf"""
+with d as (select doc_id, source, coalesce(len({WORDS.format('text')}), 0)::bigint as size, coalesce(md5(doc_id::varchar), '') as k, md5(coalesce(text, '')) as tie from documents)
+, s as (select source, sum(size)::bigint as source_size from d group by 1)
+, w as (select *, [1, 2, 3][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight, [-0.8, 0.0, 0.8][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as slope, 3 * source_size as cap from s)
+, c as (select *, coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0) as before_cap, sum(weight) over (o rows between current row and unbounded following) as from_weight,
+        sum(source_size) over () as total from w window o as (order by cap::double / weight, source nulls last))
+, v as (select *, (total - before_cap)::double / from_weight::double as level0 from c)
+, t as (select source, source_size, slope, least((select coalesce(min_by(level0, (cap::double / weight, source is null, source)), 0.0) from v where level0 * weight <= cap) * weight, cap::double) as target from v)
+, p as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as passes from t)
+, q as (select *, floor(target)::bigint - passes * source_size as rest from p)
+, x as (select d.*, q.source_size, q.target, q.slope, q.passes, q.rest, (coalesce(sum(d.size) over (partition by d.source order by k, d.doc_id nulls first, size, tie rows between unbounded preceding and 1 preceding), 0))::bigint as before from d join q on d.source is not distinct from q.source)
+, y as (select *, before + size <= rest as front from x)
+, z as (select *, rest - coalesce(sum(case when front then size end) over (partition by source), 0) as missing from y)
+, f as (select *, row_number() over (partition by source, not front and abs(missing - size) < missing order by abs(missing - size), k, doc_id, size, tie, before) as nth from z)
+, a as (select *, case when size = 0 then 0 else passes + case when front or (abs(missing - size) < missing and nth = 1) then 1 else 0 end end as copies from f)
+select doc_id, size, source_size, target, (copies * size)::bigint as taken,
+       case when copies > 0 then case when slope = 0 then least(1.0, before / target) else (-(1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * least(1.0, before / target))) / (2 * slope) + 0.0 end end as position
+from a
+"""
+
+ESCAPED = r"length({0}) + length({0}) - length(replace(replace(replace({0}, '\', ''), '<', ''), '[', ''))"
+OP8_SQL = rf"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+, a as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as said,
+        coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls first, role, text), '') as loss,
+        sum({ESCAPED.format('role')} + {ESCAPED.format('text')} + {len(chat.TURN) + len(chat.END) + 1}) as formatted_chars from t group by 1)
+select conv_id, n_turns::bigint as n_turns, sha256(said) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars::bigint as formatted_chars from a
+"""
+
 
 def queries() -> dict:
     return {
         "op1_token_output": token_output.op1_token_output,
         "op2_ngram_jaccard_join": jaccard.op2_ngram_jaccard_join,
+        "op3_line_dedup": linededup.op3_line_dedup,
+        "op4_quality_rules": quality.op4_quality_rules,
+        "op5_toxicity": toxicity.op5_toxicity,
+        "op6_benchmark_decontamination": decontaminate.op6_benchmark_decontamination,
+        "op7_source_mixing": mixing.op7_source_mixing,
+        "op8_chat_formatting": chat.op8_chat_formatting,
+        "op9_url_filters": urls.op9_url_filters,
         "op10_token_count": token_count.op10_token_count,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_source_mixing": OP7_SQL, "op8_chat_formatting": OP8_SQL}
