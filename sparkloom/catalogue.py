@@ -2,17 +2,686 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions import binary, codecs, text, validate
+from .functions.expr import COUNT, HEX, MAX, MIN, SUM, cond, expr, func, null, this
+from .operators import dml, groups, move, nested
+from .operators.segments import Lines
+from .operators.table import SHARD, DataBase, Table
+from .plans.prepared import Prepared, template
+from .plans.spec import group
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def frame(self, name: str) -> DataFrame:
+        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+
+    def __getattr__(self, name: str) -> Table:
+        return Table(self.frame(name))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.where(F.col("o_totalprice") > 1000).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    orders = Tables(spark, sf_dir).orders
+    return orders["o_orderstatus", COUNT("*").rename("n"), func("round")(SUM(this("o_totalprice")), 2).rename("total"), this("o_totalprice") > 1000, :10 : (group("o_orderstatus"), "o_orderstatus")]
+
+
+# projections and expressions
+
+
+@query("select * from nation")
+def select_all_visible(s, d):
+    return Table(Tables(s, d).frame("nation").withColumn("_hidden", F.lit(1)))[::]
+
+
+@query("select c_custkey, c_name, c_acctbal from customer")
+def select_cols(s, d):
+    return Tables(s, d).customer["c_custkey", ("c_name", "c_acctbal"), ::]
+
+
+@query("select l_orderkey, l_linenumber, l_quantity * 2 + 1 as doubled, l_quantity - l_tax as less from lineitem")
+def select_alias_arith(s, d):
+    return Tables(s, d).lineitem["l_orderkey", "l_linenumber", (this("l_quantity") * 2 + 1).rename("doubled"), (this("l_quantity") - this("l_tax")).rename("less"), ::]
+
+
+@query("select l_orderkey, l_linenumber, l_quantity / nullif(l_discount, 0) as ratio from lineitem")
+def safe_divide(s, d):
+    return Tables(s, d).lineitem["l_orderkey", "l_linenumber", (this("l_quantity") / this("l_discount")).rename("ratio"), ::]
+
+
+@query("select o_orderkey, case when o_totalprice > 100000 then 'large' else 'small' end as size from orders")
+def if_expr(s, d):
+    return Tables(s, d).orders["o_orderkey", ((this("o_totalprice") > 100000) % ("large", "small")).rename("size"), ::]
+
+
+@query("select o_orderkey, cast(o_orderstatus = 'F' as int) as done from orders")
+def cond_as_value(s, d):
+    return Tables(s, d).orders["o_orderkey", (this("o_orderstatus") == "F").expr().rename("done"), ::]
+
+
+@query("select p_partkey, upper(p_name) as name from part")
+def func_by_name(s, d):
+    return Tables(s, d).part["p_partkey", func("upper")(this("p_name")).rename("name"), ::]
+
+
+@query("select c_custkey, cast(null as varchar) as nothing, 'none' as usual from customer")
+def default_null_markers(s, d):
+    c = Tables(s, d).frame("customer")
+    target = s.createDataFrame([], "c_custkey bigint, nothing string, usual string")
+    return dml.aligned(c.select("c_custkey"), target, {"usual": "none", "nothing": null()})
+
+
+@query("select o_orderkey from orders where o_totalprice > 150000")
+def param_var(s, d):
+    s.sql("declare or replace variable least_price double default 150000")
+    return Tables(s, d).orders["o_orderkey", cond("o_totalprice > session.least_price"), ::]
+
+
+@query("select n_nationkey, n_nationkey::varchar::blob = n_name::blob as same from nation")
+def binary_compare(s, d):
+    return Tables(s, d).nation["n_nationkey", (expr("cast(n_nationkey as string)").asbinary() == this("n_name").asbinary()).rename("same"), ::]
+
+
+# filters
+
+
+@query("select * from customer where c_mktsegment = 'BUILDING' and c_nationkey = 3")
+def where_eq_dict(s, d):
+    return Tables(s, d).customer[{"c_mktsegment": "BUILDING"}, {"c_nationkey": 3}, ::]
+
+
+@query(
+    "select count(*) filter (where l_quantity = 10) as eq, count(*) filter (where l_quantity <> 10) as ne, count(*) filter (where l_quantity > 10) as gt, count(*) filter (where l_quantity >= 10) as ge, count(*) filter (where l_quantity < 10) as lt, count(*) filter (where l_quantity <= 10) as le from lineitem"
+)
+def where_cmp_each(s, d):
+    q = this("l_quantity")
+    tests = {"eq": q == 10, "ne": q != 10, "gt": q > 10, "ge": q >= 10, "lt": q < 10, "le": q <= 10}
+    return Tables(s, d).lineitem[[COUNT(c % (1, None)).rename(n) for n, c in tests.items()], ::]
+
+
+def _nullable(s, d):
+    return Table(Tables(s, d).frame("orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("status")))
+
+
+@query("select o_orderkey, nullif(o_orderstatus, 'F') as status from orders where o_orderstatus = 'F'")
+def where_null(s, d):
+    return _nullable(s, d)[this("status") == null(), ::]
+
+
+@query("select o_orderkey, nullif(o_orderstatus, 'F') as status from orders where o_orderstatus <> 'F'")
+def where_not_null(s, d):
+    return _nullable(s, d)[this("status") != null(), ::]
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'O' and o_totalprice > 50000 and o_orderkey < 5000")
+def where_mixed(s, d):
+    return Tables(s, d).orders["o_orderkey", "o_totalprice", {"o_orderstatus": "O"}, this("o_totalprice") > 50000, this("o_orderkey") < 5000, ::]
+
+
+@query("select p_partkey, p_name from part where starts_with(p_type, 'S')")
+def prefix(s, d):
+    return Tables(s, d).part["p_partkey", "p_name", this("p_type").startswith("S"), ::]
+
+
+@query("select p_partkey from part where suffix(p_name, 'e')")
+def suffix(s, d):
+    return Tables(s, d).part["p_partkey", this("p_name").endswith("e"), ::]
+
+
+@query("select p_partkey from part where contains(p_name, 'an')")
+def substr(s, d):
+    return Tables(s, d).part["p_partkey", this("p_name").hassub("an"), ::]
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'P' or o_totalprice < 2000")
+def where_or_raw(s, d):
+    return Tables(s, d).orders["o_orderkey", cond("o_orderstatus = 'P' or o_totalprice < 2000"), ::]
+
+
+@query("select o_orderkey from orders where (o_orderstatus = 'P' or o_totalprice < 2000) and not o_orderkey < 100")
+def where_or_not(s, d):
+    return Tables(s, d).orders["o_orderkey", (this("o_orderstatus") == "P") | (this("o_totalprice") < 2000), ~(this("o_orderkey") < 100), ::]
+
+
+@query("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")
+def semi_in(s, d):
+    t = Tables(s, d)
+    return nested.subset(t.frame("customer").select("c_custkey"), t.orders["o_custkey", this("o_totalprice") > 300000, ::], ["c_custkey"])
+
+
+# order and pages
+
+
+@query("select o_orderkey, o_orderpriority, o_totalprice from orders order by o_orderpriority, o_totalprice desc, o_orderkey limit 100")
+def order_asc_desc(s, d):
+    return Tables(s, d).orders["o_orderkey", "o_orderpriority", "o_totalprice", :100 : ("o_orderpriority", "~o_totalprice", "o_orderkey")]
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")
+def topk(s, d):
+    return Tables(s, d).orders["o_orderkey", "o_totalprice", :20 : ("~o_totalprice", "o_orderkey")]
+
+
+@query("select o_orderkey from orders order by o_orderkey limit 25 offset 100")
+def offset_page(s, d):
+    return Tables(s, d).orders["o_orderkey", 100:25:("o_orderkey",)]
+
+
+@query("select count(*) as found_rows from orders where o_orderstatus = 'O'")
+def found_rows(s, d):
+    return Tables(s, d).orders.found_rows((({"o_orderstatus": "O"}), slice(0, 5, None)))
+
+
+# aggregates
+
+
+@query("select o_orderstatus, count(*) as n, min(o_totalprice) as low, max(o_totalprice) as high from orders group by 1")
+def group_count_minmax(s, d):
+    return Tables(s, d).orders["o_orderstatus", COUNT("*").rename("n"), MIN(this("o_totalprice")).rename("low"), MAX(this("o_totalprice")).rename("high"), :: group("o_orderstatus")]
+
+
+@query("select left(o_orderpriority, 1) as p, count(*) as n from orders group by 1")
+def group_expr(s, d):
+    p = this("o_orderpriority")[:1].rename("p")
+    return Tables(s, d).orders[p, COUNT("*").rename("n"), :: group(p)]
+
+
+@query("select count(*) as n from lineitem")
+def count_global(s, d):
+    return Tables(s, d).lineitem[COUNT("*").rename("n"), ::]
+
+
+@query("select l_returnflag, sum(case when l_quantity > 25 then 1 else 0 end)::bigint as large from lineitem group by 1")
+def cond_agg(s, d):
+    return Tables(s, d).lineitem["l_returnflag", SUM((this("l_quantity") > 25) % (1, 0)).rename("large"), :: group("l_returnflag")]
+
+
+@query("select c_nationkey, count(*) as n from customer group by 1 order by n desc, c_nationkey limit 10")
+def group_order(s, d):
+    return Tables(s, d).customer["c_nationkey", COUNT("*").rename("n"), :10 : (group("c_nationkey"), "~n", "c_nationkey")]
+
+
+@query("select c_mktsegment, round(avg(c_acctbal), 2) as mean from customer group by 1")
+def agg_by_name(s, d):
+    return Tables(s, d).customer["c_mktsegment", func("round")(func("avg")(this("c_acctbal")), 2).rename("mean"), :: group("c_mktsegment")]
+
+
+@query("select distinct o_orderstatus, o_orderpriority from orders")
+def distinct(s, d):
+    return Tables(s, d).orders[:: group("o_orderstatus", "o_orderpriority")]
+
+
+# shards
+
+
+def _shards(s, d, splitter=True):
+    o = Tables(s, d).frame("orders")
+    parts = {str(k): o.where(F.pmod("o_custkey", F.lit(4)) == k) for k in range(4)}
+    return Table(parts, ["o_orderkey"], splitter=(lambda r: [str(r["o_custkey"] % 4)] if "o_custkey" in r else list(parts)) if splitter else None)
+
+
+@query("select * from orders")
+def union_shards(s, d):
+    return _shards(s, d)[::]
+
+
+@query("select o_orderkey, o_custkey from orders where o_custkey = 37")
+def shard_prune(s, d):
+    return _shards(s, d)["o_orderkey", "o_custkey", {"o_custkey": 37}, ::]
+
+
+@query("select o_orderkey, (o_custkey % 4)::varchar as shard from orders where o_custkey % 4 >= 2")
+def cursor_from_shard(s, d):
+    return _shards(s, d)["o_orderkey", expr(SHARD).rename("shard"), {"o_custkey": 2}:]
+
+
+@query("select (o_custkey % 4)::varchar as shard, o_orderstatus, count(*) as n from orders group by all")
+def shard_local_group(s, d):
+    return _shards(s, d).group_per_shard(COUNT("*").rename("n"), by=("o_orderstatus",)).withColumnRenamed(SHARD, "shard")
+
+
+@query("select * from (select n_nationkey as k, n_name as name from nation union all select r_regionkey, r_name from region)")
+def add_tables(s, d):
+    t = Tables(s, d)
+    a = Table(t.frame("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))
+    return (a + Table(t.frame("region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))))[::]
+
+
+@query("select table_name as \"table\", n as columns from (values ('nation', 3), ('region', 2)) t(table_name, n)")
+def catalog_columns(s, d):
+    t = Tables(s, d)
+    db = DataBase.by_name({n: t.frame(n) for n in ("nation", "region")})
+    return db.describe(s).groupBy("table").agg(F.count("*").cast("int").alias("columns"))
+
+
+# strings
+
+
+@query("select doc_id, strlen(text) as bytes from documents")
+def byte_len(s, d):
+    return Tables(s, d).documents["doc_id", this("text").len().rename("bytes"), ::]
+
+
+@query("select p_partkey, substr(p_name, 4) as tail, left(p_name, 3) as head from part")
+def slice_head_tail(s, d):
+    return Tables(s, d).part["p_partkey", this("p_name")[3:].rename("tail"), this("p_name")[:3].rename("head"), ::]
+
+
+@query("select p_partkey, array_to_string(string_split(p_type, ' ')[:1], ' ') as front, array_to_string(string_split(p_type, ' ')[-1:], ' ') as back from part")
+def lsubby_rsubby(s, d):
+    return Tables(s, d).part["p_partkey", this("p_type").lsubby(" ", 1).rename("front"), this("p_type").rsubby(" ", 1).rename("back"), ::]
+
+
+@query("select c_custkey, hex(c_name) as name_hex, hex(c_custkey) as key_hex from customer")
+def hex_str_int(s, d):
+    return Tables(s, d).customer["c_custkey", HEX(this("c_name")).rename("name_hex"), HEX(this("c_custkey")).rename("key_hex"), ::]
+
+
+@query("select page_id, replace(replace(replace(replace(replace(left(html, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as escaped from pages")
+def xml_escape(s, d):
+    return Tables(s, d).frame("pages").select("page_id", text.xml_escape(F.left("html", F.lit(500))).alias("escaped"))
+
+
+@query(
+    "select p_partkey, case when p_retailprice >= 1000 then printf('%.2fk', p_retailprice / 1000.0) else printf('%.2f', p_retailprice) end as price from part"
+)
+def human_number(s, d):
+    return Tables(s, d).frame("part").select("p_partkey", text.human_number(F.col("p_retailprice")).alias("price"))
+
+
+@query("select doc_id, len(list_filter(list_distinct(string_split(text, '')), lambda x: not contains('abcdefghijklmnopqrstuvwxyz ', x) and x <> ''))::int as missing from documents")
+def charset_diff(s, d):
+    return Tables(s, d).frame("documents").select("doc_id", F.size(text.missing_chars(F.col("text"), "abcdefghijklmnopqrstuvwxyz ")).alias("missing"))
+
+
+@query("select doc_id, length(text) + length(regexp_replace(text, '[\\x{0}-\\x{FF}]', '', 'g')) as width from documents")
+def coarse_width(s, d):
+    return Tables(s, d).frame("documents").select("doc_id", text.coarse_width(F.col("text")).cast("long").alias("width"))
+
+
+@query(None)
+def wrapped_lines(s, d):
+    return Tables(s, d).frame("benchmark").select("item_id", F.size(text.wrap(F.col("text"), 40)).alias("lines"), text.fill(F.col("text"), 40).alias("filled"))
+
+
+# codecs
+
+
+def _codec(s, d, table, key, source, codec):
+    return Tables(s, d).frame(table).select(key, codec.en(source).alias("stored"), codec.de(codec.en(source)).alias("back"))
+
+
+@query("select o_orderkey, case o_orderstatus when 'O' then 0 when 'F' then 1 when 'P' then 2 end as stored, o_orderstatus as back from orders")
+def codec_enum(s, d):
+    return _codec(s, d, "orders", "o_orderkey", F.col("o_orderstatus"), codecs.enum_int(["O", "F", "P"]))
+
+
+@query("select o_orderkey, (case o_orderstatus when 'O' then 1 when 'F' then 2 else 4 end + 8)::bigint as stored from orders")
+def codec_bitset(s, d):
+    return _codec(s, d, "orders", "o_orderkey", F.array("o_orderstatus", F.lit("x"), F.lit("x")), codecs.bit_set(["O", "F", "P", "x"])).select("o_orderkey", "stored")
+
+
+@query("select event_id, (props->>'k')::int as k from events")
+def codec_json(s, d):
+    c = codecs.any_json("k int")
+    return Tables(s, d).frame("events").select("event_id", c.de(c.en(c.de(F.col("props"))))["k"].alias("k"))
+
+
+@query("select c_custkey, lower(hex(c_name)) as back from customer")
+def codec_hex(s, d):
+    return _codec(s, d, "customer", "c_custkey", F.hex("c_name"), codecs.HEX_BIN).select("c_custkey", "back")
+
+
+@query("select doc_id, hex(case when toxic = 1 then '\\x01'::blob else '\\x00'::blob end) as stored, toxic = 1 as back from labels")
+def codec_bool(s, d):
+    return _codec(s, d, "labels", "doc_id", F.col("toxic") == 1, codecs.BOOL_BIN).withColumn("stored", F.hex("stored"))
+
+
+@query("select doc_id, case when toxic = 1 then '01' end as stored, toxic = 1 as back from labels")
+def codec_bool_null(s, d):
+    return _codec(s, d, "labels", "doc_id", F.col("toxic") == 1, codecs.BOOL_NULL).withColumn("stored", F.hex("stored"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as stored, date_trunc('second', o_orderdate) as back from orders")
+def codec_datetime(s, d):
+    return _codec(s, d, "orders", "o_orderkey", F.col("o_orderdate"), codecs.DATETIME_SQL)
+
+
+@query("select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'")
+def codec_pushed_condition(s, d):
+    c = codecs.enum_int(["O", "F", "P"])
+    stored = Tables(s, d).frame("orders").select("o_orderkey", c.en(F.col("o_orderstatus")).alias("o_orderstatus"))
+    return Table(stored, codecs={"o_orderstatus": c})["o_orderkey", "o_orderstatus", {"o_orderstatus": "F"}, ::]
+
+
+# segments
+
+EVENTS = "with e as (select user_id, ts, event_id, value, event_type from events)"
+#: Breakpoints of each user's last value, as segments with merged neighbours; d is a filter.
+SEGMENTS = """
+, b{n} as (select user_id, ts, arg_max(v, event_id) as v from (select user_id, ts, event_id, {v} as v from e where {d}) group by 1, 2)
+, m{n} as (select *, case when lag(v) over w is distinct from v or row_number() over w = 1 then 1 else 0 end as fresh from b{n} window w as (partition by user_id order by ts))
+, k{n} as (select user_id, ts, v from m{n} where fresh = 1)
+, s{n} as (select user_id, ts as start, lead(ts) over (partition by user_id order by ts) as "end", v as value from k{n})
+"""
+
+
+def _lines(s, d, value=None, where=None) -> Lines:
+    e = Tables(s, d).frame("events").select("user_id", "ts", "event_id", (F.floor("value").cast("bigint") if value is None else value).alias("v"), "event_type")
+    e = e if where is None else e.where(where)
+    return Lines.of_breaks(e, "ts", "v", ("user_id",), ("event_id",))
+
+
+V = "floor(value)::bigint"
+
+
+@query(EVENTS + SEGMENTS.format(n=1, v="event_type", d="true") + ' select user_id, start, "end", value from s1')
+def line_coalesce(s, d):
+    return _lines(s, d, F.col("event_type")).df
+
+
+@query(EVENTS + SEGMENTS.format(n=1, v=V, d="true") + " select p.o, p.user_id, s.value from (select unnest(range(0, 20)) as o, user_id from (select distinct user_id from events)) p left join s1 s on s.user_id = p.user_id and s.start <= (select min(ts) from events) + to_hours(p.o * 7) and (s.\"end\" is null or (select min(ts) from events) + to_hours(p.o * 7) < s.\"end\")")
+def line_lookup(s, d):
+    e = Tables(s, d).frame("events")
+    least = e.agg(F.min("ts").alias("t0"))
+    points = e.select("user_id").distinct().withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(19)))).crossJoin(F.broadcast(least))  # one row
+    points = points.withColumn("p", F.expr("t0 + make_dt_interval(0, o * 7)"))
+    return _lines(s, d).at(points, "p").select(F.col("o").cast("long").alias("o"), "user_id", "value")
+
+
+@query(EVENTS + SEGMENTS.format(n=1, v=V, d="true") + " select user_id, start, \"end\", value, row_number() over (partition by user_id order by start) - 1 as segment from s1")
+def line_split(s, d):
+    return _lines(s, d).split().withColumn("segment", F.col("segment").cast("long"))
+
+
+@query(EVENTS + SEGMENTS.format(n=1, v=V, d="true") + " , t as (select min(ts) + (max(ts) - min(ts)) / 4 as a, min(ts) + (max(ts) - min(ts)) / 2 as b from events) select user_id, greatest(start, a) as start, least(coalesce(\"end\", b), b) as \"end\", value from s1, t where greatest(start, a) < least(coalesce(\"end\", b), b)")
+def line_clip(s, d):
+    a, b = _quarter(s, d)
+    return _lines(s, d).clip(a, b).df
+
+
+def _quarter(s, d):
+    """Two times within the events: the bounds of a feature, two values of one row."""
+    r = Tables(s, d).frame("events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    return r.a + (r.b - r.a) / 4, r.a + (r.b - r.a) / 2
+
+
+@query(EVENTS + SEGMENTS.format(n=1, v=V, d="true") + " , t as (select min(ts) + (max(ts) - min(ts)) / 4 as a, min(ts) + (max(ts) - min(ts)) / 2 as b from events) select user_id, start, case when \"end\" is null or \"end\" > a then a else \"end\" end as \"end\", value from s1, t where start < a union all select user_id, greatest(start, b), \"end\", value from s1, t where \"end\" is null or \"end\" > b")
+def line_del(s, d):
+    a, b = _quarter(s, d)
+    return _lines(s, d).delete(a, b).df
+
+
+OVER = EVENTS + SEGMENTS.format(n=1, v=V, d="event_id % 2 = 0") + SEGMENTS.format(n=2, v=V, d="event_id % 2 = 1") + """
+, p as (select user_id, start as ts from s1 union select user_id, start from s2)
+, j as (select p.user_id, p.ts, x.value as a, y.value as b from p left join s1 x on x.user_id = p.user_id and x.start <= p.ts and (x."end" is null or p.ts < x."end")
+        left join s2 y on y.user_id = p.user_id and y.start <= p.ts and (y."end" is null or p.ts < y."end"))
+, f as (select user_id, ts, {f} as v, lead(ts) over (partition by user_id order by ts) as nxt from j)
+, g as (select *, case when lag(v) over w is distinct from v or lag(nxt) over w is distinct from ts then 1 else 0 end as fresh from f window w as (partition by user_id order by ts))
+, r as (select *, sum(fresh) over (partition by user_id order by ts) as run from g)
+select user_id, min(ts) as start, case when count(*) = count(nxt) then max(nxt) end as "end", any_value(v) as value from r where v is not null group by user_id, run
+"""
+
+
+def _two(s, d):
+    return _lines(s, d, where=F.col("event_id") % 2 == 0), _lines(s, d, where=F.col("event_id") % 2 == 1)
+
+
+@query(OVER.format(f="case when a is not null then a + coalesce(b, 0) end"))
+def line_add(s, d):
+    a, b = _two(s, d)
+    return (a + b).df
+
+
+@query(OVER.format(f="case when a is not null then a - coalesce(b, 0) end"))
+def line_sub(s, d):
+    a, b = _two(s, d)
+    return (a - b).df
+
+
+@query(OVER.format(f="coalesce(a, b)"))
+def line_merge(s, d):
+    a, b = _two(s, d)
+    return a.merge(b).df
+
+
+@query(OVER.format(f="coalesce(b, a)"))
+def line_update(s, d):
+    a, b = _two(s, d)
+    return a.update(b).df
+
+
+@query(OVER.format(f="case when b is not null then a end"))
+def line_stripby(s, d):
+    a, b = _two(s, d)
+    return a.stripby(b).df
+
+
+@query(OVER.format(f="case when a is distinct from b then a end"))
+def line_diff(s, d):
+    a, b = _two(s, d)
+    return a.diff(b).df
+
+
+SECONDS = EVENTS + SEGMENTS.format(n=1, v=V, d="true")
+
+
+def _in_seconds(s, d) -> Lines:
+    e = Tables(s, d).frame("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.floor("value").cast("bigint").alias("v"))
+    return Lines.of_breaks(e, "at", "v", ("user_id",), ("event_id",))
+
+
+@query(SECONDS + """ select user_id, sum(epoch_us("end") - epoch_us(start))::bigint as measure from s1 where "end" is not null group by 1""")
+def line_measure(s, d):
+    lines = _in_seconds(s, d)
+    return Lines(lines.df.where("end is not null"), lines.by).measure()
+
+
+@query(SECONDS + """ select user_id, sum(value * ((epoch_us("end") - epoch_us(start)) // 1000000))::bigint as integral from s1 where "end" is not null group by 1""")
+def line_integral(s, d):
+    lines = _in_seconds(s, d)
+    whole = lines.df.where("end is not null").select("user_id", F.lit(0).cast("bigint").alias("start"), F.expr("(end - start) div 1000000").alias("end"), "value")
+    return Lines(whole, lines.by).integral()
+
+
+@query(SECONDS + " select user_id, count(*) as segments, min(start) as left, cast(null as timestamp) as right from s1 group by 1")
+def line_bounds(s, d):
+    lines = _lines(s, d)
+    return lines.count().join(lines.bounds(), "user_id")
+
+
+# row-level changes
+
+NEW = "select c_custkey + 100 as c_custkey, upper(c_name) as c_name, c_nationkey, c_acctbal, c_mktsegment from customer where c_custkey % 10 = 0"
+
+
+def _customers(s, d):
+    c = Tables(s, d).frame("customer")
+    new = c.where("c_custkey % 10 = 0").select((F.col("c_custkey") + 100).alias("c_custkey"), F.upper("c_name").alias("c_name"), "c_nationkey", "c_acctbal", "c_mktsegment")
+    return c, new, ["c_custkey"]
+
+
+@query(f"with n as ({NEW}) select * from customer union all select * from n where c_custkey not in (select c_custkey from customer)")
+def insert_ignore(s, d):
+    c, new, key = _customers(s, d)
+    return Table(c, key).insert(new)[::]
+
+
+@query(f"with n as ({NEW}) select coalesce(c.c_custkey, n.c_custkey) as c_custkey, coalesce(n.c_name, c.c_name) as c_name, coalesce(c.c_nationkey, n.c_nationkey) as c_nationkey, case when c.c_custkey is null then n.c_acctbal when n.c_custkey is null then c.c_acctbal else c.c_acctbal + 1 end as c_acctbal, coalesce(c.c_mktsegment, n.c_mktsegment) as c_mktsegment from customer c full join n on c.c_custkey = n.c_custkey")
+def upsert(s, d):
+    c, new, key = _customers(s, d)
+    return Table(c, key).upsert(new, {"c_name": dml.new("c_name"), "c_acctbal": this("c_acctbal") + 1})[::]
+
+
+@query(f"with n as ({NEW}) select * from customer where c_custkey not in (select c_custkey from n) union all select c_custkey, c_name, 0, null, c_mktsegment from n")
+def replace(s, d):
+    c, new, key = _customers(s, d)
+    return Table(c, key, defaults={"c_nationkey": 0}).replace(new.drop("c_nationkey", "c_acctbal"))[::]
+
+
+@query("select c_custkey, c_name, c_nationkey, case when c_mktsegment = 'BUILDING' and c_acctbal > 0 then c_acctbal * 2 else c_acctbal end as c_acctbal, c_mktsegment from customer")
+def update_expr(s, d):
+    return Tables(s, d).customer.update({"c_acctbal": this("c_acctbal") * 2}, {"c_mktsegment": "BUILDING"}, this("c_acctbal") > 0)[0][::]
+
+
+@query("select c_custkey, case when c_custkey = 7 then 'seven' else c_name end as c_name, c_nationkey, c_acctbal, c_mktsegment from customer")
+def update_keyed(s, d):
+    return dml.update_keyed(Tables(s, d).frame("customer"), {"c_custkey": 7, "c_name": "seven"}, ["c_custkey"]).table
+
+
+@query("select * from customer where not (c_nationkey = 5)")
+def delete(s, d):
+    return Tables(s, d).customer.delete({"c_nationkey": 5})[0][::]
+
+
+@query("select * from customer where c_custkey not in (select c_custkey from customer where c_nationkey = 5 order by c_custkey limit 3)")
+def delete_limit(s, d):
+    return Table(Tables(s, d).frame("customer"), ["c_custkey"]).delete({"c_nationkey": 5}, limit=3)[0][::]
+
+
+@query("select c_custkey, c_name, c_nationkey, case when c_custkey in (select c_custkey from customer where c_nationkey = 5 order by c_custkey limit 3) then 0 else c_acctbal end as c_acctbal, c_mktsegment from customer")
+def update_limit(s, d):
+    return Table(Tables(s, d).frame("customer"), ["c_custkey"]).update({"c_acctbal": 0}, {"c_nationkey": 5}, limit=3)[0][::]
+
+
+@query("select count(*) as matched, count(*) filter (where c_acctbal <> 0) as changed from customer where c_nationkey = 5")
+def matched_count(s, d):
+    return Tables(s, d).customer.update({"c_acctbal": 0}, {"c_nationkey": 5})[1]
+
+
+# copies and prepared queries
+
+TARGET = "p_partkey bigint, p_name string, nation int, note string"
+
+
+@query("select c_custkey as p_partkey, c_name as p_name, c_nationkey as nation, cast(null as varchar) as note from customer where c_acctbal > 1000")
+def copy_rename_align(s, d):
+    target = s.createDataFrame([], TARGET)
+    return move.datamove(Tables(s, d).frame("customer"), target, {"p_partkey": "c_custkey", "p_name": "c_name", "nation": "c_nationkey"}, "c_acctbal > 1000")
+
+
+@query("select s_suppkey as c_custkey, s_name as c_name, s_nationkey as c_nationkey, s_acctbal as c_acctbal, cast(null as varchar) as c_mktsegment from supplier where s_suppkey not in (select c_custkey from customer where c_custkey % 2 = 0)")
+def copy_ignore(s, d):
+    t = Tables(s, d)
+    target = t.frame("customer").where("c_custkey % 2 = 0")
+    return move.datamove(t.frame("supplier"), target, {"c_custkey": "s_suppkey", "c_name": "s_name", "c_nationkey": "s_nationkey", "c_acctbal": "s_acctbal"}, key=("c_custkey",))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' and o_totalprice > 200000")
+def prepared(s, d):
+    sql, defaults = template("select {columns} from {table} where o_orderstatus = /*%(status)s*/'O' and o_totalprice > /*%(least)s*/100000")
+    return Prepared(s, sql, Tables(s, d).frame("orders"), ["o_orderkey", "o_totalprice"], defaults)(status="F", least=200000)
+
+
+# validation
+
+
+@query("select (props->>'k')::int > 50 as ok, count(*) as n from events group by 1")
+def validate_props(s, d):
+    return Tables(s, d).frame("events").groupBy(validate.json_checker("object(#.k: number(>50))", F.col("props")).alias("ok")).agg(F.count("*").alias("n"))
+
+
+@query("select role in ('user', 'assistant') and length(text) >= 50 as ok, count(*) as n from conversations group by 1")
+def validate_role(s, d):
+    c = Tables(s, d).frame("conversations").select(F.struct("role", "text").alias("m"))
+    ok = validate.Checker("object(#.role: .user | .assistant, #.text: string(+50))")(F.col("m"), c.schema["m"].dataType)
+    return c.groupBy(ok.alias("ok")).agg(F.count("*").alias("n"))
+
+
+@query("select conv_id, count(*) > 2 and count(distinct role) = count(*) as ok from conversations group by 1")
+def validate_array(s, d):
+    c = Tables(s, d).frame("conversations").groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
+    ok = validate.Checker("set(>2, .user, .assistant, .system)")(F.col("roles"), "array<string>")
+    return c.select("conv_id", ok.alias("ok"))
+
+
+@query("select doc_id, list_filter([case when length(text) < 1000 then 'long' end, case when lang <> 'en' then 'english' end], lambda x: x is not null) as errors from documents")
+def validate_errors(s, d):
+    e = validate.errors({"long": F.length("text") >= 1000, "english": validate.Checker(".en")(F.col("lang"), "string")})
+    return Tables(s, d).frame("documents").select("doc_id", e.alias("errors"))
+
+
+# nested data and groups
+
+
+@query("select event_id, 'k' as path, props->>'k' as value from events")
+def flatten_json(s, d):
+    return nested.leaves(Tables(s, d).frame("events"), ["event_id"], "props")
+
+
+@query("select c_custkey, unnest(['c_name', 'c_mktsegment']) as key, unnest([c_name, c_mktsegment]) as value from customer")
+def unpivot_row(s, d):
+    return nested.key_values(Tables(s, d).frame("customer").select("c_custkey", "c_name", "c_mktsegment"), ["c_custkey"])
+
+
+@query("select case when i = 1 then vec_id::varchar else '' end as vec_id, (i - 1)::int as row, coalesce(a[i]::varchar, '') as a, coalesce(b[i]::varchar, '') as b from (select vec_id, range(vec_id % 3) as a, range(vec_id % 5) as b, unnest(range(1, greatest(vec_id % 3, vec_id % 5, 1) + 1)) as i from embeddings)")
+def zip_arrays(s, d):
+    up = lambda n: F.filter(F.sequence(F.lit(0), F.lit(4)), lambda x: x < F.col("vec_id") % n)
+    return nested.grid(Tables(s, d).frame("embeddings").select("vec_id", up(3).alias("a"), up(5).alias("b")), ["a", "b"]).select("vec_id", "row", "a", "b")
+
+
+@query("with r as (select l_partkey as x, l_partkey - row_number() over (order by l_partkey) as g from (select distinct l_partkey from lineitem where l_quantity > 49)) select min(x) as start, max(x) as \"end\" from r group by g")
+def islands_int(s, d):
+    return groups.int_ranges(Tables(s, d).frame("lineitem").where("l_quantity > 49"), "l_partkey", width=256)
+
+
+@query("select md5(text) as digest, count(*) as copies, min(doc_id) as first from documents group by 1 having count(*) > 1")
+def dup_by_md5(s, d):
+    return groups.duplicates(Tables(s, d).frame("documents"), "text", "doc_id")
+
+
+@query("select event_type, floor(greatest(floor(value), 0) * 16 / m)::int as step, count(*) as n from events join (select event_type, max(greatest(floor(value), 0)) as m from events group by 1) using (event_type) group by all")
+def chart_buckets(s, d):
+    e = Tables(s, d).frame("events").select("event_type", F.greatest(F.floor("value"), F.lit(0)).alias("v"))
+    return groups.chart_buckets(e, "v", 4, ("event_type",))
+
+
+@query("select 'r' || r_regionkey as node, 0 as depth from region union all select 'n' || n_nationkey, 1 from nation")
+def bfs_depth(s, d):
+    t = Tables(s, d)
+    edges = t.frame("region").select(F.concat(F.lit("r"), "r_regionkey").alias("child"), F.lit(None).cast("string").alias("parent")).unionByName(t.frame("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent")))
+    return groups.tree_levels(edges, F.col("parent").isNull()).select("node", "depth")
+
+
+@query("select c_custkey, case when c_acctbal < 0 then 'debt' when c_acctbal < 5000 then 'some' when c_acctbal < 9000 then 'much' else '-' end as class from customer")
+def range_names(s, d):
+    ranges = s.createDataFrame([(-10000, -1, "debt"), (0, 4999, "some"), (5000, 8999, "much")], "start int, end int, class string")
+    c = Tables(s, d).frame("customer").withColumn("whole", F.floor("c_acctbal"))
+    return groups.range_lookup(c, "whole", ranges, "start", "end", "class", "-").select("c_custkey", "class")
+
+
+@query("select c_nationkey, c_custkey, c_acctbal from (select *, row_number() over (partition by c_nationkey order by case c_mktsegment when 'BUILDING' then 0 else 1 end, c_acctbal desc, c_custkey) as r from customer) where r = 1")
+def preferred_row(s, d):
+    c = Tables(s, d).frame("customer").select("c_nationkey", "c_custkey", "c_acctbal", "c_mktsegment", (-F.col("c_acctbal")).alias("less"))
+    return nested.preferred(c, ["c_nationkey"], F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(1), ["less", "c_custkey"]).select("c_nationkey", "c_custkey", "c_acctbal")
+
+
+@query("select p_partkey, list_reduce(list_transform(range(1, strlen(p_brand) + 1), lambda i: ascii(p_brand[i]) * (1 << (8 * (3 - (i - 1) % 4)))::bigint), lambda a, b: (a + b) % 4294967296)::bigint as sum from part")
+def checksum(s, d):
+    return Tables(s, d).frame("part").select("p_partkey", binary.checksum32(F.col("p_brand").cast("binary")).alias("sum"))
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -70,9 +70,8 @@ def antiderivative(coefficients: Column) -> Column:
 
 def delta_decode(values: Column) -> Column:
     """Running sums of an array."""
-    return F.transform(F.sequence(F.lit(1), F.size(values)), lambda n: F.aggregate(F.slice(values, 1, n), F.lit(0).cast("bigint"), lambda a, x: a + x)) if False else F.aggregate(
-        values, F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.element_at(a, -1), F.lit(0)) + x))
-    )
+    start = F.array().cast("array<bigint>")
+    return F.aggregate(values, start, lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
 
 
 def run_length_decode(pairs: Column) -> Column:

@@ -1 +1 @@
-"""See the modules of this package."""
+"""What an access asks for, and prepared queries."""
