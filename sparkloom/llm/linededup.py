@@ -25,6 +25,8 @@ from .quality import trimmed, words
 from .shared import written
 
 POS = ("doc_id", "row_no", "line_no")
+#: Lines to be read again are picked by a broadcast of their places up to so many, beyond by a shuffle of the lines.
+BROADCAST_LINES = 200_000
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -66,34 +68,40 @@ def within_one(a: Column, b: Column) -> Column:
 
 def duplicate_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """Lines to drop: doc_id, row_no, line_no, and the earlier line (of_doc, of_row, of_line) found for each."""
-    lines = lines_of(docs).withColumn("ws", words(F.col("line")))
+    lines = lines_of(docs)
     at = F.struct(*POS)
+    with_words = lines.withColumn("ws", words(F.col("line")))
     # every line once as two hashes of its words, its halves' keys and its length
-    keyed = lines.select(*POS, F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit("second"), F.col("ws")).alias("h2"), F.size("ws").alias("n"), half_keys(F.col("ws")).alias("halves"))
+    keyed = with_words.select(*POS, F.xxhash64("ws").alias("h1"), F.xxhash64(F.lit("second"), F.col("ws")).alias("h2"), F.size("ws").alias("n"), half_keys(F.col("ws")).alias("halves"))
     keyed = written(keyed, "keyed-lines")
     # one row for each different line; its first place, and its halves, which equal lines have alike
     one = keyed.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.min("n").alias("n"), *[F.min(F.col("halves")[k]).alias(f"half{k}") for k in range(4)])
     one = written(one, "different-lines")
     long = one.where(F.col("n") >= min_words)
-    halves = long.select("h1", "h2", F.explode(F.array_distinct(F.array(*[F.col(f"half{k}") for k in range(4)]))).alias("half"))
+    ends = F.array(*[F.struct(F.col(f"half{k}").alias("half"), F.lit(k % 2 == 0).alias("front")) for k in range(4)])
+    halves = long.select("h1", "h2", F.explode(ends).alias("e")).select("h1", "h2", "e.half", "e.front")
     shared = halves.groupBy("half").agg(F.count("*").alias("k")).where("k > 1").select("half")
-    near = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    firsts = long.join(near, ["h1", "h2"], "left_semi").select("first.*", F.col("n"))
-    # the words of those lines, from the texts
-    texts = lines.join(firsts, list(POS)).select(at.alias("pos"), "ws", "n")
+    near = halves.join(shared, "half").groupBy("h1", "h2").agg(F.max(F.col("front")).alias("front"), F.max(~F.col("front")).alias("back"))
+    firsts = written(long.join(near, ["h1", "h2"]).select("first.*", "n", "front", "back"), "near-firsts")
+    # the words of those lines, from the texts; ids in the order of their places
+    few = firsts.count() <= BROADCAST_LINES  # rows of six numbers
+    texts = lines.join(F.broadcast(firsts) if few else firsts, list(POS)).dropDuplicates(list(POS)).select(at.alias("pos"), "line", "n", "front", "back")
+    texts = texts.repartitionByRange("pos").sortWithinPartitions("pos").withColumn("id", F.monotonically_increasing_id())
     texts = written(texts, "near-lines")
-    gone = texts.select("pos", "n", F.explode(_deletion_keys(F.col("ws"))).alias("d")).select("pos", "n", "d.i", "d.h")
-    whole = texts.select("pos", F.col("n"), _key(F.col("ws")).alias("h"))
+    keys = texts.select("id", "n", "front", "back", sums(words(F.col("line"))).alias("s"))
+    keys = written(keys.select("id", "n", F.explode(deletion_keys(F.col("s"), F.col("n"), F.col("front"), F.col("back"))).alias("d")).select("id", "n", "d.i", "d.h"), "deletions")
+    gone, whole = keys.where("i > 0"), keys.where("i = 0").select("id", "h")
     # replaced: the earliest line with the same other words
-    least = gone.groupBy("h", "i", "n").agg(F.min("pos").alias("of"), F.count("*").alias("k")).where("k > 1").select("h", "i", "n", "of")
-    replaced = gone.join(least, ["h", "i", "n"]).where("of < pos").select("pos", "of")
+    least = gone.groupBy("h", "i", "n").agg(F.min("id").alias("of"), F.count("*").alias("k")).where("k > 1").select("h", "i", "n", "of")
+    replaced = gone.join(least, ["h", "i", "n"]).where("of < id").select("id", "of")
     # left out: this line is another one without a word; put in: this line without a word is another one
-    shorter = gone.groupBy("h").agg(F.min("pos").alias("of"))
-    left_out = whole.join(shorter, "h").where("of < pos").select("pos", "of")
-    put_in = gone.select("pos", "h").join(whole.select("h", F.col("pos").alias("of")), "h").where("of < pos").select("pos", "of")
-    pairs = replaced.unionByName(left_out).unionByName(put_in).groupBy("pos").agg(F.min("of").alias("of"))
-    a, b = texts.select("pos", F.col("ws").alias("a")), texts.select(F.col("pos").alias("of"), F.col("ws").alias("b"))
-    verified = pairs.join(a, "pos").join(b, "of").where(within_one(F.col("a"), F.col("b"))).select("pos", "of")
+    known = gone.join(whole.select("h", F.col("id").alias("short")), "h")
+    left_out = known.where("id < short").select(F.col("short").alias("id"), F.col("id").alias("of"))
+    put_in = known.where("short < id").select("id", F.col("short").alias("of"))
+    pairs = replaced.unionByName(left_out).unionByName(put_in).groupBy("id").agg(F.min("of").alias("of"))
+    pairs = written(pairs, "line-pairs")
+    a, b = texts.select("id", F.col("pos").alias("at"), F.col("line").alias("a")), texts.select(F.col("id").alias("of"), F.col("pos").alias("of_at"), F.col("line").alias("b"))
+    verified = pairs.join(a, "id").join(b, "of").where(within_one(words(F.col("a")), words(F.col("b")))).select(F.col("at").alias("pos"), F.col("of_at").alias("of"))
     verified = written(verified, "near-pairs")
     # equal lines follow their first one
     firsts = one.select("h1", "h2", "first")
@@ -103,14 +111,34 @@ def duplicate_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     return out.select("pos.*", F.col("of.doc_id").alias("of_doc"), F.col("of.row_no").alias("of_row"), F.col("of.line_no").alias("of_line"))
 
 
-def _key(ws: Column) -> Column:
-    """A hash of a word sequence; words hold no spaces."""
-    return F.xxhash64(F.array_join(ws, " "))
+def sums(ws: Column) -> Column:
+    """Running sums over the words of their hashes with their place (a), and with the place before (b), in two halves of 32 bits.
 
+    A sequence's key is made of the sums of its words' hashes, each taken with its place; without word i, the words behind i
+    are one place further to the front.  So all deletions of a line take one pass over it.
+    """
+    half = lambda x, k: (x if k else F.call_function("shiftrightunsigned", x, F.lit(32))).bitwiseAND(F.lit(0xFFFFFFFF))
+    each = F.transform(ws, lambda w, k: F.array(*[half(F.xxhash64(w, k - d), p) for d in (0, 1) for p in (0, 1)]))
+    zero = F.array(*[F.lit(0).cast("bigint")] * 4)
+    return F.aggregate(each, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.zip_with(F.element_at(acc, -1), x, lambda p, q: p + q))))
 
-def _deletion_keys(ws: Column) -> Column:
-    n = F.size(ws)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), _key(F.concat(F.slice(ws, F.lit(1), i - 1), F.slice(ws, i + 1, n))).alias("h")))
+
+def deletion_keys(s: Column, n: Column, front: Column, back: Column) -> Column:
+    """(i, key) of the line without its word i, for the places where an edit can be, and (0, key) of the whole line.
+
+    Lines that share their front half differ at the back, and the other way round.  s: :func:`sums`, n + 1 of them.
+    """
+    total = F.element_at(s, -1)
+    first = F.when(back, F.lit(1)).otherwise(F.floor((n - 1) / 2).cast("int"))
+    last = F.when(front, n).otherwise(F.ceil((n + 1) / 2).cast("int") + 1)
+    places = F.sequence(F.greatest(F.lit(1), first), F.least(n, last))
+
+    def key(i: Column) -> Column:
+        before, upto = F.get(s, i - 1), F.get(s, i)
+        return F.xxhash64(*[before[p] + total[2 + p] - upto[2 + p] for p in (0, 1)])
+
+    whole = F.struct(F.lit(0).alias("i"), F.xxhash64(total[0], total[1]).alias("h"))
+    return F.concat(F.array(whole), F.transform(places, lambda i: F.struct(i.alias("i"), key(i).alias("h"))))
 
 
 def apply_line_dedup(docs: DataFrame, dropped: DataFrame) -> DataFrame:
