@@ -20,7 +20,9 @@ STOP_WORDS = tuple(
     "the of and to in is that it for on with as was be by this are or der die das und ist von den mit ein eine zu im le la les des et un une est que dans pour el los las una por con del en de y se"
     .split()
 )
-#: measure, least, most (None: no bound).  Ratios are per word or per line.
+#: So many words may go without a stop word, for a short clean text can do so by chance.
+FREE_WORDS = 20
+#: measure, least, most (None: no bound).  Ratios are per word or per line; that of stop words is per word beyond FREE_WORDS.
 RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("n_words", 10, None),
     ("mean_word_chars", 1.5, 20),
@@ -106,7 +108,7 @@ def rule(name: str, least: float | None, most: float | None, m: Column) -> Colum
         "mean_word_chars": (m["word_chars"], m["n_words"]),
         "symbol_ratio": (m["n_symbols"], m["n_words"]),
         "dup_line_ratio": (m["n_dup_lines"], m["n_lines"]),
-        "stop_word_ratio": (m["n_stop_words"], m["n_words"]),
+        "stop_word_ratio": (m["n_stop_words"], m["n_words"] - FREE_WORDS),
     }
     top, base = over[name]
     out = F.lit(True)

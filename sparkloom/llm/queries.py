@@ -46,7 +46,7 @@ from documents d left join kept using (doc_id) left join n using (doc_id)
 """
 
 STOPS = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
-MEASURES = {"n_words": ("n_words", "1"), "mean_word_chars": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "stop_word_ratio": ("n_stop", "n_words")}
+MEASURES = {"n_words": ("n_words", "1"), "mean_word_chars": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"), "stop_word_ratio": ("n_stop", f"(n_words - {quality.FREE_WORDS})")}
 VERDICT = " and ".join(f"{MEASURES[m][0]} {op} {MEASURES[m][1]} * {x}::double" for m, lo, hi in quality.RULES for op, x in ((">=", lo), ("<=", hi)) if x is not None)
 
 OP4_SQL = rf"""
