@@ -57,8 +57,11 @@ def ngrams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 
 def means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Mean of each segment; 0 for an empty one."""
-    sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-    return (sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(1, np.diff(starts))
+    out = np.zeros(len(starts) - 1)
+    full = np.flatnonzero(np.diff(starts))
+    if len(full):
+        out[full] = np.add.reduceat(values, starts[:-1][full], dtype=np.float64) / np.diff(starts)[full]
+    return out
 
 
 class Model:
@@ -159,9 +162,12 @@ def train(table: pa.Table, dims: int = 8, epochs: int = 40, rate: float = 0.3, p
     seen_in = np.bincount(word, minlength=len(keys))
     toxic_in = np.bincount(word, weights=y[doc_of], minlength=len(keys))
     # documents of an n-gram, counted by its words
-    spread = np.repeat(np.arange(len(keys)), np.diff(begin))
-    n = np.bincount(grams, weights=seen_in[spread], minlength=1 << BITS)
-    t = np.bincount(grams, weights=toxic_in[spread], minlength=1 << BITS)
+    n, t = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for a in range(0, len(keys), 50_000):
+        z = min(len(keys), a + 50_000)
+        part, lens = grams[begin[a] : begin[z]], np.diff(begin[a : z + 1])
+        n += np.bincount(part, weights=np.repeat(seen_in[a:z], lens), minlength=1 << BITS)
+        t += np.bincount(part, weights=np.repeat(toxic_in[a:z], lens), minlength=1 << BITS)
     share = toxic_in.sum() / max(1, seen_in.sum())
     odds = np.log((t + prior * share) / (prior * share)) - np.log((n - t + prior * (1 - share)) / (prior * (1 - share)))
     rng = np.random.Generator(np.random.PCG64(7))
@@ -176,12 +182,12 @@ def train(table: pa.Table, dims: int = 8, epochs: int = 40, rate: float = 0.3, p
     have = doc_of[edges]
     squares = [np.full_like(x, 1e-6) for x in (soft, bias)]
     emb_squares = np.full_like(emb, 1e-6)
-    logit = means((emb @ (soft[:, 1] - soft[:, 0]))[grams], begin)[word]
+    logit = means((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)[grams], begin)[word]
     top = np.maximum.reduceat(logit, edges)
     bias[1] = -_best_cut(top, y[have], weight[have])  # where the first maxima split best
     for _ in range(epochs):
         diff = soft[:, 1] - soft[:, 0]
-        logit = means((emb @ diff)[grams], begin)[word]
+        logit = means((emb @ diff).astype(np.float32)[grams], begin)[word]
         top = np.maximum.reduceat(logit, edges)
         at = np.flatnonzero(logit == np.repeat(top, np.diff(np.append(edges, len(logit)))))
         at = at[np.append(True, doc_of[at][1:] != doc_of[at][:-1])]  # each document's strongest bag
@@ -205,7 +211,7 @@ def train(table: pa.Table, dims: int = 8, epochs: int = 40, rate: float = 0.3, p
         for x, g, s in ((soft, g_soft, squares[0]), (bias, g_bias, squares[1])):
             s += g**2
             x -= 0.1 * rate * g / np.sqrt(s)
-    weights = emb @ (soft[:, 1] - soft[:, 0])
+    weights = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
     logit = means(weights[grams], begin)[word]
     top = np.maximum.reduceat(logit, edges)
     return Model(weights, min(-_best_cut(top, y[have], weight[have]), -0.1))
@@ -244,7 +250,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(scan, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{name}` double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000) -> Model:
     return train(training_rows(docs, labels, sample_rows))
 
 
@@ -254,7 +260,7 @@ def drop_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
     return scored.where(F.col(scored.columns[-1]) < cut).select(*docs.columns)
 
 
-def op5_toxicity(spark: SparkSession, sf_dir: str, sample_rows: int = 20_000) -> DataFrame:
+def op5_toxicity(spark: SparkSession, sf_dir: str, sample_rows: int = 8_000) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), sample_rows)
     out = score_texts(docs, model)
