@@ -7,12 +7,16 @@ result is every document's set size and its class of linked documents.  The join
 2. *Order.*  A pair that links shares a shingle among the first ``n - ceil(3n/4) + 1`` of each set, in any one order of
    shingles.  The order here is by hash, but the most frequent shingles (of a count over all sets, a table of at most
    ``heavy_most`` rows) come last, so a passage that many documents share is in no prefix unless it makes up the text.
-3. *Index lists.*  Prefix entries (shingle, set, size, position) are dealt out by shingle.  A list is ordered by size and cut
-   into blocks whose sizes can link; entries whose positions can't give the overlap needed are skipped.  Each block's first
-   set is its leader and is compared with the block's other sets only: a list of k sets gives fewer than k pairs.
+3. *Index lists.*  Prefix entries (shingle, set, size, position) are dealt out by shingle.  Each list has a leader, the set with
+   the foremost position, that is paired with the list's other sets only (a list of k sets gives fewer than k pairs) where sizes
+   and positions leave room for the overlap needed.  Pairs that share a good part of the prefix shingles that a link takes are
+   compared.
 4. *Answers from a similar set's answers.*  The compared pairs' exact intersections are kept.  Within a list, two sets that
-   the links so far connect need no comparison; for the rest, the leader's answers bound theirs (Jaccard distance is a metric:
-   d(x,y) >= |d(x,leader) - d(y,leader)|), sizes and positions bound them too, and only what stays is compared.
+   the links so far connect need no comparison, and blocks of sizes and positions skip most others.  For two sets compared with
+   the same leader, its answers bound theirs: what either lacks of the leader can't be shared, and of what they have beyond it
+   only what both have can be (both parts kept as 256 hashed bits).  What stays is counted over all
+   lists: a link takes ``ceil(3(n+m)/7) - max(n - prefix, m - prefix)`` shared prefix shingles at least, and only pairs with so
+   many are compared.
 5. Classes are the connected components of all links.
 
 Pairs are compared on whole sets, made again from the documents that stand in some pair.
@@ -38,6 +42,13 @@ from .shared import partitions_for, written
 U = np.uint64
 #: J >= NUM / DEN.
 NUM, DEN = 3, 4
+#: A pair of a leader and another set is compared early if it shares so many times less prefix shingles than a link takes; what
+#: isn't compared early stays open for the last, exact round.
+LIKELY = 3
+#: Links and answers (a row for each set that takes part) are broadcast up to so many rows, and joined by a shuffle beyond.
+BROADCAST_SETS = 200_000
+#: Documents to be read again are picked by a broadcast of their ids up to so many, beyond by a shuffle of the texts.
+BROADCAST_IDS = 500_000
 
 
 def shingle_sets(part: pa.RecordBatch, column: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +67,12 @@ def shingle_sets(part: pa.RecordBatch, column: str, size: int) -> tuple[np.ndarr
         for k in range(a, z):
             x = S.mix(x + h[k : k + 1] * U(0x8CB92BA72F3D8DD7))
         grams, who = np.append(grams, x), np.append(who, i)
-    order = np.lexsort((grams, who))
-    grams, who = grams[order], who[order]
+    if len(who) and (np.diff(who) < 0).any():
+        order = np.argsort(who, kind="stable")
+        grams, who = grams[order], who[order]
+    cuts = np.searchsorted(who, np.arange(n + 1)).tolist()
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        grams[a:z].sort()
     fresh = np.ones(len(grams), bool)
     fresh[1:] = (grams[1:] != grams[:-1]) | (who[1:] != who[:-1])
     grams, who = grams[fresh], who[fresh]
@@ -112,14 +127,7 @@ def document_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(scan, f"doc_id {kind}, n_shingles bigint, set_id bigint")
 
 
-def packed(bucket: np.ndarray, n_buckets: int, columns: list[np.ndarray], *fixed) -> Iterator[tuple]:
-    """Rows of a block by bucket, as slices of bytes; columns are sorted by bucket already."""
-    edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        yield (int(b), *[c[edges[b] : edges[b + 1]].tobytes() for c in columns], *fixed)
-
-
-def by_bucket(batches, names: list[str], most: int = 16 << 20) -> Iterator[tuple[int, list]]:
+def by_bucket(batches, names: list[str]) -> Iterator[tuple[int, list]]:
     """From rows sorted by bucket, each bucket with the lists of its rows' values."""
     now, held = None, []
     for b in batches:
@@ -140,12 +148,22 @@ def heavy_shingles(docs: DataFrame, size: int, total: int, least: int, most: int
     n_buckets = 1 << max(3, (total // 2_000_000).bit_length())
     shift = U(64 - n_buckets.bit_length() + 1)
 
-    def scan(batches):
-        seen = Seen()
-        for part in S.blocks(batches, "text", 12 << 20):
+    def gathered(batches, most: int = 1_500_000):
+        """Members of sets not sent lately, from several blocks."""
+        seen, held, n = Seen(), [], 0
+        for part in S.blocks(batches, "text"):
             grams, starts = shingle_sets(part, "text", size)
-            fresh = seen.fresh(set_ids(grams, starts))
-            grams, count = np.unique(grams[np.repeat(fresh, np.diff(starts))], return_counts=True)
+            held.append(grams[np.repeat(seen.fresh(set_ids(grams, starts)), np.diff(starts))])
+            n += len(held[-1])
+            if n >= most:
+                yield np.concatenate(held)
+                held, n = [], 0
+        if n:
+            yield np.concatenate(held)
+
+    def scan(batches):
+        for grams in gathered(batches):
+            grams, count = np.unique(grams, return_counts=True)
             bucket = (grams >> shift).astype(np.int64)
             edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
             rows = {"bucket": [], "keys": [], "many": [], "count": []}
@@ -178,8 +196,17 @@ def heavy_shingles(docs: DataFrame, size: int, total: int, least: int, most: int
 
     sent = docs.mapInArrow(scan, "bucket bigint, keys binary, many binary, count binary")
     met = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "shingle bigint, sets bigint")
-    top = met.orderBy(F.col("sets").desc(), "shingle").limit(most)
-    return np.sort(np.array([r.shingle for r in top.collect()], np.int64).view(U)), shift  # at most ``most`` numbers
+    met = written(met.withColumn("level", F.floor(8 * F.log2("sets")).cast("int")), "frequent")
+    cut, held = 0, 0
+    for r in met.groupBy("level").count().orderBy(F.col("level").desc()).collect():  # a row for each eighth of a doubling
+        held += r["count"]
+        cut = r.level if held <= most else cut
+        if held > most:
+            break
+    top = met.where(F.col("level") >= cut) if held else met.limit(0)
+    if held > most:
+        top = top.where(F.lit(cut > 0))
+    return np.sort(top.select("shingle").toArrow().column("shingle").to_numpy().view(U)), shift  # at most ``most`` numbers
 
 
 def short_key(grams: np.ndarray, shift) -> np.ndarray:
@@ -188,16 +215,20 @@ def short_key(grams: np.ndarray, shift) -> np.ndarray:
 
 
 def index_lists(docs: DataFrame, size: int, total: int, heavy: np.ndarray, shift) -> DataFrame:
-    """Entries of all index lists with two sets or more: list, set_id, n, pos, leader, leader_n.  A set that leads has itself as
-    leader; an entry that no leader's block takes in has none."""
+    """Entries of all index lists with two sets or more: list, set_id, n, pos, and of the list's leader: leader, leader_n,
+    leader_pos, and what the prefixes leave out: rest, leader_rest.  The leader is the set that has fewest rarer shingles before
+    the list's, so the one in the middle of a group of near copies; of several the one with the least hash."""
     n_buckets = 1 << max(3, (total // 4_000_000).bit_length())
     own = U(64 - n_buckets.bit_length() + 1)
     spark = docs.sparkSession
     sent_heavy = spark.sparkContext.broadcast(heavy)  # at most heavy_most numbers
 
-    def scan(batches):
+    def prefixes(batches, most: int = 800_000):
+        """Prefix entries of sets not sent lately, from several blocks: shingle, number of its set, position; ids and sizes of
+        the sets."""
         heavy, seen = sent_heavy.value, Seen()
-        for part in S.blocks(batches, "text", 12 << 20):
+        held, sets, m = [], 0, 0
+        for part in S.blocks(batches, "text"):
             grams, starts = shingle_sets(part, "text", size)
             ids, n = set_ids(grams, starts), np.diff(starts)
             fresh = seen.fresh(ids) & (n > 0)
@@ -209,17 +240,29 @@ def index_lists(docs: DataFrame, size: int, total: int, heavy: np.ndarray, shift
                 key = (grams >> (shift - U(32)))
                 at = np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)
                 last = heavy[at] == key
-            order = np.lexsort((last, who)) if last.any() else np.arange(len(grams))  # by hash within either part
-            grams, who = grams[order], who[order]
+            order = np.arange(len(grams))
+            if last.any():  # by hash within either part
+                order = np.argsort(who * 2 + last, kind="stable")
+                grams, who = grams[order], who[order]
             begin = np.searchsorted(who, np.arange(len(n)))
             pos = np.arange(len(who)) - begin[who]
-            inside = pos < prefix_length(n)[who]
-            grams, who, pos = grams[inside], who[inside], pos[inside]
+            taken = prefix_length(n)
+            inside = pos < taken[who]
+            held.append((grams[inside], who[inside] + sets, pos[inside], ids, n, taken))
+            sets, m = sets + len(n), m + int(inside.sum())
+            if m >= most:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, sets, m = [], 0, 0
+        if m:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    def scan(batches):
+        for grams, who, pos, ids, n, taken in prefixes(batches):
             order = np.argsort(grams >> own, kind="stable")
             grams, who, pos = grams[order], who[order], pos[order]
             bucket = (grams >> own).astype(np.int64)
             edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-            rows = {k: [] for k in ("bucket", "keys", "who", "pos", "ids", "sizes")}
+            rows = {k: [] for k in ("bucket", "keys", "who", "pos", "ids", "sizes", "taken")}
             for b in np.flatnonzero(np.diff(edges)):
                 cut = slice(edges[b], edges[b + 1])
                 local, back = np.unique(who[cut], return_inverse=True)
@@ -229,55 +272,48 @@ def index_lists(docs: DataFrame, size: int, total: int, heavy: np.ndarray, shift
                 rows["pos"].append(pos[cut].astype("<u4").tobytes())
                 rows["ids"].append(ids[local].tobytes())
                 rows["sizes"].append(n[local].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int64()), *[(k, pa.binary()) for k in ("keys", "who", "pos", "ids", "sizes")]]))
+                rows["taken"].append(taken[local].astype("<u4").tobytes())
+            yield pa.RecordBatch.from_pydict(rows, pa.schema([("bucket", pa.int64()), *[(k, pa.binary()) for k in ("keys", "who", "pos", "ids", "sizes", "taken")]]))
 
     def lists(batches):
-        for bucket, rows in by_bucket(batches, ["keys", "who", "pos", "ids", "sizes"]):
-            keys, ids, n, pos = [], [], [], []
-            for k, w, p, i, s in rows:
-                k, i, s = np.frombuffer(k, "<u4"), np.frombuffer(i, "<u8"), np.frombuffer(s, "<u4")
+        for bucket, rows in by_bucket(batches, ["keys", "who", "pos", "ids", "sizes", "taken"]):
+            keys, ids, n, pos, taken = [], [], [], [], []
+            for k, w, p, i, s, t in rows:
+                k, i, s, t = np.frombuffer(k, "<u4"), np.frombuffer(i, "<u8"), np.frombuffer(s, "<u4"), np.frombuffer(t, "<u4")
                 w = np.frombuffer(w, "<u2" if len(w) == 2 * len(k) else "<u4")
                 keys.append(k)
                 ids.append(i[w])
                 n.append(s[w])
+                taken.append(t[w])
                 pos.append(np.frombuffer(p, "<u4"))
-            keys, ids, n, pos = (np.concatenate(x) for x in (keys, ids, n, pos))
+            keys, ids, n, pos, taken = (np.concatenate(x) for x in (keys, ids, n, pos, taken))
             order = np.argsort(keys, kind="stable")
             sorted_keys = keys[order]
             same = np.zeros(len(keys), bool)
             same[1:] = sorted_keys[1:] == sorted_keys[:-1]
             same[:-1] |= same[1:]
             order = order[same]
-            keys, ids, n, pos = keys[order], ids[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+            keys, ids, n, pos, taken = keys[order], ids[order], n[order].astype(np.int64), pos[order].astype(np.int64), taken[order].astype(np.int64)
             order = np.lexsort((ids, pos, n, keys))
-            keys, ids, n, pos = keys[order], ids[order], n[order], pos[order]
+            keys, ids, n, pos, taken = keys[order], ids[order], n[order], pos[order], taken[order]
             fresh = np.ones(len(keys), bool)  # one set sent by several tasks
             fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-            keys, ids, n, pos = keys[fresh], ids[fresh], n[fresh], pos[fresh]
-            yield from led(bucket, keys, ids, n, pos)
+            yield from led(bucket, keys[fresh], ids[fresh], n[fresh], pos[fresh], taken[fresh])
 
-    def led(bucket, keys, ids, n, pos, step: int = 200_000):
+    def led(bucket, keys, ids, n, pos, taken, step: int = 200_000):
+        order = np.lexsort((S.mix(ids), pos, keys))
+        keys, ids, n, pos, rest = keys[order], ids[order], n[order], pos[order], (n - taken)[order]
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(keys)) if len(at) else at
-        two = ends - at >= 2
-        lead = np.full(len(keys), -1, np.int64)
-        open_at, open_end = at[two], ends[two]
-        while len(open_at):  # leaders of all lists at once: the first open entry leads those that its size reaches
-            reach = DEN * n[open_at] // NUM
-            stop = np.array([a + np.searchsorted(n[a:z], r, "right") for a, z, r in zip(open_at.tolist(), open_end.tolist(), reach.tolist(), strict=True)], np.int64)
-            lens = stop - open_at
-            lead[np.arange(lens.sum()) + np.repeat(open_at - (np.cumsum(lens) - lens), lens)] = np.repeat(open_at, lens)
-            more = stop < open_end
-            open_at, open_end = stop[more], open_end[more]
-        keep = lead >= 0
-        out = [np.full(keep.sum(), 0, U) + ((U(bucket) << U(32)) | keys[keep].astype(U)), ids[keep], n[keep], pos[keep], ids[lead[keep]], n[lead[keep]], pos[lead[keep]]]
+        lens = np.diff(np.append(at, len(keys)))
+        lead, keep = np.repeat(at, lens), np.repeat(lens >= 2, lens)
+        out = [(U(bucket) << U(32)) | keys[keep].astype(U), ids[keep], n[keep], pos[keep], ids[lead[keep]], n[lead[keep]], pos[lead[keep]], rest[keep], rest[lead[keep]]]
         for a in range(0, len(out[0]), step):
             x = [c[a : a + step] for c in out]
-            yield pa.RecordBatch.from_arrays([pa.array(S.signed(x[0])), pa.array(S.signed(x[1])), pa.array(x[2]), pa.array(x[3]), pa.array(S.signed(x[4])), pa.array(x[5]), pa.array(x[6])], ["list", "set_id", "n", "pos", "leader", "leader_n", "leader_pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(S.signed(x[0])), pa.array(S.signed(x[1])), pa.array(x[2]), pa.array(x[3]), pa.array(S.signed(x[4])), *map(pa.array, x[5:])], ["list", "set_id", "n", "pos", "leader", "leader_n", "leader_pos", "rest", "leader_rest"])
 
-    sent = docs.mapInArrow(scan, "bucket bigint, keys binary, who binary, pos binary, ids binary, sizes binary")
+    sent = docs.mapInArrow(scan, "bucket bigint, keys binary, who binary, pos binary, ids binary, sizes binary, taken binary")
     met = sent.repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(lists, "list bigint, set_id bigint, n bigint, pos bigint, leader bigint, leader_n bigint, leader_pos bigint")
+    return met.mapInArrow(lists, "list bigint, set_id bigint, n bigint, pos bigint, leader bigint, leader_n bigint, leader_pos bigint, rest bigint, leader_rest bigint")
 
 
 def reachable(n, m, i, j):
@@ -285,11 +321,25 @@ def reachable(n, m, i, j):
     return F.least(i, j) + F.least(n - i, m - j) >= F.ceil((n + m) * F.lit(NUM) / F.lit(NUM + DEN))
 
 
+#: Columns of hashed bits: lost and extra shingles.
+BITS = ("l0", "l1", "l2", "l3", "e0", "e1", "e2", "e3")
+
+
+def hashed_bits(grams: np.ndarray) -> np.ndarray:
+    """256 bits, one set for each shingle."""
+    out = np.zeros(4, U)
+    np.bitwise_or.at(out, ((grams >> U(6)) & U(3)).astype(np.int64), U(1) << (grams & U(63)))
+    return out.view(np.int64)
+
+
 def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """a, b, a_n, b_n, shared of each pair (a, b: set ids), by intersecting whole sets made from one document of each."""
+    """a, b, a_n, b_n, shared of each pair (a, b: set ids), by intersecting whole sets made from one document of each; and as
+    hashed bits what b lacks of a (l0 to l3) and has beyond it (e0 to e3)."""
+    pairs = written(pairs.select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    owners = reps.join(wanted, "set_id").select("doc_id", "set_id")
-    texts = docs.join(owners, "doc_id").select("set_id", "text")
+    owners = written(reps.join(wanted, "set_id").select("doc_id", "set_id"), "owners")
+    few = owners.count() <= BROADCAST_IDS  # rows of two numbers
+    texts = docs.join(F.broadcast(owners) if few else owners, "doc_id").select("set_id", "text")
     # sets that only documents without an id have: these are all made, and those wanted stay
     nameless = docs.where("doc_id is null").select(F.lit(None).cast("bigint").alias("set_id"), "text")
 
@@ -310,16 +360,83 @@ def compared(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int) -> D
 
     def meet(batches):
         for part in batches:
-            shared, n, m = [], [], []
+            shared, n, m, bits = [], [], [], []
             for x, y in zip(part.column("x"), part.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                shared.append(int((y[at] == x).sum()))
+                in_y = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                in_x = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                shared.append(int(in_y.sum()))
                 n.append(len(x))
                 m.append(len(y))
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(shared, pa.int64())], ["a", "b", "a_n", "b_n", "shared"])
+                bits.append(np.concatenate([hashed_bits(x[~in_y]), hashed_bits(y[~in_x])]))
+            bits = np.array(bits, np.int64).reshape(-1, 8)
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *[pa.array(c, pa.int64()) for c in (n, m, shared)], *[pa.array(bits[:, k]) for k in range(8)]], ["a", "b", "a_n", "b_n", "shared", *BITS])
+
+    rows = both.select("a", "b", "x", "y").mapInArrow(meet, f"a bigint, b bigint, a_n bigint, b_n bigint, shared bigint, {', '.join(f'{c} bigint' for c in BITS)}")
+    spark = docs.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"  # sets may be large
+    before = spark.conf.get(key)
+    spark.conf.set(key, 500)
+    try:
+        return written(rows, "compared")
+    finally:
+        spark.conf.set(key, before)
 
-    return both.select("a", "b", "x", "y").mapInArrow(meet, "a bigint, b bigint, a_n bigint, b_n bigint, shared bigint")
+
+def shared_needed(n, m, rest):
+    """Least number of shingles in both prefixes for which sizes n and m can link: a shared shingle beyond the prefix that
+    ends first lies beyond it in that set, too.  rest: the larger number of shingles that either prefix leaves out."""
+    return F.greatest(F.lit(1), F.ceil((n + m) * F.lit(NUM) / F.lit(NUM + DEN)) - rest)
+
+
+def answers(known: DataFrame) -> DataFrame:
+    """One leader that each set was compared with: set_id, leader, leader_n, shared and the hashed bits.  A leader is its own,
+    too; of several the one with most sets is taken, for then most pairs have one in common."""
+    own = known.select(F.col("a").alias("b"), "a", "a_n", F.col("a_n").alias("shared"), *[F.lit(0).cast("bigint").alias(c) for c in BITS]).distinct()
+    members = known.groupBy("a").agg(F.count("*").alias("members"))
+    both = known.select(own.columns).unionByName(own).join(members, "a")
+    best = both.groupBy("b").agg(F.max(F.struct("members", F.col("a").alias("leader"), F.col("a_n").alias("leader_n"), "shared", *BITS)).alias("m"))
+    return best.select(F.col("b").alias("set_id"), "m.leader", "m.leader_n", "m.shared", *[f"m.{c}" for c in BITS])
+
+
+def open_entries(lists: DataFrame, comps: DataFrame, known: DataFrame) -> DataFrame:
+    """Entries of the lists with each set's component, its answer (null where it has none) and in how many lists it is."""
+    listed = lists.groupBy("set_id").agg(F.count("*").alias("listed"))
+    sides = [written(comps.select(F.col("node").alias("set_id"), "component"), "set-components"), written(answers(known), "answers"), written(listed, "listed")]
+    entries = lists.select("list", "set_id", "n", "pos", "rest")
+    for side in sides:
+        entries = entries.join(F.broadcast(side) if side.count() <= BROADCAST_SETS else side, "set_id", "left")
+    return entries.withColumn("component", F.coalesce("component", "set_id"))
+
+
+#: Columns of an entry, as the scans of whole lists read them.
+ENTRY = ("list", "set_id", "n", "pos", "rest", "component", "leader", "leader_n", "shared", "listed", *BITS)
+
+
+def pair_batch(*cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in cols], ["a", "b", "a_n", "b_n", "rest"])
+
+
+def whole_lists(batches):
+    """Whole lists, many at a time, each list's entries by size, position and id; from rows sorted by list."""
+
+    def numbered(rows):
+        group = np.cumsum(np.append(0, rows["list"][1:] != rows["list"][:-1]))
+        order = np.lexsort((rows["set_id"], rows["pos"], rows["n"], group))
+        return {c: x[order] for c, x in rows.items()} | {"group": group}
+
+    held = None
+    for b in batches:
+        rows = {c: pc.fill_null(b.column(c), 0).to_numpy(zero_copy_only=False) for c in ENTRY}
+        if held is not None:
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in ENTRY}
+        keys = rows["list"]
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last list may go on
+        held = {c: x[cut:] for c, x in rows.items()}
+        if cut:
+            yield numbered({c: x[:cut] for c, x in rows.items()})
+    if held is not None and len(held["list"]):
+        yield numbered(held)
 
 
 def linked(pairs: DataFrame) -> DataFrame:
@@ -327,56 +444,51 @@ def linked(pairs: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(entries: DataFrame, parts: int) -> DataFrame:
-    """a, b of pairs within one list that the links so far leave open.  entries: list, set_id, n, pos, component, near (the
-    intersection with the list's leader, null if not compared), leader, leader_n."""
+    """a, b of pairs that the links so far leave open and that share enough prefix shingles.  entries: see ENTRY."""
+
+    def room(rows, i, j):
+        """Most that two sets with one leader can share, by their answers to it."""
+        count = lambda *c: sum(np.bitwise_count(x.view(U)).astype(np.int64) for x in c)
+        lost = count(*[rows[c][i] | rows[c][j] for c in BITS[:4]])
+        beyond = (rows["n"] - rows["shared"])
+        only_i = count(*[rows[c][i] & ~rows[c][j] for c in BITS[4:]])
+        only_j = count(*[rows[c][j] & ~rows[c][i] for c in BITS[4:]])
+        return rows["leader_n"][i] - lost + np.minimum(beyond[i] - only_i, beyond[j] - only_j)
 
     def scan(batches, most: int = 500_000):
-        for _, rows in streamed(batches):
-            comp, n, pos, ids = rows["component"], rows["n"], rows["pos"], rows["set_id"]
-            far = 1 - rows["near"] / np.maximum(1, n + rows["leader_n"] - rows["near"])  # distance to the leader; nan if unknown
-            order = np.lexsort((ids, n))
-            comp, n, pos, ids, far, lead = comp[order], n[order], pos[order], ids[order], far[order], rows["leader"][order]
-            stop = np.searchsorted(n, DEN * n // NUM, "right")  # the block of sizes that can link with each
-            out_a, out_b, held = [], [], 0
-            for i in range(len(ids) - 1):
-                js = np.arange(i + 1, stop[i])
-                js = js[comp[js] != comp[i]]
-                if not len(js):
-                    continue
-                room = np.minimum(pos[i], pos[js]) + np.minimum(n[i] - pos[i], n[js] - pos[js])
-                ok = room >= overlap_needed(n[i], n[js])
-                ok &= ~((lead[js] == lead[i]) & (np.abs(far[js] - far[i]) > 1 - NUM / DEN + 1e-9))
-                ok &= (lead[js] != ids[i]) & (lead[i] != ids[js])  # compared already
-                js = js[ok]
-                out_a.append(np.minimum(ids[i], ids[js]))
-                out_b.append(np.maximum(ids[i], ids[js]))
-                held += len(js)
-                if held > most:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-                    out_a, out_b, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
-
-    def streamed(batches):
-        names = ["set_id", "n", "pos", "component", "near", "leader", "leader_n"]
-        now, held = None, []
-        for b in batches:
-            keys = b.column("list").to_numpy(zero_copy_only=False)
-            cuts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
-            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and keys[a] != now:
-                    yield now, {c: np.concatenate([h[k] for h in held]) for k, c in enumerate(names)}
-                    held = []
-                now = keys[a]
-                held.append([c[a:z] for c in cols])
-        if held:
-            yield now, {c: np.concatenate([h[k] for h in held]) for k, c in enumerate(names)}
-
-    return entries.repartition(parts, "list").sortWithinPartitions("list").select("list", "set_id", "n", "pos", "component", F.col("near").cast("double").alias("near"), "leader", "leader_n").mapInArrow(scan, "a bigint, b bigint").distinct()
-
-
-def jaccard_classes(docs: DataFrame, size: int = 5, heavy_least: int = 64, heavy_most: int = 200_000) -> DataFrame:
+        for rows in whole_lists(batches):
+            comp, n, pos, ids, lead, rest = (rows[c] for c in ("component", "n", "pos", "set_id", "leader", "rest"))
+            known = rows["leader_n"] > 0
+            group = rows["group"] << 32
+            stop = np.searchsorted(group + n, group + DEN * n // NUM, "right")  # the block of sizes that can link with each
+            sums = np.concatenate([[0], np.cumsum(stop - np.arange(len(n)) - 1)])
+            a = 0
+            while a < len(n):
+                z = max(a + 1, int(np.searchsorted(sums, sums[a] + most, "right")) - 1)
+                i = np.repeat(np.arange(a, z), np.diff(sums[a : z + 1]))
+                j = np.arange(sums[a], sums[z]) - sums[i] + i + 1
+                ok = comp[i] != comp[j]
+                i, j = i[ok], j[ok]
+                ok = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= overlap_needed(n[i], n[j])
+                # two sets share no more prefix shingles than either has in lists
+                ok &= np.minimum(rows["listed"][i], rows["listed"][j]) >= overlap_needed(n[i], n[j]) - np.maximum(rest[i], rest[j])
+                ok &= ~((known[j] & (lead[j] == ids[i])) | (known[i] & (lead[i] == ids[j])))  # compared already
+                i, j = i[ok], j[ok]
+                same = known[i] & known[j] & (lead[i] == lead[j])
+                ok = np.ones(len(i), bool)
+                ok[same] = room(rows, i[same], j[same]) >= overlap_needed(n[i[same]], n[j[same]])
+                i, j = i[ok], j[ok]
+                i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+                if len(i):
+                    yield pair_batch(ids[i], ids[j], n[i], n[j], np.maximum(rest[i], rest[j]))
+                a = z
+
+    found = entries.repartition(parts, "list").sortWithinPartitions("list").select(*ENTRY).mapInArrow(scan, "a bigint, b bigint, a_n bigint, b_n bigint, rest bigint")
+    counted = found.groupBy("a", "b", "a_n", "b_n", "rest").agg(F.count("*").alias("met"))
+    return counted.where(F.col("met") >= shared_needed(F.col("a_n"), F.col("b_n"), F.col("rest"))).select("a", "b")
+
+
+def jaccard_classes(docs: DataFrame, size: int = 5, heavy_least: int = 12, heavy_most: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -389,16 +501,12 @@ def jaccard_classes(docs: DataFrame, size: int = 5, heavy_least: int = 64, heavy
 
     parts = partitions_for(spark, lists.count(), 500_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     led = lists.where("set_id <> leader").where(reachable(F.col("n"), F.col("leader_n"), F.col("pos"), F.col("leader_pos")))
-    stars = led.select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct()
-    first = written(compared(stars, docs, reps, size), "stars")
-    links = linked(first).select("a", "b")
-    comps = components(links)
-
-    entries = lists.join(comps.select(F.col("node").alias("set_id"), "component"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = entries.groupBy("list").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("k")).where("c0 <> c1 and k > 2").select("list")
-    entries = entries.join(mixed, "list", "left_semi").join(first.select(F.col("a").alias("leader"), F.col("b").alias("set_id"), F.col("shared").alias("near")), ["leader", "set_id"], "left")
-    entries = entries.withColumn("near", F.when(F.col("leader") == F.col("set_id"), F.col("n")).otherwise(F.col("near")))
-    rest = written(remaining_pairs(entries, parts), "rest")
+    stars = led.select(F.col("leader").alias("a"), F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("leader_n").alias("k"), F.greatest("rest", "leader_rest").alias("rest"))
+    stars = stars.groupBy("a", "b", "m", "k", "rest").agg(F.count("*").alias("met"))
+    stars = stars.where(LIKELY * F.col("met") >= shared_needed(F.col("m"), F.col("k"), F.col("rest"))).select("a", "b")  # the others are left open
+    known = compared(stars, docs, reps, size)
+    comps = components(linked(known).select("a", "b"))
+    rest = written(remaining_pairs(open_entries(lists, comps, known), parts), "rest")
     if not rest.isEmpty():
         more = linked(compared(rest, docs, reps, size)).select("a", "b")
         comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(more))

@@ -45,7 +45,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``most`` bytes of text each."""
     for batch in batches:
         n = batch.num_rows
@@ -118,9 +118,9 @@ def windows(h: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np
         return np.zeros(0, U), np.zeros(0, np.int64)
     first = np.flatnonzero(owner[:n] == owner[size - 1 :])
     out = np.zeros(n, U)
-    for k in range(size):
-        out = mix(out + h[k : k + n] * U((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64))
-    return out[first], first
+    for k in range(size):  # the values are hashes already; each place has an odd factor of its own
+        out += h[k : k + n] * U(0x9E3779B97F4A7C15 ** (k + 1) % 2**64)
+    return mix(out[first]), first
 
 
 def segments(counts: np.ndarray) -> np.ndarray:
