@@ -268,7 +268,7 @@ def test_decontamination(spark):
     plain = prose(rng, 40, 10**6)
     bench = spark.createDataFrame([(0, item), (1, plain), (2, None), (3, ""), (4, "only four common words"), (None, plain)], "item_id bigint, text string")
     lead = prose(rng, 30, 10**6)
-    texts = [None, "", lead, f"{lead} {plain} {lead}", f"{lead}. {plain.upper()}!", f"{lead} {other}", f"{lead} {clash.replace('apples and', 'pears and')}", f"{lead} only FOUR common words. {lead}", " ".join(plain.split()[:9]), " ".join(plain.split()[:20]), f"{plain} {item}"]
+    texts = [None, "", lead, f"{lead} {plain} {lead}", f"{lead}. {plain.upper()}!", f"{lead} {other}", f"{lead} {clash}", f"{lead} only FOUR common words. {lead}", " ".join(plain.split()[:9]), " ".join(plain.split()[:20]), f"{plain} {item}"]
     docs = frame(spark, texts).withColumn("item_id", F.lit("clash"))
     for most in (10**6, 0):  # with and without the broadcast filter
         got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(docs, bench, broadcast_windows=most).collect()}
