@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import textscan as S
-from .shared import written
+from .shared import partitions_for, written
 from .tokenize import encoder, vocabulary
 
 EDGE = "array<struct<at:int,before:int,print:bigint>>"
@@ -62,7 +62,8 @@ def count_huge(rows: DataFrame, tokenizer: str, chunk: int, overlap: int, agree:
             edge = pa.list_(pa.struct([("at", pa.int32()), ("before", pa.int32()), ("print", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("row_id"), b.column("begin"), pa.array(cols["n_tokens"], pa.int64()), pa.array(cols["head"], edge), pa.array(cols["tail"], edge)], ["row_id", "begin", "n_tokens", "head", "tail"])
 
-    spread = chunks.repartition(F.col("row_id"), F.col("begin"))
+    size = rows.agg(F.sum("n_chars")).first()[0] or 0
+    spread = chunks.repartition(partitions_for(rows.sparkSession, size, 8 * chunk), F.col("row_id"), F.col("begin"))
     each = spread.mapInArrow(encode, f"row_id string, begin bigint, n_tokens bigint, head {EDGE}, tail {EDGE}")
     by = Window.partitionBy("row_id").orderBy("begin")
     pairs = each.withColumns({"next_head": F.lead("head").over(by)})
