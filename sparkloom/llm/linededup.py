@@ -12,8 +12,8 @@ words must be equal).  The earliest stays.
    of whole lines with deletions.
 4. The edit distance of each line and the earlier line found is verified on the words.
 
-Defined results: null and empty texts have no lines with words; lines without words always stay; repeated rows of one doc_id
-are told apart by a running number in the order of their texts' hashes; rows with a null doc_id keep all their lines and
+Defined results: null and empty texts have no lines with words; lines without words always stay; rows of one
+doc_id are told apart, and ordered, by a hash of their texts, and rows alike in both are one; rows with a null doc_id keep all their lines and
 count as no one's earlier line; extra columns pass through :func:`apply_line_dedup`; an empty table gives no rows.
 """
 
@@ -30,7 +30,7 @@ BROADCAST_LINES = 200_000
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with row_no: 0 but for repeated doc_ids."""
+    """docs with row_no, a hash of the text: it tells rows of one doc_id apart."""
     return docs.withColumn("row_no", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 

@@ -66,8 +66,8 @@ def n_repeat_words(ws: Column, size: int = 5) -> Column:
         ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
 
         def starts(s: Column) -> Column:
-            same = lambda e, k: (F.get(s, k - 1)["x"] == e["x"]) | (F.get(s, k + 1)["x"] == e["x"])
-            return F.array_sort(F.transform(F.filter(s, lambda e, k: F.coalesce(F.get(s, k - 1)["x"] == e["x"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["x"] == e["x"], F.lit(False))), lambda e: e["i"]))
+            beside = lambda e, k, d: F.coalesce(F.get(s, k + d)["x"] == e["x"], F.lit(False))
+            return F.array_sort(F.transform(F.filter(s, lambda e, k: beside(e, k, -1) | beside(e, k, 1)), lambda e: e["i"]))
 
         def length(p: Column) -> Column:
             return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(size), F.coalesce(F.get(p, k + 1) - x, F.lit(size)))), F.lit(0), lambda a, x: a + x)
@@ -77,8 +77,8 @@ def n_repeat_words(ws: Column, size: int = 5) -> Column:
     return let(hashes, covered).cast("long")
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """All measures of one text column; arrays are made once, inside one struct (see :func:`measured`)."""
+def measures(text: Column) -> Column:
+    """All measures of a text as one struct; the arrays they share are made once."""
     full = F.coalesce(text, F.lit(""))
 
     def counts(ws: Column) -> Column:
@@ -97,8 +97,7 @@ def measures(text: Column) -> dict[str, Column]:
             ),
         )
 
-    m = let(words(full), counts)
-    return {"m": m}
+    return let(words(full), counts)
 
 
 def rule(name: str, least: float | None, most: float | None, m: Column) -> Column:
@@ -135,12 +134,12 @@ def judged(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row for each row of docs: doc_id, the measures, base_failed, kept."""
     m = F.col("m")
     cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return docs.select("doc_id", measures(F.col("text"))["m"].alias("m")).select("doc_id", *[m[c].alias(c) for c in cols], base_failed(m).alias("base_failed"), verdict(m, rules).alias("kept"))
+    return docs.select("doc_id", measures(F.col("text")).alias("m")).select("doc_id", *[m[c].alias(c) for c in cols], base_failed(m).alias("base_failed"), verdict(m, rules).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
-    return docs.where(let(measures(F.col("text"))["m"], lambda m: verdict(m, rules)))
+    return docs.where(let(measures(F.col("text")), lambda m: verdict(m, rules)))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
