@@ -409,6 +409,18 @@ def open_entries(lists: DataFrame, comps: DataFrame, known: DataFrame) -> DataFr
     return entries.withColumn("component", F.coalesce("component", "set_id"))
 
 
+def hub_pairs(entries: DataFrame) -> DataFrame:
+    """a, b: sets that no leader was compared with (b), each with the leader (a) that most of its lists' sets answer to, where
+    the set is in enough lists to link with one of its size.  Their answers let most of their pairs be skipped."""
+    few = F.ceil(2 * F.col("n") * F.lit(NUM) / F.lit(NUM + DEN)) - F.col("rest")
+    alone = entries.where(F.col("leader").isNull() & (F.col("listed") >= few)).select("list", "set_id", few.alias("few"))
+    led = entries.where(F.col("leader").isNotNull()).groupBy("list", "leader").agg(F.count("*").alias("k"))
+    hubs = led.groupBy("list").agg(F.max(F.struct("k", "leader")).alias("m")).select("list", F.col("m.leader").alias("hub"))
+    met = alone.join(hubs, "list").groupBy("set_id", "hub").agg(F.count("*").alias("k"), F.min("few").alias("few"))
+    met = met.where(2 * F.col("k") >= F.col("few"))
+    return met.groupBy("set_id").agg(F.max(F.struct("k", "hub")).alias("m")).select(F.col("m.hub").alias("a"), F.col("set_id").alias("b"))
+
+
 #: Columns of an entry, as the scans of whole lists read them.
 ENTRY = ("list", "set_id", "n", "pos", "rest", "component", "leader", "leader_n", "shared", "listed", *BITS)
 
@@ -506,6 +518,10 @@ def jaccard_classes(docs: DataFrame, size: int = 5, heavy_least: int = 12, heavy
     stars = stars.where(LIKELY * F.col("met") >= shared_needed(F.col("m"), F.col("k"), F.col("rest"))).select("a", "b")  # the others are left open
     known = compared(stars, docs, reps, size)
     comps = components(linked(known).select("a", "b"))
+    entries = open_entries(lists, comps, known)
+    adopted = compared(hub_pairs(entries), docs, reps, size)
+    known = known.unionByName(adopted)
+    comps = components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(linked(adopted).select("a", "b")))
     rest = written(remaining_pairs(open_entries(lists, comps, known), parts), "rest")
     if not rest.isEmpty():
         more = linked(compared(rest, docs, reps, size)).select("a", "b")
