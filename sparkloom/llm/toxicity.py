@@ -141,7 +141,7 @@ def train(table: pa.Table, dims: int = 8, epochs: int = 40, rate: float = 0.3, p
         return none
     keys, grams, begins, doc_word, doc_of = np.zeros(0, U), [], [], [], []
     done = 0
-    for batch in table.to_batches(max_chunksize=500):
+    for batch in table.to_batches(max_chunksize=200):
         for part in S.blocks([batch], "words"):
             buf, offs = S.raw(part.column("words"))
             starts, ends = S.runs(~GAP[buf], offs)
@@ -250,7 +250,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(scan, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{name}` double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 5_000) -> Model:
     return train(training_rows(docs, labels, sample_rows))
 
 
@@ -260,7 +260,7 @@ def drop_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
     return scored.where(F.col(scored.columns[-1]) < cut).select(*docs.columns)
 
 
-def op5_toxicity(spark: SparkSession, sf_dir: str, sample_rows: int = 8_000) -> DataFrame:
+def op5_toxicity(spark: SparkSession, sf_dir: str, sample_rows: int = 5_000) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), sample_rows)
     out = score_texts(docs, model)
