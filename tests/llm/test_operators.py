@@ -278,6 +278,17 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_runs(spark):
+    tell = "Ann sold 40 pears and then she sold 25 plums to the man next door"
+    ask = "how much money did the seller take home after both of these sales were paid in full"
+    trip = "they packed 14 red cups for the trip, indeed they lost 14 of them on the way back home"
+    bench = spark.createDataFrame([(0, f"{tell} now {ask}"), (1, trip)], "item_id bigint, text string")
+    clash = tell.replace("25", "40")
+    texts = [f"{clash} then {ask}", f"{clash} now {ask}", clash, f"{tell.replace('25', '26')} then {ask}", trip.replace("indeed they lost 14", "sadly they lost 15")]
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.reparameterised) for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    assert got == {(0, 0): (17, False), (3, 0): (32, True), (4, 1): (10, True)}
+
+
 # mixing
 
 
