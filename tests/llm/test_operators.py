@@ -289,6 +289,23 @@ def test_decontamination_judges_runs(spark):
     assert got == {(0, 0): (17, False), (3, 0): (32, True), (4, 1): (10, True)}
 
 
+def test_decontamination_of_other_case_and_line_breaks(spark):
+    item = "when the train from Köln stops in Ulm the guard calls Jörg and then Petra walks up with tea for Marta or Éva"
+    bench = spark.createDataFrame([(0, item), (1, "we met Anna Maria Lopez twice")], "item_id bigint, text string")
+    other = item.replace("Ulm", "Bonn").replace("Petra", "Heike")
+    texts = [item, item.upper(), item.lower(), item.title(), item.replace(" Ulm", "\nUlm").replace(" Petra", ".\nPetra"), other, other.upper(), "So WE MET ANNA MARIA LOPEZ TWICE there", "tea for Marta or Éva"]
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.reparameterised) for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
+    n = len(item.split())
+    assert got == {**{(k, 0): (n, False) for k in range(5)}, (5, 0): (n, True), (7, 1): (6, False)}
+
+
+def test_small_letters():
+    texts = ["AÄÖÜ ÉÈ ß ẞ ŁŃ", "ЖЮЯ ЁЂ", "ΑΒΓΩ", "Ếễ ༀ 中文 😀 x", "İI Kelvin \u212a"]
+    for x in texts:
+        want = "".join(c.lower() if len(c.lower().encode()) == len(c.encode()) else c for c in x)
+        assert bytes(decontaminate.lower(np.frombuffer(x.encode(), np.uint8))).decode() == want
+
+
 # mixing
 
 
