@@ -94,6 +94,28 @@ def test_images(spark):
     assert got == [("png", 640, 480), ("gif", 3, 5), ("bmp", 7, 9), ("jpeg", 10, 20), (None, None, None), ("png", None, None)]
 
 
+def test_jpeg_segments(spark):
+    frame = lambda mark, h, w: bytes([0xFF, mark, 0, 17, 8]) + struct.pack(">HH", h, w) + bytes(10)
+    part = lambda mark, body: bytes([0xFF, mark]) + struct.pack(">H", len(body) + 2) + body
+    thumb = b"Exif\0\0\xff\xd8" + frame(0xC0, 1, 2) + b"\xff\xd9"
+    soi, scan = b"\xff\xd8", part(0xDA, bytes(6)) + bytes(50) + b"\xff\xd9"
+    texts = [
+        soi + part(0xE2, bytes(65000)) * 3 + frame(0xC0, 30, 40) + scan,  # behind the first 65,536 bytes
+        soi + part(0xE1, thumb) + frame(0xC2, 50, 60) + scan,  # behind a thumbnail
+        soi + part(0xC4, thumb) + b"\xff\xff\xff" + frame(0xC9, 70, 80) + scan,
+        soi + part(0xFE, b"x") * 3000 + frame(0xC1, 9, 8),
+        soi + part(0xE1, thumb) + scan + frame(0xC0, 1, 2),  # none before the scan
+        soi + part(0xE1, thumb)[:-1],
+        soi + frame(0xC0, 1, 2)[:8],
+        soi + b"\xff\xe0\0\0" + frame(0xC0, 1, 2),
+        soi + b"\xff",
+    ]
+    df = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(texts)], "id int, content binary")
+    got = [(r.kind, r.width, r.height) for r in images.image_headers(df).orderBy("id").collect()]
+    assert got[:4] == [("jpeg", 40, 30), ("jpeg", 60, 50), ("jpeg", 80, 70), ("jpeg", 8, 9)]
+    assert got[4:] == [("jpeg", None, None)] * 5
+
+
 def test_blocks_and_groups(spark):
     lines = spark.createDataFrame([("0000..007F; Basic",), ("# no",), ("0100..017F; More",)], "value string")
     known = blocks.parse_blocks(lines)
