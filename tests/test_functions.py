@@ -3,6 +3,7 @@ import struct
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from sparkloom import catalogue
 from sparkloom.functions import binary, codecs, text
 from sparkloom.functions.text import wrap_text
 from sparkloom.operators import groups
@@ -94,6 +95,23 @@ def test_images(spark):
     assert got == [("png", 640, 480), ("gif", 3, 5), ("bmp", 7, 9), ("jpeg", 10, 20), (None, None, None), ("png", None, None)]
 
 
+def test_wrapped_lines_of_all_documents(spark, tmp_path):
+    texts = {1: "one two " * 30, 2: "x" * 95 + " y", 3: "", 4: "中文" * 25, 5: "a\n\tb  c", 6: "no-break " + "w" * 40}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in catalogue.queries()["wrapped_lines"](spark, str(tmp_path)).collect()}
+    assert got.keys() == texts.keys()
+    width = lambda line: sum(1 if ord(c) < 256 else 2 for c in line)
+    for i, text_ in texts.items():
+        lines = got[i].filled.split("\n") if got[i].filled else []
+        assert len(lines) == got[i].lines and "".join(got[i].filled.split()) == "".join(text_.split())
+        assert all(0 < width(x) <= 40 for x in lines)
+        # no line has room for the next one's first unit: a word, or a wide character
+        for x, y in zip(lines, lines[1:]):
+            unit = y[0] if ord(y[0]) > 255 else y.split()[0]
+            assert width(x) + width(unit) + (ord(y[0]) < 256 and len(x) < 40) > 40
+    assert [got[k].lines for k in (1, 2, 3, 4, 5, 6)] == [6, 3, 0, 3, 1, 2]
+
+
 def test_jpeg_segments(spark):
     frame = lambda mark, h, w: bytes([0xFF, mark, 0, 17, 8]) + struct.pack(">HH", h, w) + bytes(10)
     part = lambda mark, body: bytes([0xFF, mark]) + struct.pack(">H", len(body) + 2) + body
