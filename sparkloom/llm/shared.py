@@ -33,10 +33,42 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
 
     A lost executor then costs one re-read, never the work before.  The files stay until the folder is cleared.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return _written(df, new_path(df.sparkSession, name), options)
+
+
+def _written(df: DataFrame, path: str, options: dict) -> DataFrame:
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """One folder in the shared folder for the intermediate tables of one job; :meth:`drop` deletes it.
+
+    What the job returns is written outside of it before (:func:`written`), so nothing that is still read goes away.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.made = spark, new_path(spark, name), 0
+
+    def written(self, df: DataFrame, name: str, **options) -> DataFrame:
+        """As :func:`written`, within the folder."""
+        self.made += 1
+        return _written(df, f"{self.path}/{self.made:03d}-{name}", options)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Each wanted name, with as many ``_`` behind it as make it differ from all columns (in any case of letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def word_count(text):
