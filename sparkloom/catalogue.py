@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -131,9 +132,9 @@ def where_not_null(s, d):
     return _nullable(s, d)[this("status") != null(), ::]
 
 
-@query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'O' and o_totalprice > 50000 and o_orderkey < 5000")
+@query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'O' and o_totalprice > 50000 and o_orderpriority <> '1-URGENT'")
 def where_mixed(s, d):
-    return Tables(s, d).orders["o_orderkey", "o_totalprice", {"o_orderstatus": "O"}, this("o_totalprice") > 50000, this("o_orderkey") < 5000, ::]
+    return Tables(s, d).orders["o_orderkey", "o_totalprice", {"o_orderstatus": "O"}, this("o_totalprice") > 50000, this("o_orderpriority") != "1-URGENT", ::]
 
 
 @query("select p_partkey, p_name from part where starts_with(p_type, 'S')")
@@ -233,9 +234,9 @@ def distinct(s, d):
 
 
 def _shards(s, d, splitter=True):
-    o = Tables(s, d).frame("orders")
-    parts = {str(k): o.where(F.pmod("o_custkey", F.lit(4)) == k) for k in range(4)}
-    return Table(parts, ["o_orderkey"], splitter=(lambda r: [str(r["o_custkey"] % 4)] if "o_custkey" in r else list(parts)) if splitter else None)
+    keys = [str(k) for k in range(4)]
+    where = lambda r: [str(r["o_custkey"] % 4)] if "o_custkey" in r else keys
+    return Table.by_column(Tables(s, d).frame("orders"), F.pmod("o_custkey", F.lit(4)), keys, key=["o_orderkey"], splitter=where if splitter else None)
 
 
 @query("select * from orders")
@@ -265,7 +266,7 @@ def add_tables(s, d):
     return (a + Table(t.frame("region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))))[::]
 
 
-@query("select table_name as \"table\", n as columns from (values ('nation', 3), ('region', 2)) t(table_name, n)")
+@query("select 'nation' as \"table\", count(*)::int as columns from (describe nation) union all select 'region', count(*)::int from (describe region)")
 def catalog_columns(s, d):
     t = Tables(s, d)
     db = DataBase.by_name({n: t.frame(n) for n in ("nation", "region")})
@@ -295,9 +296,9 @@ def hex_str_int(s, d):
     return Tables(s, d).customer["c_custkey", HEX(this("c_name")).rename("name_hex"), HEX(this("c_custkey")).rename("key_hex"), ::]
 
 
-@query("select page_id, replace(replace(replace(replace(replace(left(html, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as escaped from pages")
+@query("select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as escaped from pages")
 def xml_escape(s, d):
-    return Tables(s, d).frame("pages").select("page_id", text.xml_escape(F.left("html", F.lit(500))).alias("escaped"))
+    return Tables(s, d).frame("pages").select("page_id", text.xml_escape(F.col("html")).alias("escaped"))
 
 
 @query(
@@ -335,9 +336,10 @@ def codec_enum(s, d):
     return _codec(s, d, "orders", "o_orderkey", F.col("o_orderstatus"), codecs.enum_int(["O", "F", "P"]))
 
 
-@query("select o_orderkey, (case o_orderstatus when 'O' then 1 when 'F' then 2 else 4 end + 8)::bigint as stored from orders")
+@query("select o_orderkey, (case o_orderstatus when 'O' then 1 when 'F' then 2 else 4 end + 8)::bigint as stored, o_orderstatus || ',x' as back from orders")
 def codec_bitset(s, d):
-    return _codec(s, d, "orders", "o_orderkey", F.array("o_orderstatus", F.lit("x"), F.lit("x")), codecs.bit_set(["O", "F", "P", "x"])).select("o_orderkey", "stored")
+    both = _codec(s, d, "orders", "o_orderkey", F.array("o_orderstatus", F.lit("x"), F.lit("x")), codecs.bit_set(["O", "F", "P", "x"]))
+    return both.withColumn("back", F.array_join("back", ","))
 
 
 @query("select event_id, (props->>'k')::int as k from events")
@@ -346,9 +348,9 @@ def codec_json(s, d):
     return Tables(s, d).frame("events").select("event_id", c.de(c.en(c.de(F.col("props"))))["k"].alias("k"))
 
 
-@query("select c_custkey, lower(hex(c_name)) as back from customer")
+@query("select c_custkey, c_name as stored, lower(hex(c_name)) as back from customer")
 def codec_hex(s, d):
-    return _codec(s, d, "customer", "c_custkey", F.hex("c_name"), codecs.HEX_BIN).select("c_custkey", "back")
+    return _codec(s, d, "customer", "c_custkey", F.hex("c_name"), codecs.HEX_BIN).withColumn("stored", F.col("stored").cast("string"))
 
 
 @query("select doc_id, hex(case when toxic = 1 then '\\x01'::blob else '\\x00'::blob end) as stored, toxic = 1 as back from labels")
@@ -431,7 +433,7 @@ def line_del(s, d):
     return _lines(s, d).delete(a, b).df
 
 
-OVER = EVENTS + SEGMENTS.format(n=1, v=V, d="event_id % 2 = 0") + SEGMENTS.format(n=2, v=V, d="event_id % 2 = 1") + """
+OVER = EVENTS + SEGMENTS.format(n=1, v=V, d="event_type in ('view', 'click')") + SEGMENTS.format(n=2, v=V, d="event_type not in ('view', 'click')") + """
 , p as (select user_id, start as ts from s1 union select user_id, start from s2)
 , j as (select p.user_id, p.ts, x.value as a, y.value as b from p left join s1 x on x.user_id = p.user_id and x.start <= p.ts and (x."end" is null or p.ts < x."end")
         left join s2 y on y.user_id = p.user_id and y.start <= p.ts and (y."end" is null or p.ts < y."end"))
@@ -443,7 +445,8 @@ select user_id, min(ts) as start, case when count(*) = count(nxt) then max(nxt)
 
 
 def _two(s, d):
-    return _lines(s, d, where=F.col("event_id") % 2 == 0), _lines(s, d, where=F.col("event_id") % 2 == 1)
+    seen = F.col("event_type").isin("view", "click")
+    return _lines(s, d, where=seen), _lines(s, d, where=~seen)
 
 
 @query(OVER.format(f="case when a is not null then a + coalesce(b, 0) end"))
@@ -503,20 +506,21 @@ def line_integral(s, d):
     return Lines(whole, lines.by).integral()
 
 
-@query(SECONDS + " select user_id, count(*) as segments, min(start) as left, cast(null as timestamp) as right from s1 group by 1")
+@query(SECONDS + """ select user_id, count(*) as segments, min(start) as left, max("end") as right from s1 where "end" is not null group by 1""")
 def line_bounds(s, d):
     lines = _lines(s, d)
+    lines = Lines(lines.df.where("end is not null"), lines.by)
     return lines.count().join(lines.bounds(), "user_id")
 
 
 # row-level changes
 
-NEW = "select c_custkey + 100 as c_custkey, upper(c_name) as c_name, c_nationkey, c_acctbal, c_mktsegment from customer where c_custkey % 10 = 0"
+NEW = "select c_custkey + 100 as c_custkey, upper(c_name) as c_name, c_nationkey, c_acctbal, c_mktsegment from customer where c_mktsegment = 'BUILDING'"
 
 
 def _customers(s, d):
     c = Tables(s, d).frame("customer")
-    new = c.where("c_custkey % 10 = 0").select((F.col("c_custkey") + 100).alias("c_custkey"), F.upper("c_name").alias("c_name"), "c_nationkey", "c_acctbal", "c_mktsegment")
+    new = c.where("c_mktsegment = 'BUILDING'").select((F.col("c_custkey") + 100).alias("c_custkey"), F.upper("c_name").alias("c_name"), "c_nationkey", "c_acctbal", "c_mktsegment")
     return c, new, ["c_custkey"]
 
 
@@ -579,10 +583,10 @@ def copy_rename_align(s, d):
     return move.datamove(Tables(s, d).frame("customer"), target, {"p_partkey": "c_custkey", "p_name": "c_name", "nation": "c_nationkey"}, "c_acctbal > 1000")
 
 
-@query("select s_suppkey as c_custkey, s_name as c_name, s_nationkey as c_nationkey, s_acctbal as c_acctbal, cast(null as varchar) as c_mktsegment from supplier where s_suppkey not in (select c_custkey from customer where c_custkey % 2 = 0)")
+@query("select s_suppkey as c_custkey, s_name as c_name, s_nationkey as c_nationkey, s_acctbal as c_acctbal, cast(null as varchar) as c_mktsegment from supplier where s_suppkey not in (select c_custkey from customer where c_acctbal > 0)")
 def copy_ignore(s, d):
     t = Tables(s, d)
-    target = t.frame("customer").where("c_custkey % 2 = 0")
+    target = t.frame("customer").where("c_acctbal > 0")
     return move.datamove(t.frame("supplier"), target, {"c_custkey": "s_suppkey", "c_name": "s_name", "c_nationkey": "s_nationkey", "c_acctbal": "s_acctbal"}, key=("c_custkey",))
 
 
@@ -623,9 +627,13 @@ def validate_errors(s, d):
 # nested data and groups
 
 
-@query("select event_id, 'k' as path, props->>'k' as value from events")
+@query(
+    "select event_id, unnest(['k', 'at.type', 'at.user.id', 'at.user.seen.[0]', 'at.user.seen.[1].v']) as path, unnest([props->>'k', event_type, user_id::varchar, 'x', floor(value)::bigint::varchar]) as value from events"
+)
 def flatten_json(s, d):
-    return nested.leaves(Tables(s, d).frame("events"), ["event_id"], "props")
+    user = F.concat(F.lit('{"id": '), F.col("user_id"), F.lit(', "seen": ["x", {"v": '), F.floor("value"), F.lit("}]}"))
+    deep = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "at": {"type": "'), F.col("event_type"), F.lit('", "user": '), user, F.lit("}}"))
+    return nested.leaves(Tables(s, d).frame("events").select("event_id", deep.alias("j")), ["event_id"], "j", depth=5)
 
 
 @query("select c_custkey, unnest(['c_name', 'c_mktsegment']) as key, unnest([c_name, c_mktsegment]) as value from customer")
@@ -655,11 +663,14 @@ def chart_buckets(s, d):
     return groups.chart_buckets(e, "v", 4, ("event_type",))
 
 
-@query("select 'r' || r_regionkey as node, 0 as depth from region union all select 'n' || n_nationkey, 1 from nation")
+@query(
+    "select 'r' || r_regionkey as node, 0 as depth from region union all select 'n' || n_nationkey, 1 from nation union all select 'c' || c_custkey, 2 from customer union all select 'o' || o_orderkey, 3 from orders where o_custkey in (select c_custkey from customer)"
+)
 def bfs_depth(s, d):
     t = Tables(s, d)
-    edges = t.frame("region").select(F.concat(F.lit("r"), "r_regionkey").alias("child"), F.lit(None).cast("string").alias("parent")).unionByName(t.frame("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent")))
-    return groups.tree_levels(edges, F.col("parent").isNull()).select("node", "depth")
+    level = lambda table, mark, key, up, above: t.frame(table).select(F.concat(F.lit(mark), key).alias("child"), (F.concat(F.lit(up), above) if up else F.lit(None).cast("string")).alias("parent"))
+    parts = [level("region", "r", "r_regionkey", None, None), level("nation", "n", "n_nationkey", "r", "n_regionkey"), level("customer", "c", "c_custkey", "n", "c_nationkey"), level("orders", "o", "o_orderkey", "c", "o_custkey")]
+    return groups.tree_levels(reduce(DataFrame.unionByName, parts), F.col("parent").isNull()).select("node", "depth")
 
 
 @query("select c_custkey, case when c_acctbal < 0 then 'debt' when c_acctbal < 5000 then 'some' when c_acctbal < 9000 then 'much' else '-' end as class from customer")
@@ -680,6 +691,204 @@ def checksum(s, d):
     return Tables(s, d).frame("part").select("p_partkey", binary.checksum32(F.col("p_brand").cast("binary")).alias("sum"))
 
 
+# what stands apart above: places of lines, single rows, lookups, bytes and numbers
+
+
+@query(SECONDS + """, t as (select min(ts) + (max(ts) - min(ts)) / 4 as a, min(ts) + (max(ts) - min(ts)) / 2 as b from events)
+, u as (select user_id, start, case when "end" is null or "end" > a then a else "end" end as "end", value from s1, t where start < a
+        union all select user_id, greatest(start, b), "end", value from s1, t where "end" is null or "end" > b
+        union all select distinct user_id, a, b, -1 from s1, t)
+, f as (select *, case when lag(value) over w is distinct from value or lag("end") over w is distinct from start then 1 else 0 end as fresh from u window w as (partition by user_id order by start))
+, r as (select *, sum(fresh) over (partition by user_id order by start) as run from f)
+select user_id, min(start) as start, case when count(*) = count("end") then max("end") end as "end", any_value(value) as value from r group by user_id, run""")
+def line_set(s, d):
+    a, b = _quarter(s, d)
+    return _lines(s, d).set(a, b, -1).df
+
+
+@query(SECONDS + """, m as (select user_id, epoch_us(start) + 5 as start, epoch_us("end") + 5 as "end", value // 100 as value from s1)
+, f as (select *, case when lag(value) over w is distinct from value then 1 else 0 end as fresh from m window w as (partition by user_id order by start))
+, r as (select *, sum(fresh) over (partition by user_id order by start) as run from f)
+select user_id, min(start) as start, case when count(*) = count("end") then max("end") end as "end", any_value(value)::bigint as value from r group by user_id, run""")
+def line_map(s, d):
+    return _in_seconds(s, d).map(lambda v: F.expr("value div 100"), lambda p: p + 5).df
+
+
+PAIRED = OVER.replace("any_value(v) as value", "any_value(v).a as a, any_value(v).b as b")
+
+
+@query(PAIRED.format(f="case when a is not null and b is not null then {'a': a, 'b': b} end"))
+def line_zip(s, d):
+    a, b = _two(s, d)
+    return a.zip(b).df.select("user_id", "start", "end", "value.a", "value.b")
+
+
+@query(PAIRED.format(f="case when a is not null or b is not null then {'a': a, 'b': b} end"))
+def line_xzip(s, d):
+    a, b = _two(s, d)
+    return a.xzip(b).df.select("user_id", "start", "end", "value.a", "value.b")
+
+
+@query(EVENTS + SEGMENTS.format(n=1, v=V, d="true") + ' select user_id, start, "end", value from s1')
+def line_sharded(s, d):
+    a, b = _quarter(s, d)
+    return _lines(s, d).sharded([a, b]).joined().df
+
+
+@query(SECONDS + """, t as (select min(ts) + (max(ts) - min(ts)) / 4 as a, min(ts) + (max(ts) - min(ts)) / 2 as b from events)
+, c as (select user_id, greatest(start, a) as start, least(coalesce("end", b), b) as "end" from s1, t where greatest(start, a) < least(coalesce("end", b), b))
+select user_id, sum(epoch_us("end") - epoch_us(start)) = (select epoch_us(b) - epoch_us(a) from t) as complete from c group by 1""")
+def line_complete(s, d):
+    r = Tables(s, d).frame("events").agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    a = r[0] + (r[1] - r[0]) // 4
+    return _in_seconds(s, d).complete(a, r[0] + (r[1] - r[0]) // 2)
+
+
+@query(SECONDS + """, g as (select user_id, value < 100 as low, start, "end" from s1), k as (select * from g where low)
+, f as (select *, lag("end") over (partition by user_id order by start) as before, row_number() over (partition by user_id order by start) as n from k)
+select user_id, bool_and(n = 1 or before = start) as continuous from f group by 1""")
+def line_continuity(s, d):
+    return _lines(s, d).map(lambda v: F.when(v < 100, v)).continuity()
+
+
+@query(SECONDS + """, p as (select user_id, min(ts) + to_hours(5) as p from events group by 1), e1 as (select user_id, start as x from s1 union select user_id, "end" from s1 where "end" is not null)
+select p.user_id, max(x) filter (where x <= p) as left, min(x) filter (where x > p) as right from p join e1 using (user_id) group by 1""")
+def line_around(s, d):
+    points = Tables(s, d).frame("events").groupBy("user_id").agg((F.min("ts") + F.expr("interval 5 hours")).alias("p"))
+    return _lines(s, d).around(points, "p").select("user_id", "left", "right")
+
+
+@query(SECONDS + """ select user_id, list(start order by start)[1] as first, count(*) as n from s1 group by 1""")
+def line_to_map(s, d):
+    return _lines(s, d).to_map().select("user_id", F.col("breaks")[0]["start"].alias("first"), F.size("breaks").cast("long").alias("n"))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' order by o_totalprice desc, o_orderkey limit 7")
+def gets_rows(s, d):
+    return Tables(s, d).orders.gets({"o_orderstatus": "F"}, ["o_orderkey", "o_totalprice"], limit=7, order=("~o_totalprice", "o_orderkey"))
+
+
+@query("select c_custkey, sum(c_acctbal) over (partition by c_nationkey order by c_custkey rows unbounded preceding) as total from customer")
+def running_total(s, d):
+    return Tables(s, d).customer["c_custkey", SUM(this("c_acctbal")).running(("c_nationkey",), ("c_custkey",)).rename("total"), ::]
+
+
+@query("select o_orderkey from orders where o_orderstatus = 'O' and o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+def semi_in_access(s, d):
+    t = Tables(s, d)
+    return t.orders["o_orderkey", {"o_orderstatus": "O"}, this("o_custkey").isin(t.customer["c_custkey", {"c_mktsegment": "BUILDING"}, ::]), ::]
+
+
+@query("select (o_custkey % 4)::varchar as shard, o_orderkey from orders where o_orderstatus = 'P' and (o_custkey % 4 <> 2 or o_totalprice > 100000)")
+def shard_conditions(s, d):
+    keys = [str(k) for k in range(4)]
+    t = Table.by_column(Tables(s, d).frame("orders"), F.pmod("o_custkey", F.lit(4)), keys, splitter=lambda r: [("2", this("o_totalprice") > 100000) if k == "2" else k for k in keys])
+    return t[expr(SHARD).rename("shard"), "o_orderkey", {"o_orderstatus": "P"}, ::]
+
+
+@query("select * from customer where c_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING' order by c_nationkey % 3, c_custkey limit 40)")
+def delete_limit_shards(s, d):
+    c = Tables(s, d).frame("customer")
+    t = Table({str(k): c.where(F.pmod("c_nationkey", F.lit(3)) == k) for k in range(3)}, ["c_custkey"])
+    return t.delete({"c_mktsegment": "BUILDING"}, limit=40)[0][::]
+
+
+@query("select c_custkey, c_nationkey, c_mktsegment from customer where c_nationkey = 3 and c_mktsegment = 'BUILDING'")
+def codec_group(s, d):
+    pair = codecs.GroupCodec(("c_nationkey", "c_mktsegment"), ("_pair",), lambda n, m: (F.concat_ws("|", n.cast("string"), m),), lambda p: (F.substring_index(p, "|", 1).cast("int"), F.substring_index(p, "|", -1)))
+    stored = Tables(s, d).frame("customer").select("c_custkey", F.concat_ws("|", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("_pair"))
+    return Table(stored, groups=[pair])["c_custkey", "c_nationkey", "c_mktsegment", {"c_nationkey": 3, "c_mktsegment": "BUILDING"}, ::]
+
+
+@query("select c_nationkey, count(distinct c_mktsegment) as keys, min(c_mktsegment) as low, max(c_mktsegment) as high from customer group by 1 having count(distinct c_mktsegment) > 1")
+def shared_values(s, d):
+    return groups.shared_values(Tables(s, d).frame("customer"), "c_mktsegment", "c_nationkey")
+
+
+@query("select distinct o_custkey as c_custkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)")
+def missing_keys(s, d):
+    t = Tables(s, d)
+    return nested.missing_keys(t.frame("customer").where("c_acctbal > 0"), t.frame("orders").select("o_custkey"), "c_custkey")
+
+
+MERGED = "with m as (select c_custkey as k, c_name as v from customer where c_acctbal < 5000), o as (select s_suppkey as k, s_name as v from supplier)"
+
+
+def _merge_sides(s, d):
+    t = Tables(s, d)
+    return t.frame("customer").where("c_acctbal < 5000").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v")), t.frame("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+
+
+@query(MERGED + " select * from o union all select * from m where k not in (select k from o)")
+def merge_keyed(s, d):
+    return nested.merge_keyed(*_merge_sides(s, d), ["k"])
+
+
+@query(MERGED + " select * from o")
+def merge_uncovered(s, d):
+    return nested.merge_keyed(*_merge_sides(s, d), ["k"], covered=False)
+
+
+@query("select n_nationkey, unnest(range(n_regionkey, n_regionkey + 3))::int as key, (key + 65530) % 65536 as value from nation")
+def expand_ranges(s, d):
+    n = Tables(s, d).frame("nation").select("n_nationkey", F.col("n_regionkey").alias("a"), (F.col("n_regionkey") + 2).alias("b"), F.lit(65530).alias("delta"))
+    return nested.expand_ranges(n, "a", "b", "delta").select("n_nationkey", "key", F.col("value").cast("long").alias("value"))
+
+
+@query("select c_custkey, n_name as name from customer left join nation on c_nationkey = n_nationkey and n_name >= 'J'")
+def map_lookup(s, d):
+    t = Tables(s, d)
+    names = t.frame("nation").where("n_name >= 'J'").agg(F.map_from_entries(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("names"))
+    return t.frame("customer").crossJoin(F.broadcast(names)).select("c_custkey", nested.at_path(F.struct("names")["names"], [F.col("c_nationkey")]).alias("name"))  # one row of 25 entries
+
+
+@query("select o_orderkey, (o_custkey & 127)::bigint as low_bits, (o_custkey + 7) // 8 * 8 as up, (1 << (length(bin(o_custkey)) - 1))::bigint as power, o_custkey - (1 << (length(bin(o_custkey)) - 1)) as beyond from orders where o_custkey > 0")
+def numbers(s, d):
+    k = F.col("o_custkey")
+    power, _, beyond = binary.power_below(k)
+    low = binary.uint_be(binary.pack_be(k.bitwiseAND(F.lit(127)), 4))
+    return Tables(s, d).frame("orders").where("o_custkey > 0").select("o_orderkey", low.alias("low_bits"), binary.round_up(k, 8).alias("up"), power.alias("power"), beyond.alias("beyond"))
+
+
+@query("select p_partkey, ascii(p_brand[1])::bigint as first, (ascii(p_brand[1]) & 1)::int as bit, reverse(p_brand) as back from part")
+def bytes_and_bits(s, d):
+    b = F.col("p_brand").cast("binary")
+    return Tables(s, d).frame("part").select("p_partkey", binary.byte_array(b)[0].alias("first"), binary.bits(b)[0].alias("bit"), binary.reverse_bytes(b).cast("string").alias("back"))
+
+
+@query("select n_nationkey, (n_regionkey * 3 + 3)::bigint as last, (n_regionkey + 65535) % 65536 as turned from nation")
+def delta_codes(s, d):
+    r = F.col("n_regionkey").cast("bigint")
+    return Tables(s, d).frame("nation").select("n_nationkey", F.element_at(binary.delta_decode(F.array(r, r + 1, r + 2)), -1).alias("last"), binary.delta_mod(F.col("n_regionkey"), F.lit(65535)).cast("long").alias("turned"))
+
+
+@query("select doc_id, len(regexp_replace(text, '[\\x00-\\x1f\\x7f]', '', 'g')) + len(regexp_replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', '', 'g'), '[^\\x{1100}-\\x{115F}\\x{2E80}-\\x{303E}\\x{3041}-\\x{33FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{A960}-\\x{A97C}\\x{AC00}-\\x{D7A3}\\x{F900}-\\x{FAFF}\\x{FE10}-\\x{FE19}\\x{FE30}-\\x{FE6F}\\x{FF01}-\\x{FF60}\\x{FFE0}-\\x{FFE6}]', '', 'g')) as width from documents")
+def display_width(s, d):
+    return Tables(s, d).frame("documents").select("doc_id", text.display_width(F.col("text")).cast("long").alias("width"))
+
+
+@query("select p_partkey, array_to_string(list_transform(string_split(translate(p_name, 'ae', 'xy'), chr(10)), lambda x: trim(x)), chr(10)) as turned from part")
+def translated(s, d):
+    return Tables(s, d).frame("part").select("p_partkey", text.translate_lines(F.col("p_name"), "ae", "xy").alias("turned"))
+
+
+@query("select p_partkey, '' as quote, regexp_extract(p_name, '^[A-Za-z]*') as word, regexp_replace(p_name, '^[A-Za-z]*', '') as rest from part")
+def first_word(s, d):
+    return Tables(s, d).frame("part").select("p_partkey", text.split_word(F.col("p_name")).alias("w")).select("p_partkey", "w.*")
+
+
+@query("select event_id, case when (props->>'k')::int > 50 then [] else ['$.k: ' || (props->>'k') || ' is not number(>50)'] end as why from events")
+def validate_failures(s, d):
+    return Tables(s, d).frame("events").select("event_id", validate.Checker("object(#.k: number(>50))").failures(F.col("props")).alias("why"))
+
+
+@query("select doc_id, text as back from documents where text not like '% %' or text like '%e%'")
+def dedented(s, d):
+    docs = Tables(s, d).frame("documents").where("text not like '% %' or text like '%e%'")
+    indented = F.concat(F.lit("  "), F.regexp_replace("text", "\n", "\n  "))
+    return docs.select("doc_id", F.when(F.col("text").rlike(r"(?m)^[ \t]|[ \t]$"), F.col("text")).otherwise(text.dedent(indented)).alias("back"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

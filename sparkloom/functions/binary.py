@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -69,9 +71,20 @@ def antiderivative(coefficients: Column) -> Column:
 
 
 def delta_decode(values: Column) -> Column:
-    """Running sums of an array."""
-    start = F.array().cast("array<bigint>")
-    return F.aggregate(values, start, lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x)))
+    """Running sums of an array of whole numbers; from a NULL on the sums are NULL.  Built-in functions would copy the sums so far
+    for every element, so this is one pass in an Arrow-batched function."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(s: pd.Series) -> pd.Series:
+        def sums(x):
+            if x is None:
+                return None
+            gone = next((k for k, v in enumerate(x) if v is None or v != v), len(x))
+            return [*np.cumsum(np.asarray(x[:gone], np.int64)).tolist(), *[None] * (len(x) - gone)]
+
+        return s.map(sums)
+
+    return run(values)
 
 
 def run_length_decode(pairs: Column) -> Column:

@@ -14,6 +14,23 @@ class Codec:
     de: Callable[[Column], Column]
 
 
+@dataclass(frozen=True)
+class GroupCodec:
+    """Several columns (``inputs``) stored as others (``stored``), of any number: ``en`` and ``de`` take columns in that order and
+    give columns in the other's."""
+
+    inputs: tuple[str, ...]
+    stored: tuple[str, ...]
+    en: Callable[..., tuple[Column, ...]]
+    de: Callable[..., tuple[Column, ...]]
+
+    def encoded(self, *inputs: Column) -> dict[str, Column]:
+        return dict(zip(self.stored, self.en(*inputs), strict=True))
+
+    def decoded(self) -> dict[str, Column]:
+        return dict(zip(self.inputs, self.de(*map(F.col, self.stored)), strict=True))
+
+
 def enum_int(items: list[str]) -> Codec:
     """A value as its place in a list (from 0); values and places outside the list are NULL."""
     table = F.array(*[F.lit(x) for x in items])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import textwrap
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -25,11 +24,11 @@ def coarse_width(c: Column) -> Column:
 
 def human_number(c: Column, iec: bool = False, digits: int = 2) -> Column:
     """A number with an SI (k, M, ...) or IEC (Ki, Mi, ...) prefix."""
-    base, names = (1024, ["", "Ki", "Mi", "Gi", "Ti", "Pi", "Ei"]) if iec else (1000, ["", "k", "M", "G", "T", "P", "E"])
+    base, names = (1024, ["", "Ki", "Mi", "Gi", "Ti", "Pi", "Ei", "Zi", "Yi"]) if iec else (1000, ["", "k", "M", "G", "T", "P", "E", "Z", "Y"])
     out = None
     for k in range(len(names) - 1, -1, -1):
         shown = F.format_string(f"%.{digits}f{names[k]}", c.cast("double") / F.lit(float(base**k)))
-        fits = F.abs(c) >= base**k
+        fits = F.abs(c) >= F.lit(float(base**k))
         out = F.when(fits, shown) if out is None else (out.when(fits, shown) if k else out.otherwise(shown))
     return F.when(c.isNotNull(), out)
 
@@ -64,8 +63,9 @@ def safe_utf8(c: Column) -> Column:
     return F.make_valid_utf8(c.cast("string")) if hasattr(F, "make_valid_utf8") else c.cast("string")
 
 
-CLOSING = ",.;:!?)]}、。，！？）」』】"
-OPENING = "([{（「『【"
+#: Marks that no line begins with, and marks that no line ends with.
+CLOSING = "!%)]:;>?,.}·！…）】、：；”’》，。？」』"
+OPENING = "([{<$￥（【“‘《「『"
 
 
 def _width(ch: str) -> int:
@@ -129,10 +129,29 @@ def fill(c: Column, width: int) -> Column:
 
 
 def dedent(c: Column) -> Column:
-    """The common leading white space of all lines taken off."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else textwrap.dedent(x))
-
-    return run(c)
+    """The common leading white space of all lines taken off; lines of white space only become empty and don't count."""
+
+    def cut(lines: Column, least: Column, most: Column) -> Column:
+        # what the least and the greatest of sorted indents have in common, all have
+        same = F.size(F.filter(F.sequence(F.lit(0), F.length(least)), lambda i: F.left(least, i) == F.left(most, i))) - 1
+        return F.transform(lines, lambda x: F.when(F.trim(F.translate(x, "\t", " ")) == "", F.lit("")).otherwise(F.substring(x, same + 1, 2**31 - 1)))
+
+    lines = F.split(c, "\n")
+    indents = F.transform(F.filter(lines, lambda x: F.trim(F.translate(x, "\t", " ")) != ""), lambda x: F.regexp_extract(x, r"^[ \t]*", 0))
+    least, most = F.coalesce(F.array_min(indents), F.lit("")), F.coalesce(F.array_max(indents), F.lit(""))
+    return F.array_join(cut(lines, least, most), "\n")
+
+
+def split_word(c: Column, quotes: str = "\"'`") -> Column:
+    """The word that a text begins with, as a struct: ``quote``, ``word``, ``rest``.
+
+    A text that begins with a quotation mark has the word up to the next one like it (all of it, if there is none); any other has
+    its leading letters as the word and no quote.
+    """
+    mark = F.left(c, F.lit(1))
+    quoted = F.lit(quotes).contains(mark) & (mark != "")
+    inner = F.substring(c, 2, 2**31 - 1)
+    end = F.call_function("instr", inner, mark)
+    word = F.when(~quoted, F.regexp_extract(c, r"^\p{L}*", 0)).when(end > 0, F.left(inner, end - 1)).otherwise(inner)
+    rest = F.when(~quoted, F.regexp_replace(c, r"^\p{L}*", "")).when(end > 0, F.substr(inner, end + 1)).otherwise("")
+    return F.when(c.isNotNull(), F.struct(F.when(quoted, mark).otherwise("").alias("quote"), word.alias("word"), rest.alias("rest")))

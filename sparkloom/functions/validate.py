@@ -310,6 +310,57 @@ class Checker:
         return F.transform(F.array(v), lambda x: F.when(x.isNotNull(), compiled(self.check, Json(x), self.own)).otherwise(False))[0]
 
 
+    def failures(self, text: Column) -> Column:
+        """Why JSON text isn't valid, as an array of ``path: message``; empty where it is.  NULL and text that isn't JSON fail at $."""
+        v = F.try_parse_json(text)
+        bad = F.array(F.concat(F.lit("$: "), F.coalesce(_shown(text), F.lit("NULL")), F.lit(" is not JSON")))
+        return F.transform(F.array(v), lambda x: F.when(x.isNull(), bad).otherwise(_failures(self.check, Json(x), F.lit("$"), self.own)))[0]
+
+
+def _shown(text: Column) -> Column:
+    """A value within a message, cut to ten characters."""
+    return F.when(F.length(text) > 10, F.concat(F.left(text, F.lit(7)), F.lit("..."))).otherwise(text)
+
+
+def described(c: Check) -> str:
+    """A check in words, for messages."""
+    if c.kind == "either":
+        return " or ".join(map(described, c.args))
+    if c.kind == "text":
+        return f"'{c.args[0]}'"
+    if c.kind == "bound":
+        return f"{c.bound[0]}{c.bound[1]}"
+    inner = [described(a) for a in c.args if a.kind == "bound" and a.key is None]
+    return f"{c.kind}({', '.join(inner)})" if inner else c.kind
+
+
+def _failures(c: Check, x: Json, path: Column, own) -> Column:
+    """Messages for all parts of a value that fail: the innermost ones, where an object or an array has a part to blame."""
+    none = F.array().cast("array<string>")
+    itself = F.array(F.concat(path, F.lit(": "), F.coalesce(_shown(F.to_json(x.v)), F.lit("NULL")), F.lit(f" is not {described(c)}")))
+    rest = [a for a in c.args if a.kind != "bound" or a.key is not None] if c.kind in ("array", "set", "object") else []
+    parts = none
+    if c.kind in ("array", "set") and rest:
+        one = rest[0] if len(rest) == 1 else Check("either", tuple(rest))
+        items = F.transform(x.items(), lambda e, i: _failures(Check(one.kind, one.args, False, None, one.bound), Json(e), F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), own))
+        parts = F.coalesce(F.flatten(items), none)
+    if c.kind == "object" and rest:
+
+        def each(e: Column) -> Column:
+            key, at = e["key"], F.concat(path, F.lit("."), e["key"])
+            out = F.array(F.concat(at, F.lit(": no such key")))
+            for r in reversed(rest):
+                out = F.when(compiled(r.key or Check("any"), _Key(key), own), _failures(Check(r.kind, r.args, False, None, r.bound), Json(e["value"]), at, own)).otherwise(out)
+            return out
+
+        parts = F.coalesce(F.flatten(F.transform(x.pairs(), each)), none)
+        for r in (r for r in rest if r.required):
+            there = F.exists(x.pairs(), _matches(lambda e, r=r: compiled(r.key or Check("any"), _Key(e["key"]), own)))
+            gone = F.array(F.concat(path, F.lit(f": {described(r.key or Check('any'))} is missing")))
+            parts = F.concat(parts, F.when(F.coalesce(there, F.lit(True)), none).otherwise(gone))
+    return F.when(compiled(c, x, own), none).when(F.size(parts) > 0, parts).otherwise(itself)
+
+
 def json_checker(code: str, text: Column, own=None) -> Column:
     return Checker(code, own).json(text)
 

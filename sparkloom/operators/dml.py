@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.expr import Expr, Marker, column
+from ..plans.cut import cut
 from ..plans.spec import condition, ordering
 
 
@@ -20,6 +21,10 @@ class NotFoundError(LookupError):
     pass
 
 
+class NotInsertedError(ValueError):
+    """Not all rows that had to be new were."""
+
+
 class PlacementError(ValueError):
     pass
 
@@ -91,27 +96,31 @@ def replace(base: DataFrame, rows: DataFrame, key: list[str], defaults: dict[str
     return base.join(new_rows.select(*key), key, "left_anti").select(*base.columns).unionByName(new_rows)
 
 
-def _hit(base: DataFrame, where: Column, limit: int | None, order: tuple[str, ...]) -> tuple[DataFrame, Column]:
-    """base and whether each row is among the first ``limit`` that the condition holds for.
+def _hit(base: DataFrame, where: Column, limit: int | None, key: tuple[str, ...], chosen: DataFrame | None) -> tuple[DataFrame, Column]:
+    """base and whether each row is among the first ``limit``, in the order of the key, that the condition holds for; or among
+    the keys ``chosen``.
 
-    The limit is taken by one sort of the matching rows' keys only; the rest of the table isn't moved.
+    The limit is taken by one sort of the matching rows' keys only, and rows are found again by the key, which must tell them apart.
     """
     hit = F.coalesce(where, F.lit(False))
-    if limit is None:
+    if limit is None and chosen is None:
         return base, hit
-    if not order:
-        raise ValueError("a limit needs an order")
-    marked = base.withColumn("__id", F.monotonically_increasing_id())
-    chosen = marked.where(hit).orderBy(*ordering(order), "__id").limit(limit).select("__id", F.lit(True).alias("__in"))
-    return marked.join(chosen, "__id", "left"), F.coalesce(F.col("__in"), F.lit(False))
-
-
-def update(base: DataFrame, values: dict[str, Any], where: Column, limit: int | None = None, order: tuple[str, ...] = ()) -> Changed:
-    """Columns of the rows that the condition holds for get new values, all taken from the old row."""
+    if not key:
+        raise ValueError("a limit needs a key")
+    if chosen is None:
+        chosen = base.where(hit).orderBy(*ordering(key)).limit(limit)
+    right = chosen.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(key)], F.lit(True).alias("__in"))
+    on = [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(key)]
+    return base.join(right, on, "left"), hit & F.coalesce(F.col("__in"), F.lit(False))
+
+
+def update(base: DataFrame, values: dict[str, Any], where: Column, limit: int | None = None, key: tuple[str, ...] = (), chosen: DataFrame | None = None) -> Changed:
+    """Columns of the rows that the condition holds for get new values, all taken from the old row; of the first ``limit`` by key,
+    or of those whose keys are ``chosen``."""
     unknown = [c for c in values if c not in base.columns]
     if unknown:
         raise KeyError(f"unknown columns: {', '.join(unknown)}")
-    marked, hit = _hit(base, where, limit, order)
+    marked, hit = _hit(base, where, limit, key, chosen)
     kinds = {f.name: f.dataType for f in base.schema}
     to = {c: (v.bare if isinstance(v, Expr) else column(None if isinstance(v, Marker) else v)).cast(kinds[c]) for c, v in values.items()}
     table = marked.select(*[F.when(hit, to[c]).otherwise(F.col(c)).alias(c) if c in to else F.col(c) for c in base.columns])
@@ -127,9 +136,9 @@ def update_keyed(base: DataFrame, values: dict[str, Any], key: list[str]) -> Cha
     return update(base, {c: v for c, v in values.items() if c not in key}, condition(base, {k: values[k] for k in key}))
 
 
-def delete(base: DataFrame, where: Column, limit: int | None = None, order: tuple[str, ...] = ()) -> Changed:
+def delete(base: DataFrame, where: Column, limit: int | None = None, key: tuple[str, ...] = (), chosen: DataFrame | None = None) -> Changed:
     """The rows that the condition doesn't hold for; rows for which it is NULL stay."""
-    marked, hit = _hit(base, where, limit, order)
+    marked, hit = _hit(base, where, limit, key, chosen)
     counts = marked.agg(F.count(F.when(hit, 1)).alias("matched")).withColumn("changed", F.col("matched"))
     return Changed(marked.where(~hit).select(*base.columns), counts)
 
@@ -137,8 +146,10 @@ def delete(base: DataFrame, where: Column, limit: int | None = None, order: tupl
 def with_ids(base: DataFrame, rows: DataFrame, column_name: str) -> DataFrame:
     """rows with increasing ids after base's largest, in the order of their own columns; not safe for concurrent writers.
 
-    A running number over partitions: each partition counts by itself, and only partition counts meet.
+    A running number over partitions: each partition counts by itself, and only partition counts meet.  The rows are sorted and
+    written first, so a lost executor doesn't number them anew.
     """
+    rows = cut(rows.orderBy(*rows.columns))
     top = base.agg(F.coalesce(F.max(column_name), F.lit(0)).alias("__top"))
     parts = rows.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
     counts = parts.groupBy("__p").agg(F.count("*").alias("__n"))

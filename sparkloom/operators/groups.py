@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..plans.cut import cut
+
 
 def duplicates(df: DataFrame, content: str, by: str) -> DataFrame:
     """digest, copies, first (the least ``by``) of contents that occur more than once."""
@@ -59,34 +61,43 @@ def bars(values: list[float], height: int = 4) -> list[str]:
     return ["".join(marks[min(8, max(0, f - 8 * r))] for f in full) for r in range(height - 1, -1, -1)]
 
 
-def tree_levels(edges: DataFrame, roots: Column, child: str = "child", parent: str = "parent", most: int = 100) -> DataFrame:
+def tree_levels(edges: DataFrame, roots: Column, child: str = "child", parent: str = "parent", most: int = 10_000) -> DataFrame:
     """node, depth, path of a forest, breadth first: one join for each level, until a level is empty.
 
-    Node ids are kept as text in the path, which is also the depth-first order.
+    Node ids are kept as text in the path, filled up to one width, so the path is also the depth-first order.  A forest of more
+    than ``most`` levels, so one with a cycle below a root, raises.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col(child).alias("node"), F.col(parent).alias("parent"))
-    name = f"tree_{id(e)}"
-    e.createOrReplaceTempView(name)
-    e.where(roots).select("node").createOrReplaceTempView(f"{name}_roots")
-    return spark.sql(f"""
-        with recursive t(node, depth, path) max recursion level {most} as (
-            select node, 0, array(lpad(cast(node as string), 20, ' ')) from {name}_roots
-            union all
-            select e.node, t.depth + 1, array_append(t.path, lpad(cast(e.node as string), 20, ' ')) from t join {name} e on e.parent = t.node
-        ) select node, depth, array_join(path, '/') as path from t""")
-
-
-def range_lookup(points: DataFrame, point: str, ranges: DataFrame, start: str, end: str, name: str, gap: str | None = None) -> DataFrame:
+    width = max(1, e.agg(F.max(F.length(F.col("node").cast("string")))).first()[0] or 1)
+    shown = lambda c: F.lpad(c.cast("string"), width, " ")
+    level = cut(edges.where(roots).select(F.col(child).alias("node")).select("node", F.lit(0).alias("depth"), shown(F.col("node")).alias("path")))
+    done, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        if depth > most:
+            raise ValueError(f"more than {most} levels")
+        up = level.select(F.col("node").alias("__up"), F.col("path").alias("__path"))
+        level = cut(e.join(up, F.col("parent") == F.col("__up")).select("node", F.lit(depth).alias("depth"), F.concat("__path", F.lit("/"), shown(F.col("node"))).alias("path")))
+        done = done.unionByName(level)
+        if depth % 50 == 0:  # else a plan of very many branches
+            done = cut(done)
+    return done
+
+
+def range_lookup(points: DataFrame, point: str, ranges: DataFrame, start: str, end: str, name: str, gap: str | None = None, broadcast_rows: int = 500_000) -> DataFrame:
     """points with the name of the range (both ends included) they lie in; ranges don't overlap.
 
-    The last range that begins at or before a point is found by a sweep over blocks of the axis: each range is put into every
-    block that it touches, and points only meet ranges of their own block.
+    The axis is cut into as many blocks as there are ranges, so ranges lie in two blocks each on average however wide some are, and
+    points meet the ranges of their own block.  Up to ``broadcast_rows`` such rows are broadcast, so points stay where they are
+    even if all lie in one block; more are joined by a shuffle, which adaptive execution splits where a block is hot.
     """
-    width = 1 << 12
-    r = ranges.select(F.col(start).cast("bigint").alias("__s"), F.col(end).cast("bigint").alias("__e"), F.col(name).alias("__name"))
-    r = r.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / width), F.floor(F.col("__e") / width))))
-    p = points.withColumn("__b", F.floor(F.col(point).cast("bigint") / width))
+    r = ranges.select(F.col(start).cast("bigint").alias("__s"), F.col(end).cast("bigint").alias("__e"), F.col(name).alias("__name")).where("__s <= __e")
+    n, low, high = r.agg(F.count("*"), F.min("__s"), F.max("__e")).first()
+    width = max(1, -(-(high - low + 1) // n)) if n else 1
+    block = lambda c: F.expr(f"{c} div {width}L") - F.when(F.expr(f"{c} < 0 and {c} % {width}L <> 0"), 1).otherwise(0)  # noqa: E731  rounded down, exactly
+    r = r.withColumn("__b", F.explode(F.sequence(block("__s"), block("__e"))))
+    p = points.withColumn("__p", F.col(point).cast("bigint")).withColumn("__b", block("__p"))
+    r = F.broadcast(r) if n <= broadcast_rows // 2 else r
     hit = (p["__b"] == r["__b"]) & (F.col(point) >= F.col("__s")) & (F.col(point) <= F.col("__e"))
     return p.join(r, hit, "left").select(*points.columns, F.coalesce("__name", F.lit(gap)).alias(name))
 

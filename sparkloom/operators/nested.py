@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..plans.cut import cut
+
 
 def column_tree(schema: T.DataType, level: int = 2, prefix: str = "") -> list[str]:
     """Paths of a nested schema, ``level`` deep: struct fields by name, looking through arrays."""
@@ -16,24 +18,28 @@ def column_tree(schema: T.DataType, level: int = 2, prefix: str = "") -> list[st
     return [p for f in schema.fields for p in column_tree(f.dataType, level - 1, f"{prefix}.{f.name}" if prefix else f.name)]
 
 
-#: Fixed word lists: names that come first and last in a grid.
-FIRST, LAST = ("id", "key", "type", "kind", "name", "title"), ("time", "date", "url", "link", "desc", "text")
+#: Where a part of a name stands, the parts, their weight, and the length of a name without more than the part.
+NAME_PARTS = (
+    ("whole", ("!", "#"), 150, None),
+    ("end", ("id",), 100, 2),
+    ("end", ("type",), 81, 4),
+    ("end", ("name",), 80, 4),
+    ("start", ("last-",), -50, 5),
+    ("in", ("data", "time"), -50, 5),
+    ("in", ("url", "address"), -30, 5),
+)
+_STANDS = {"whole": str.__eq__, "end": str.endswith, "start": str.startswith, "in": str.__contains__}
 
 
 def smart_order(names: list[str]) -> list[str]:
-    """Columns in reading order: ids, types and names first, times and urls last, the rest as they are."""
+    """Columns in reading order: ids, types and names first, the shorter the earlier; times, data and urls last; ties by name."""
 
-    def score(n: str) -> int:
-        parts = n.lower().replace("-", "_").split("_")
-        for i, w in enumerate(FIRST):
-            if w in parts or n.lower().endswith(w):
-                return i - len(FIRST)
-        for i, w in enumerate(LAST):
-            if w in parts or n.lower().endswith(w):
-                return i + 1
-        return 0
+    def weight(name: str) -> int:
+        low = name.lower()
+        hits = [(w, base) for place, parts, w, base in NAME_PARTS if any(_STANDS[place](low, p) for p in parts)]
+        return sum(w - (len(low) - base if base else 0) for w, base in hits)
 
-    return sorted(names, key=score)
+    return sorted(names, key=lambda n: (-weight(n), n))
 
 
 def grid(df: DataFrame, arrays: list[str], pad: str = "") -> DataFrame:
@@ -53,15 +59,31 @@ def key_values(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by, *[F.col(c).cast("string").alias(c) for c in rest]).unpivot(by, rest, "key", "value")
 
 
-def leaves(df: DataFrame, by: list[str], column: str) -> DataFrame:
-    """(path, value) of every leaf of JSON text, two levels deep by name and through arrays."""
-    v = F.try_parse_json(F.col(column))
-    top = df.select(*by, F.explode(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))).alias("e")).select(*by, F.col("e.key").alias("k"), F.col("e.value").alias("v"))
-    inner = F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))
-    items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
-    parts = F.coalesce(F.when(F.col("kind").startswith("OBJECT"), inner), F.when(F.col("kind").startswith("ARRAY"), items), F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("v").alias("value"))))
-    rows = top.withColumn("kind", F.call_function("schema_of_variant", F.col("v"))).select(*by, "k", F.explode(parts).alias("p"))
-    return rows.select(*by, F.concat_ws(".", "k", "p.key").alias("path"), F.try_variant_get("p.value", "$", "string").alias("value"))
+def leaves(df: DataFrame, by: list[str], column: str, depth: int | None = None) -> DataFrame:
+    """(path, value) of every leaf of JSON text: names and ``[place]`` of arrays, joined by dots.
+
+    An empty object or array has no leaves; text that isn't JSON gives no rows.  Levels are opened one at a time: ``depth`` of them
+    if given (what lies below is one leaf, as JSON text), else until none is left to open, with one look at the rows for each.
+    """
+    rows = df.select(*by, F.lit("").alias("path"), F.try_parse_json(F.col(column)).alias("v")).where(F.col("v").isNotNull())
+    kind = F.call_function("schema_of_variant", F.col("v"))
+    opens = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    done, level = None, 0
+    while depth is None or level < depth:
+        if depth is None and level and rows.where(opens).isEmpty():
+            break
+        fields = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+        items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
+        leaf = rows.where(~opens)
+        done = leaf if done is None else done.unionByName(leaf)
+        inner = rows.where(opens).select(*by, "path", F.explode(F.when(kind.startswith("OBJECT"), fields).otherwise(items)).alias("e"))
+        step = F.when(F.col("path") == "", F.col("e.key")).otherwise(F.concat_ws(".", "path", "e.key"))
+        rows, level = inner.select(*by, step.alias("path"), F.col("e.value").alias("v")), level + 1
+        if depth is None and level % 3 == 0:  # a plan of few levels at a time
+            rows, done = cut(rows), cut(done)
+    done = rows if done is None else done.unionByName(rows)
+    text = F.when(opens, F.to_json("v")).otherwise(F.try_variant_get("v", "$", "string"))
+    return done.select(*by, "path", text.alias("value"))
 
 
 def at_path(c: Column, path: list[str], default=None) -> Column:
@@ -89,10 +111,15 @@ def missing_keys(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return keys.select(F.col(keys.columns[0]).alias(column)).distinct().join(df, column, "left_anti")
 
 
-def merge_keyed(mine: DataFrame, other: DataFrame, key: list[str], only: DataFrame | None = None) -> DataFrame:
-    """The other table's rows by key, else mine; ``only`` restricts the keys taken from the other."""
+def merge_keyed(mine: DataFrame, other: DataFrame, key: list[str], only: DataFrame | None = None, covered: bool = True) -> DataFrame:
+    """The other table's rows by key, else mine; ``only`` restricts the keys taken from the other.
+
+    With ``covered=False`` my rows whose keys the other lacks are left out, too (with ``only``, of those keys alone).
+    """
     if only is not None:
         other = other.join(only, key, "left_semi")
+    if not covered:
+        mine = mine.join(other.select(*key), key, "left_semi") if only is None else mine.join(only.join(other.select(*key), key, "left_anti"), key, "left_anti")
     return mine.join(other.select(*key), key, "left_anti").select(*mine.columns).unionByName(other.select(*mine.columns))
 
 

@@ -18,8 +18,9 @@ A, B = "__a", "__b"
 
 
 class Lines:
-    def __init__(self, df: DataFrame, by: tuple[str, ...] = ()):
+    def __init__(self, df: DataFrame, by: tuple[str, ...] = (), breaks: DataFrame | None = None):
         self.df, self.by = df, tuple(by)
+        self.breaks = breaks  # (by, at, value, rank), if each value holds until the next one's place; of one place the last by rank counts
 
     # making
 
@@ -31,7 +32,8 @@ class Lines:
         # of rows with one start the last counts
         rows = rows.withColumns({"end": F.lead("start").over(w), "__more": F.lead(F.lit(1)).over(w)})
         rows = rows.where(F.col("__more").isNull() | ~F.col("end").eqNullSafe(F.col("start")))
-        return cls(_merged(rows.select(*by, "start", "end", "value"), by), by)
+        breaks = df.select(*by, F.col(start).alias("at"), F.col(value).alias("value"), F.struct(F.lit(1).alias("one"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)]).alias("rank"))
+        return cls(_merged(rows.select(*by, "start", "end", "value"), by), by, breaks)
 
     # parts and points
 
@@ -71,13 +73,26 @@ class Lines:
         inside = F.col("__seg").isNotNull() & inside
         return out.select(*points.columns, F.when(inside, F.col("__seg.value")).alias("value"), F.when(inside, F.col("__n") - 1).alias("segment"))
 
+    def around(self, points: DataFrame, point: str) -> DataFrame:
+        """points with ``left``, the greatest end of a segment at or before each, and ``right``, the least one behind it (NULL
+        where there is none): one sweep, as in :meth:`at`."""
+        kind = dict(self.df.dtypes)["start"]
+        edges = self.df.select(*self.by, F.explode(F.array("start", "end")).alias("__edge")).where(F.col("__edge").isNotNull()).distinct()
+        edges = edges.withColumn("__next", F.lead("__edge").over(Window.partitionBy(*self.by).orderBy("__edge")))
+        both = points.withColumns({"__at": F.col(point).cast(kind), "__kind": F.lit(1)}).unionByName(edges.withColumns({"__at": F.col("__edge"), "__kind": F.lit(0)}), allowMissingColumns=True)
+        w = Window.partitionBy(*self.by).orderBy(F.col("__at").asc_nulls_first(), "__kind").rowsBetween(Window.unboundedPreceding, 0)
+        seen = F.last(F.when(F.col("__kind") == 0, F.struct(F.col("__edge").alias("left"), F.col("__next").alias("right"))), ignorenulls=True).over(w)
+        out = both.withColumns({"__seen": seen, "__first": F.min("__edge").over(Window.partitionBy(*self.by))}).where("__kind = 1")
+        right = F.when(F.col("__seen").isNull(), F.col("__first")).otherwise(F.col("__seen.right"))
+        return out.select(*points.columns, F.when(F.col("__at").isNotNull(), F.col("__seen.left")).alias("left"), F.when(F.col("__at").isNotNull(), right).alias("right"))
+
     # overlay
 
     def overlay(self, other: Lines, f: Callable[[Column, Column], Column]) -> Lines:
         """f(value here, value there) on every stretch of both; NULL results are undefined stretches."""
         one = self._edges(A).unionByName(other._edges(B), allowMissingColumns=True)
         # all that happens at one place of one key, as one row
-        at = one.groupBy(*self.by, "at").agg(*[F.max(c).alias(c) for c in (f"{A}_on", f"{A}_off", A, f"{B}_on", f"{B}_off", B)])
+        at = one.groupBy(*self.by, "at").agg(*[x for side in (A, B) for x in (F.max(f"{side}_on").alias(f"{side}_on"), F.max(f"{side}_off").alias(f"{side}_off"), F.max_by(side, f"{side}_rank").alias(side))])
         w = Window.partitionBy(*self.by).orderBy(F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
 
         def now(side: str) -> Column:
@@ -90,10 +105,12 @@ class Lines:
         return Lines(_merged(out, self.by), self.by)
 
     def _edges(self, side: str) -> DataFrame:
-        """A row where each segment begins, and one where each ends."""
+        """A row where each segment begins, and one where each ends; of breakpoints, which need no merging first, one row each."""
+        if self.breaks is not None:
+            return self.breaks.select(*self.by, "at", F.lit(True).alias(f"{side}_on"), F.lit(None).cast("boolean").alias(f"{side}_off"), F.col("value").alias(side), F.col("rank").alias(f"{side}_rank"))
         edge = F.array(F.struct(F.col("start").alias("at"), F.lit(True).alias("on"), F.col("value").alias("v")), F.struct(F.col("end").alias("at"), F.lit(False).alias("on"), F.lit(None).cast(dict(self.df.dtypes)["value"]).alias("v")))
         rows = self.df.select(*self.by, F.explode(edge).alias("e")).where(F.col("e.on") | F.col("e.at").isNotNull())
-        return rows.select(*self.by, F.col("e.at").alias("at"), F.when(F.col("e.on"), True).alias(f"{side}_on"), F.when(~F.col("e.on"), True).alias(f"{side}_off"), F.col("e.v").alias(side))
+        return rows.select(*self.by, F.col("e.at").alias("at"), F.when(F.col("e.on"), True).alias(f"{side}_on"), F.when(~F.col("e.on"), True).alias(f"{side}_off"), F.col("e.v").alias(side), F.when(F.col("e.on"), 1).otherwise(0).alias(f"{side}_rank"))
 
     def zip(self, other: Lines) -> Lines:
         """Pairs where both are defined."""

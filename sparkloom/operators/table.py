@@ -10,65 +10,107 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
-from ..functions.codecs import Codec
+from ..functions.codecs import Codec, GroupCodec
 from ..functions.expr import Expr, is_null
 from ..plans import spec as S
+from ..plans.cut import cut
 from . import dml
-from .dml import NotFoundError
+from .dml import NotFoundError, NotInsertedError
 
 SHARD = "_shard"
 
 
+def hashed(name: str, n: int) -> Column:
+    """The shard of a row by a hash of a column: '0' to 'n - 1'."""
+    return F.pmod(F.xxhash64(name), F.lit(n)).cast("string")
+
+
 class Table:
-    """shards: key -> DataFrame (the keys order the shards).  ``splitter`` maps equality conditions or a row (a dict) to the
-    shard keys it may lie in; without one every shard is visited."""
+    """shards: key -> DataFrame (the keys order the shards).  ``splitter`` maps equality conditions (a dict, maybe empty) to the
+    shard keys that rows with these values may lie in; an entry may also be (key, condition, ...), and these conditions then hold
+    within that shard only.  Without a splitter every shard is visited.  ``codecs`` are by column, ``groups`` of several columns."""
 
-    def __init__(self, shards: DataFrame | dict[str, DataFrame], key: list[str] = (), defaults: dict[str, Any] | None = None, splitter: Callable[[dict], Iterable[str]] | None = None, codecs: dict[str, Codec] | None = None):
+    def __init__(self, shards: DataFrame | dict[str, DataFrame], key: list[str] = (), defaults: dict[str, Any] | None = None, splitter: Callable[[dict], Iterable] | None = None, codecs: dict[str, Codec] | None = None, groups: Iterable[GroupCodec] = (), whole: DataFrame | None = None):
         self.shards = shards if isinstance(shards, dict) else {"": shards}
-        self.key, self.defaults, self.splitter, self.codecs = list(key), defaults or {}, splitter, codecs or {}
+        self.key, self.defaults, self.splitter, self.codecs, self.groups = list(key), defaults or {}, splitter, codecs or {}, tuple(groups)
+        self.whole = whole  # all shards as one frame with their keys in _shard, if they are kept so
+
+    @classmethod
+    def by_column(cls, df: DataFrame, shard: Column, keys: Iterable[str], **how) -> Table:
+        """One frame whose rows lie in the shards that a column says: read in one scan, and by shard as a filter on it."""
+        whole = df.withColumn(SHARD, shard.cast("string"))
+        return cls({k: whole.where(F.col(SHARD) == k).drop(SHARD) for k in keys}, whole=whole, **how)
+
+    def save(self, path: str) -> None:
+        """The stored rows in one folder for each shard (``_shard=key``), so that a reader opens the folders of its shards only."""
+        self.stored().hint("rebalance", F.col(SHARD)).write.partitionBy(SHARD).parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, **how) -> Table:
+        """What :meth:`save` wrote."""
+        found = spark.read.parquet(path).schema
+        found = T.StructType([T.StructField(f.name, T.StringType()) if f.name == SHARD else f for f in found])
+        whole = spark.read.schema(found).parquet(path)
+        keys = [r[0] for r in whole.select(SHARD).distinct().orderBy(SHARD).collect()]  # one row for each folder
+        return cls({k: whole.where(F.col(SHARD) == k).drop(SHARD) for k in keys}, whole=whole, **how)
 
     # reading
 
-    def stored(self, keys: Iterable[str] | None = None) -> DataFrame:
-        """The rows as they are stored, of some shards or all, with the shard's key when there are several."""
+    def stored(self, keys: Iterable[str] | None = None, own: dict[str, tuple] | None = None) -> DataFrame:
+        """The rows as they are stored, of some shards or all, with the shard's key when there are several.  own: conditions by
+        shard."""
+        own = {k: reduce(lambda a, b: a & b, [c.bare for c in v]) for k, v in (own or {}).items()}
         names = [k for k in self.shards if keys is None or k in set(keys)]
+        if self.whole is not None:
+            df = self.whole if keys is None else self.whole.where(F.col(SHARD).isin(names) if names else F.lit(False))
+            return df.where(reduce(lambda c, k: F.when(F.col(SHARD) == k, own[k]).otherwise(c), own, F.lit(True))) if own else df
         if not names:
             first = next(iter(self.shards.values()))
             names, parts = [], [first.where(F.lit(False))]
         else:
-            parts = [self.shards[k] for k in names]
+            parts = [self.shards[k].where(own[k]) if k in own else self.shards[k] for k in names]
         if len(self.shards) > 1:
             parts = [p.withColumn(SHARD, F.lit(k)) for p, k in zip(parts, names or [""], strict=True)]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def df(self, keys: Iterable[str] | None = None) -> DataFrame:
         """The rows as users see them."""
-        df = self.stored(keys)
+        return self._decoded(self.stored(keys))
+
+    def _decoded(self, df: DataFrame) -> DataFrame:
+        for g in self.groups:
+            df = df.withColumns(g.decoded()).drop(*g.stored)
         return df.withColumns({c: x.de(F.col(c)) for c, x in self.codecs.items()}) if self.codecs else df
 
-    def pruned(self, equals: dict) -> list[str] | None:
-        """Shards that rows with these values can lie in."""
-        return None if self.splitter is None or not equals else list(self.splitter(equals))
+    def pruned(self, equals: dict) -> tuple[list[str] | None, dict[str, tuple]]:
+        """Shards that rows with these values can lie in (None: all), and conditions of single shards."""
+        if self.splitter is None:
+            return None, {}
+        found = [x if isinstance(x, tuple) else (x,) for x in self.splitter(equals)]
+        return [k for k, *_ in found], {k: tuple(own) for k, *own in found if own}
 
     def select(self, spec: S.QuerySpec) -> DataFrame:
-        keys = self.pruned(spec.equals)
+        keys, own = self.pruned(spec.equals)
         if isinstance(spec.offset, dict):  # from the shard of a given row on
-            at = list(self.splitter(spec.offset)) if self.splitter else list(self.shards)
+            at = self.pruned(spec.offset)[0] if self.splitter else list(self.shards)
             order = list(self.shards)
             first = min((order.index(k) for k in at), default=0)
             keys = [k for k in order[first:] if keys is None or k in keys]
             spec = S.QuerySpec(**{**spec.__dict__, "offset": 0})
-        if not self.codecs:
-            return S.run(self.df(keys), spec)
         # equalities on coded columns are asked of the stored form, so they reach the scan
-        coded = {c: v for c, v in spec.equals.items() if c in self.codecs and not is_null(v)}
-        df = self.stored(keys)
-        for c, v in coded.items():
-            df = df.where(F.col(c) == self.codecs[c].en(F.lit(v) if not isinstance(v, (list, tuple)) else F.array(*map(F.lit, v))))
-        df = df.withColumns({c: x.de(F.col(c)) for c, x in self.codecs.items()})
-        return S.run(df, S.QuerySpec(**{**spec.__dict__, "equals": {c: v for c, v in spec.equals.items() if c not in coded}}))
+        df, done = self.stored(keys, own), set()
+        for c, v in spec.equals.items():
+            if c in self.codecs and not is_null(v):
+                df = df.where(F.col(c) == self.codecs[c].en(F.lit(v) if not isinstance(v, (list, tuple)) else F.array(*map(F.lit, v))))
+                done.add(c)
+        for g in self.groups:
+            if all(c in spec.equals and not is_null(spec.equals[c]) for c in g.inputs):
+                for c, v in g.encoded(*[F.lit(spec.equals[c]) for c in g.inputs]).items():
+                    df = df.where(F.col(c) == v)
+                done |= set(g.inputs)
+        return S.run(self._decoded(df), S.QuerySpec(**{**spec.__dict__, "equals": {c: v for c, v in spec.equals.items() if c not in done}}))
 
     def __getitem__(self, index: Any) -> DataFrame | Row:
         spec = S.parse(index)
@@ -107,7 +149,7 @@ class Table:
     def __add__(self, other: Table) -> Table:
         """All rows of both."""
         mine = {f"a{k}": v for k, v in self.shards.items()}
-        return Table(mine | {f"b{k}": v for k, v in other.shards.items()}, self.key, self.defaults, None, self.codecs)
+        return Table(mine | {f"b{k}": v for k, v in other.shards.items()}, self.key, self.defaults, None, self.codecs, self.groups)
 
     def explain(self, index: Any) -> None:
         self.select(S.parse(index)).explain("formatted")
@@ -115,7 +157,7 @@ class Table:
     # writing
 
     def _with(self, shards: dict[str, DataFrame]) -> Table:
-        return Table(shards, self.key, self.defaults, self.splitter, self.codecs)
+        return Table(shards, self.key, self.defaults, self.splitter, self.codecs, self.groups)
 
     def _rows(self, rows: DataFrame | dict | list[dict]) -> DataFrame:
         if isinstance(rows, dict):
@@ -125,6 +167,8 @@ class Table:
             names = list(dict.fromkeys(k for r in rows for k in r))
             kinds = {f.name: f.dataType.simpleString() for f in self.df().schema}
             rows = spark.createDataFrame([tuple(r.get(k) for k in names) for r in rows], ", ".join(f"`{k}` {kinds.get(k, 'string')}" for k in names))
+        for g in self.groups:
+            rows = rows.withColumns(g.encoded(*map(F.col, g.inputs))).drop(*g.inputs)
         return rows.withColumns({c: x.en(F.col(c)) for c, x in self.codecs.items() if c in rows.columns})
 
     def placed(self, rows: DataFrame, shard: Column) -> dict[str, DataFrame]:
@@ -147,7 +191,43 @@ class Table:
     def insert(self, rows, shard: Column | None = None) -> Table:
         return self._each(rows, lambda b, r: dml.insert_ignore(b, r, self.key, self.defaults), shard)
 
-    __lshift__ = insert
+    def extend(self, rows, shard: Column | None = None) -> tuple[Table, int]:
+        """The table with the rows that are new, and how many these are."""
+        after = self.insert(rows, shard)
+        return after, after.stored().count() - self.stored().count()
+
+    def append(self, row: dict, id_column: str | None = None, shard: Column | None = None) -> tuple[Table, Any]:
+        """The table with one more row, and the row's id (its key, or a new number in ``id_column``); None if its key was there."""
+        rows = self._rows(row)
+        if id_column is not None and row.get(id_column) is None:
+            rows = cut(dml.with_ids(self.stored(), rows.drop(id_column), id_column))
+        name = id_column or (self.key[0] if self.key else None)
+        (last,) = rows.select(name).collect()  # one row
+        after = self._each(rows, lambda b, r: dml.insert_ignore(b, r, self.key, self.defaults), shard)
+        return after, last[0] if after.stored().count() > self.stored().count() else None
+
+    def __lshift__(self, row) -> Table:
+        """The table with a row (or rows); raises if none is new."""
+        after, n = self.extend(row)
+        if not n:
+            raise NotInsertedError("no row is new")
+        return after
+
+    def __iadd__(self, rows) -> Table:
+        """The table with all rows; raises unless every one is new."""
+        after, n = self.extend(rows)
+        wanted = rows.count() if isinstance(rows, DataFrame) else len(rows)
+        if n != wanted:
+            raise NotInsertedError(f"{n} of {wanted} rows are new")
+        return after
+
+    def set(self, values: dict[str, Any], *where: Any) -> Table:
+        """The table with changed rows; raises if there is none to change."""
+        return _matched(*self.update(values, *where))
+
+    def remove(self, *where: Any) -> Table:
+        """The table without some rows; raises if there is none."""
+        return _matched(*self.delete(*where))
 
     def upsert(self, rows, on_match: dict[str, Any], shard: Column | None = None) -> Table:
         return self._each(rows, lambda b, r: dml.upsert(b, r, self.key, on_match, self.defaults), shard)
@@ -157,32 +237,45 @@ class Table:
 
     def update(self, values: dict[str, Any], *where: Any, limit: int | None = None) -> tuple[Table, DataFrame]:
         """The changed table, and its counts of matched and changed rows."""
-        return self._change(lambda b, c, n: dml.update(b, self._coded(values), c, n, tuple(self.key)), where, limit)
+        return self._change(lambda b, *how: dml.update(b, self._coded(values), *how), where, limit)
 
     def delete(self, *where: Any, limit: int | None = None) -> tuple[Table, DataFrame]:
-        return self._change(lambda b, c, n: dml.delete(b, c, n, tuple(self.key)), where, limit)
+        return self._change(dml.delete, where, limit)
 
     def clear(self) -> Table:
         return self._with({k: b.where(F.lit(False)) for k, b in self.shards.items()})
 
     def _coded(self, values: dict[str, Any]) -> dict[str, Any]:
-        return {c: Expr(self.codecs[c].en(F.lit(v))) if c in self.codecs and not isinstance(v, Expr) and not is_null(v) else v for c, v in values.items()}
+        """Values by stored column; of the columns of a group all or none must be given."""
+        out = dict(values)
+        for g in self.groups:
+            given = [c for c in g.inputs if c in out]
+            if given and len(given) < len(g.inputs):
+                raise ValueError(f"{', '.join(g.inputs)} are stored together; give all of them")
+            if given:
+                cols = [v.bare if isinstance(v, Expr) else F.lit(None if is_null(v) else v) for v in (out.pop(c) for c in g.inputs)]
+                out |= {c: Expr(v) for c, v in g.encoded(*cols).items()}
+        return {c: Expr(self.codecs[c].en(F.lit(v))) if c in self.codecs and not isinstance(v, Expr) and not is_null(v) else v for c, v in out.items()}
 
     def _change(self, how, where, limit) -> tuple[Table, DataFrame]:
-        if limit is not None and len(self.shards) > 1:
-            raise ValueError("a limit over several shards has no order; give it shard by shard")
+        """A limit goes on from shard to shard, in their order, and by key within one."""
         equals: dict = {}
         for w in where:
             if isinstance(w, dict):
                 equals |= w
-        keys = self.pruned(equals)
-        done, counts = {}, []
-        for k, base in self.shards.items():
-            if keys is not None and k not in keys:
-                done[k] = base
-                continue
-            coded = {c: self._coded({c: v})[c] for c, v in equals.items()}
-            out = how(base, S.condition(base, coded, [w for w in where if not isinstance(w, dict)]), limit)
+        keys, own = self.pruned(equals)
+        visited = [k for k in self.shards if keys is None or k in keys]
+        holds = {k: S.condition(self.shards[k], self._coded(equals), [w for w in where if not isinstance(w, dict)] + list(own.get(k, ()))) for k in visited}
+        chosen = None
+        if limit is not None and len(visited) > 1:
+            if not self.key:
+                raise ValueError("a limit needs a key")
+            hits = [self.shards[k].where(F.coalesce(holds[k], F.lit(False))).select(F.lit(i).alias("__shard"), *self.key) for i, k in enumerate(visited)]
+            chosen = reduce(DataFrame.unionByName, hits).orderBy("__shard", *S.ordering(tuple(self.key))).limit(limit)
+        done, counts = dict(self.shards), []
+        for i, k in enumerate(visited):
+            mine = None if chosen is None else chosen.where(F.col("__shard") == i).drop("__shard")
+            out = how(self.shards[k], holds[k], None if mine is not None else limit, tuple(self.key), mine)
             done[k] = out.table
             counts.append(out.counts)
         if not counts:
@@ -191,6 +284,12 @@ class Table:
         return self._with(done), total
 
 
+def _matched(table: Table, counts: DataFrame) -> Table:
+    if not counts.first()["matched"]:
+        raise NotFoundError("no row to change")
+    return table
+
+
 class DataBase:
     """Tables by name: ``db.orders``; ``by_name`` and ``by_function`` make logical tables of several physical ones."""
 
@@ -220,6 +319,16 @@ class DataBase:
     def by_name(cls, frames: dict[str, DataFrame], **how) -> DataBase:
         return cls.by_function(frames, lambda n: n, **how)
 
+    @staticmethod
+    def databases(spark: SparkSession) -> list[str]:
+        """Names of the catalogue's databases."""
+        return [d.name for d in spark.catalog.listDatabases()]
+
+    @staticmethod
+    def tables(spark: SparkSession, database: str | None = None) -> list[str]:
+        """Names of a database's base tables; views don't count."""
+        return [t.name for t in spark.catalog.listTables(database) if t.tableType not in ("VIEW", "TEMPORARY") and not t.isTemporary]
+
     @classmethod
     def of_catalog(cls, spark: SparkSession, database: str | None = None, **how) -> DataBase:
         return cls.by_name({t.name: spark.table(t.name if database is None else f"{database}.{t.name}") for t in spark.catalog.listTables(database)}, **how)

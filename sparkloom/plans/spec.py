@@ -12,7 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.expr import Condition, Expr, column, is_null
+from ..functions.expr import Condition, Expr, Within, aggregates_in, column, is_null
 
 
 class group:  # noqa: N801
@@ -41,11 +41,12 @@ class QuerySpec:
     groups: tuple = ()
     options: tuple = ()
     single: bool = True
+    within: tuple[Within, ...] = ()
 
 
 def parse(index: Any) -> QuerySpec:
     items = index if isinstance(index, tuple) else (index,)
-    columns, equals, conditions, options = [], {}, [], []
+    columns, equals, conditions, options, within = [], {}, [], [], []
     offset, limit, order, groups, single = 0, None, [], [], True
     for x in _flat(items):
         if isinstance(x, slice):
@@ -63,6 +64,8 @@ def parse(index: Any) -> QuerySpec:
             equals |= x
         elif isinstance(x, Condition) and not x.name:
             conditions.append(x)
+        elif isinstance(x, Within):
+            within.append(x)
         elif isinstance(x, option):
             options.append(x)
         elif isinstance(x, (str, Expr, Column)):
@@ -71,7 +74,7 @@ def parse(index: Any) -> QuerySpec:
             raise TypeError(f"not a column, a condition or a slice: {x!r}")
     if limit is not None and limit < 0 or isinstance(offset, int) and offset < 0:
         raise ValueError("offset and limit count rows from 0")
-    return QuerySpec(tuple(columns), equals, tuple(conditions), offset, limit, tuple(order), tuple(groups), tuple(options), single)
+    return QuerySpec(tuple(columns), equals, tuple(conditions), offset, limit, tuple(order), tuple(groups), tuple(options), single, tuple(within))
 
 
 def _flat(items):
@@ -102,7 +105,11 @@ def visible(df: DataFrame) -> list[str]:
 
 
 def where(df: DataFrame, spec: QuerySpec) -> DataFrame:
-    return df.where(condition(df, spec.equals, spec.conditions)) if spec.equals or spec.conditions else df
+    df = df.where(condition(df, spec.equals, spec.conditions)) if spec.equals or spec.conditions else df
+    for w in spec.within:
+        rows = w.rows.select(F.col(f"`{w.rows.columns[0]}`").alias("__within"))
+        df = df.join(rows, w.value.bare == F.col("__within"), "left_semi")
+    return df
 
 
 def run(df: DataFrame, spec: QuerySpec) -> DataFrame:
@@ -131,12 +138,8 @@ def _paged(df: DataFrame, spec: QuerySpec) -> DataFrame:
     return df if spec.limit is None else df.limit(spec.limit)
 
 
-#: Fixed word list: aggregates by whose name an expression is told to be one.
-AGGREGATES = ("sum(", "count(", "max(", "min(", "avg(", "collect_list(", "collect_set(", "bit_or(", "first(", "last(", "stddev(", "variance(", "listagg(")
-
-
 def _aggregate(c: Any) -> bool:
+    """Whether a column of a spec is an aggregate: expressions say so themselves; of a bare Column its text tells."""
     if isinstance(c, str):
         return False
-    text = str(c.bare if isinstance(c, Expr) else c)
-    return any(a in text for a in AGGREGATES)
+    return c.aggregate if isinstance(c, Expr) else aggregates_in(str(c))

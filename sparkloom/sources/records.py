@@ -16,12 +16,14 @@ from ..functions.binary import bits, int_be, uint_be, uint_le
 @dataclass(frozen=True)
 class Field:
     """kind: uint, uint_b, int_b, uint_nz, char, byte, bit, none.  size: bytes, or the name of an earlier field; ``less`` is taken off it
-    (a length that counts itself); size None is all that is left."""
+    (a length that counts itself); size None is all that is left.  repeat: how often the field stands there, a number or the name of an
+    earlier field; it is an array then."""
 
     name: str
     kind: str
     size: int | str | None
     less: int = 0
+    repeat: int | str | None = None
 
 
 def decode(content: Column, layout: list[Field]) -> Column:
@@ -30,12 +32,27 @@ def decode(content: Column, layout: list[Field]) -> Column:
     seen: dict[str, Column] = {}
     for f in layout:
         n = F.octet_length(content) - at + 1 if f.size is None else ((seen[f.size] if isinstance(f.size, str) else F.lit(f.size)) - f.less).cast("int")
-        raw = F.substr(content, at, n) if f.kind != "uint_nz" else F.when(n > 0, F.substr(content, at, n))
-        seen[f.name] = {"uint": uint_le, "uint_nz": lambda b: F.coalesce(uint_le(b), F.lit(0)), "uint_b": uint_be, "int_b": int_be, "char": lambda b: b.cast("string"), "byte": lambda b: b, "bit": bits, "none": lambda b: b}[f.kind](raw)
-        at = at + n
+        if f.repeat is None:
+            seen[f.name] = _value(f.kind, content, at, n)
+            at = at + n
+            continue
+        count = (seen[f.repeat] if isinstance(f.repeat, str) else F.lit(f.repeat)).cast("int")
+        places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        seen[f.name] = F.transform(places, _repeated(f.kind, content, at, n))
+        at = at + n * count
     return F.struct(*[seen[f.name].alias(f.name) for f in layout if f.kind != "none"])
 
 
+def _repeated(kind: str, content: Column, at: Column, n: Column):
+    """A function of the place alone, as higher-order functions take it."""
+    return lambda i: _value(kind, content, at + i * n, n)
+
+
+def _value(kind: str, content: Column, at: Column, n: Column) -> Column:
+    raw = F.substr(content, at, n) if kind != "uint_nz" else F.when(n > 0, F.substr(content, at, n))
+    return {"uint": uint_le, "uint_nz": lambda b: F.coalesce(uint_le(b), F.lit(0)), "uint_b": uint_be, "int_b": int_be, "char": lambda b: b.cast("string"), "byte": lambda b: b, "bit": bits, "none": lambda b: b}[kind](raw)
+
+
 def union(tag: Column, branches: dict[int, Column]) -> Column:
     """A tagged union as a struct with one field for each branch; only the tag's one isn't NULL."""
     return F.struct(*[F.when(tag == k, v).alias(f"b{k}") for k, v in branches.items()])

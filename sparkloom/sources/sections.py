@@ -78,10 +78,10 @@ def nested_json(rows: DataFrame, body: str = "body") -> DataFrame:
 
 
 def column_starts(lines: list[str]) -> list[tuple[int, str | None]]:
-    """Where each column of a fixed-width table begins, and its name: from a ``!`` line, else from columns that are blank in
-    every line."""
+    """Where each column of a fixed-width table begins, and its name: at every ``!`` of a line that begins with one, else from
+    columns that are blank in every line."""
     if lines and lines[0].startswith("!"):
-        return [(m.start() if i else 0, m.group().lstrip("!").strip() or None) for i, m in enumerate(re.finditer(r"!?\S+(?: \S+)*", lines[0]))]
+        return [(m.start(), m[1].strip()) for m in re.finditer("!([^!]*)", lines[0])]
     width = max((len(x) for x in lines), default=0)
     full = [any(x[i : i + 1].strip() for x in lines) for i in range(width)]
     return [(i, None) for i in range(width) if full[i] and (i == 0 or not full[i - 1])]

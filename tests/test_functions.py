@@ -1,5 +1,6 @@
 import struct
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ DOC = """##!# info .object as i
 name: x
 size: 3:4
 ##!# grid .table ends E1 as
-!id  name   greek
+!id  !name  !greek letter
 1    a      alpha
 2    b      beta
 !           more
@@ -81,10 +82,40 @@ def test_sections(spark):
     assert [(r.ordinal, r.name, r.type, r.alias) for r in s.orderBy("ordinal").collect()] == [(0, "info", "object", "i"), (1, "grid", "table", None), (2, "deep", "object_ex", None)]
     assert sections.object_pairs(s.where("name = 'info'")).first().pairs == {"name": "x", "size": "3:4"}
     cells = sections.table_cells(s.where("name = 'grid'"))
-    assert {(r.row, r.column): r.value for r in cells.collect()} == {(0, "id"): "1", (0, "name"): "a", (0, "greek"): "alpha", (1, "id"): "2\r\n", (1, "name"): "b\r\n", (1, "greek"): "beta\r\nmore"}
+    assert {(r.row, r.column): r.value for r in cells.collect()} == {(0, "id"): "1", (0, "name"): "a", (0, "greek letter"): "alpha", (1, "id"): "2\r\n", (1, "name"): "b\r\n", (1, "greek letter"): "beta\r\nmore"}
     assert sections.nested_json(s.where("name = 'deep'")).first().json == '{"a": {"": "1", "b": {"": "2", "c": "3"}}, "d": "4"}'
 
 
+def test_table_columns_begin_at_marks():
+    assert sections.column_starts(["!id !name   !city"]) == [(0, "id"), (4, "name"), (12, "city")]
+    assert sections.parse_table("!a !b\n1  2 3\n! x 4") == [{"row": 0, "col": 0, "name": "a", "value": "1\r\nx"}, {"row": 0, "col": 1, "name": "b", "value": "2 3\r\n4"}]
+
+
+def test_repeated_fields(spark):
+    r = one(spark, records.decode(F.concat(b("0203"), F.lit("abcdef!").cast("binary")), [Field("n", "uint", 1), Field("size", "uint", 1), Field("names", "char", "size", repeat="n"), Field("end", "char", None)]), records.decode(b("00FF"), [Field("n", "uint", 1), Field("x", "uint", 1, repeat="n"), Field("y", "uint", 1)]))
+    assert [r[0].asDict(), r[1].asDict()] == [{"n": 2, "size": 3, "names": ["abc", "def"], "end": "!"}, {"n": 0, "x": [], "y": 255}]
+
+
+def test_words_indents_and_units(spark):
+    texts = ["word rest", "'a b' c", '"open', "", "12 x", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r.id: None if r.w is None else tuple(r.w) for r in df.select("id", text.split_word(F.col("t")).alias("w")).collect()}
+    assert got == {0: ("", "word", " rest"), 1: ("'", "a b", " c"), 2: ('"', "open", ""), 3: ("", "", ""), 4: ("", "", "12 x"), 5: None}
+    import textwrap
+
+    cases = ["  a\n   b\n\n  c", "\t x\n\ty", "a\n  b", "   ", " \n  z\n", "", "\t a\n  b"]
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, t string")
+    assert {r.id: r.d for r in df.select("id", text.dedent(F.col("t")).alias("d")).collect()} == {i: textwrap.dedent(t) for i, t in enumerate(cases)}
+    r = one(spark, text.human_number(F.lit(2.5e24)), text.human_number(F.lit(3.0e21)), text.human_number(F.lit(2.0**80), iec=True))
+    assert list(r) == ["2.50Y", "3.00Z", "1.00Yi"]
+
+
+def test_delta_decode_is_linear(spark):
+    df = spark.createDataFrame([(1, [1] * 50_000), (2, []), (3, None), (4, [5, None, 7])], "id int, a array<bigint>")
+    got = {r.id: r.d for r in df.select("id", binary.delta_decode(F.col("a")).alias("d")).collect()}
+    assert got[1] == list(range(1, 50_001)) and got[2] == [] and got[3] is None and got[4] == [5, None, None]
+
+
 def test_images(spark):
     png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480)
     gif = b"GIF89a" + struct.pack("<HH", 3, 5)
@@ -144,6 +175,17 @@ def test_blocks_and_groups(spark):
     edges = spark.createDataFrame([(1, None), (2, 1), (5, 1), (3, 2), (4, 2), (6, 5)], "child int, parent int")
     t = groups.tree_levels(edges, F.col("parent").isNull())
     assert [r.node for r in t.orderBy("depth", "path").collect()] == [1, 2, 5, 3, 4, 6] and [r.node for r in t.orderBy("path").collect()] == [1, 2, 3, 4, 5, 6]
+    chain = spark.createDataFrame([(f"{'x' * 30}{k}", f"{'x' * 30}{k - 1}" if k else None) for k in range(130)], "child string, parent string")
+    deep = groups.tree_levels(chain, F.col("parent").isNull())
+    assert deep.agg(F.max("depth")).first()[0] == 129 and deep.select("path").distinct().count() == 130
+    ring = spark.createDataFrame([(1, None), (2, 1), (3, 2), (2, 3)], "child int, parent int")
+    with pytest.raises(ValueError):
+        groups.tree_levels(ring, F.col("parent").isNull(), most=5)
+    spans = spark.createDataFrame([(-50, -11, "low"), (-10, -1, "minus"), (0, 10**9, "wide"), (10**9 + 1, 10**9 + 2, "end")], "s long, e long, n string")
+    spots = spark.createDataFrame([(x,) for x in (-51, -50, -11, -10, -1, 0, 5, 10**9, 10**9 + 1, 10**9 + 3, None)], "x long")
+    for most in (500_000, 0):
+        got = {r.x: r.n for r in groups.range_lookup(spots, "x", spans, "s", "e", "n", "-", most).collect()}
+        assert got == {-51: "-", -50: "low", -11: "low", -10: "minus", -1: "minus", 0: "wide", 5: "wide", 10**9: "wide", 10**9 + 1: "end", 10**9 + 3: "-", None: "-"}
     assert groups.nice_step(97) == 20 and groups.bars([0, 1, 2], 1) == [" ▄█"]
 
 

@@ -27,6 +27,21 @@ def test_lookup_clip_delete(spark):
     assert rows(letters.set(15.0, 22.0, "D")) == [(0, 15, "A"), (15, 22, "D"), (22, 25, "B"), (25, None, "C")]
 
 
+def test_around(spark):
+    a = line(spark, {0: 5.0, 10: 15.0, 20: 10.0}).clip(None, 30.0)
+    points = spark.createDataFrame([(1, -1.0), (1, 0.0), (1, 9.0), (1, 10.0), (1, 30.0), (1, None), (2, 3.0)], "g int, x double")
+    assert {(r.g, r.x): (r.left, r.right) for r in a.around(points, "x").collect()} == {(1, -1): (None, 0), (1, 0): (0, 10), (1, 9): (0, 10), (1, 10): (10, 20), (1, 30): (30, None), (1, None): (None, None), (2, 3): (None, None)}
+
+
+def test_breaks_with_ties_and_nulls(spark):
+    """An overlay takes breakpoints as they are: of one place the last counts, NULL is undefined."""
+    rows_ = [(1, 0.0, 1.0, 1), (1, 0.0, 2.0, 2), (1, 5.0, None, 3), (1, 5.0, 9.0, 2), (1, 7.0, 2.0, 4)]
+    a = Lines.of_breaks(spark.createDataFrame(rows_, "g int, k double, v double, t int"), "k", "v", ("g",), ("t",))
+    b = line(spark, {2: 1.0})
+    assert rows(a) == [(0, 5, 2), (7, None, 2)]
+    assert rows(a + b) == [(0, 2, 2), (2, 5, 3), (7, None, 3)] == rows(Lines(a.df, a.by) + Lines(b.df, b.by))
+
+
 def test_overlays(spark):
     a, b = line(spark, {0: 5.0, 10: 15.0, 20: 10.0}), line(spark, {5: 10.0, 15: 20.0, 25: 15.0})
     assert rows(a + b) == [(0, 5, 5), (5, 10, 15), (10, 15, 25), (15, 20, 35), (20, 25, 30), (25, None, 25)]
