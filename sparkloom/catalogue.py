@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import binary, codecs, text, validate
-from .functions.expr import COUNT, HEX, MAX, MIN, SUM, cond, expr, func, null, this
+from .functions.expr import COUNT, HEX, MAX, MIN, SUM, cond, expr, func, null, this, var
 from .operators import dml, groups, move, nested
 from .operators.segments import Lines
 from .operators.table import SHARD, DataBase, Table
@@ -93,7 +93,7 @@ def default_null_markers(s, d):
 @query("select o_orderkey from orders where o_totalprice > 150000")
 def param_var(s, d):
     s.sql("declare or replace variable least_price double default 150000")
-    return Tables(s, d).orders["o_orderkey", cond("o_totalprice > session.least_price"), ::]
+    return Tables(s, d).orders["o_orderkey", this("o_totalprice") > var("least_price"), ::]
 
 
 @query("select n_nationkey, n_nationkey::varchar::blob = n_name::blob as same from nation")
