@@ -195,6 +195,31 @@ def test_xml(spark):
     assert rows.select(xml.element("g", F.col("xml"))).first()[0] == '<g><x n="1">a&lt;</x><x n="2"/></g>'
 
 
+def test_xml_templates(spark):
+    part = xml.read_template("""
+    !doc      !shop         !day
+    list
+      (on)                  when
+      [note]                remark
+      item    %
+        (no)  id
+        price cents|whole
+        [tag] tag
+    """)
+    assert [p.name for p in part.within] == ["on", "note", "item"] and part.elements[1].many
+    df = spark.createDataFrame([([(1, 250, "a<b"), (2, 99, None)], ("mon", None)), ([], ("tue", "late"))], "shop array<struct<id:int,cents:int,tag:string>>, day struct<when:string,remark:string>")
+    out = df.select(xml.rendered(part, {"shop": F.col("shop"), "day": F.col("day")}, {"whole": lambda c: F.ceil(c / 100)}).alias("x"))
+    assert [r.x for r in out.collect()] == [
+        '<list on="mon"><item no="1"><price>3</price><tag>a&lt;b</tag></item><item no="2"><price>1</price></item></list>',
+        '<list on="tue"><note>late</note></list>',
+    ]
+    plain = xml.read_template("!t   !a\nxs\n x   %\n all @|size")
+    assert one(spark, xml.rendered(plain, {"a": F.array(F.lit(1), F.lit(2))}, {"size": F.size}))[0] == "<xs><x>1</x><x>2</x><all>2</all></xs>"
+    for bad in ("!t !a !b\nx k j", "!t !a\nx\ny", "!t !a"):
+        with pytest.raises(ValueError):
+            xml.read_template(bad.replace("x k j", "x  k  j"))
+
+
 def test_prepared(spark):
     sql, defaults = template("select {columns} from {table} where id > /*%(low)s*/3 and 'it''s' <> /*%(w)s*/'it''s'")
     assert defaults == {"low": 3, "w": "it's"}
