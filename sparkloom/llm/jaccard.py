@@ -173,6 +173,8 @@ def by_bucket(batches, names: list[str]) -> Iterator[tuple[int, list]]:
             held.append([c[k] for c in cols])
     if held:
         yield now, held
+        del held
+    S.give_back()
 
 
 class Heavy:

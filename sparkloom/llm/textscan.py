@@ -6,12 +6,18 @@ ends at a text's end, and one text longer than the block size is a block of its
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+_LIBC = None
+with contextlib.suppress(OSError, AttributeError):  # only where the C library is glibc
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -45,8 +51,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker goes on to other tasks, and what it keeps for itself others lack."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with about ``most`` bytes of text each."""
+    """Slices of whole rows with about ``most`` bytes of text each; freed memory is given back when they end."""
+    yield from _blocks(batches, column, most)
+    give_back()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -123,6 +141,31 @@ def windows(h: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np
     return mix(out[first]), first
 
 
+def ngrams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int, most: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (below 2**bits) of the n-grams of ``least`` to ``most`` bytes of each span, end to end, and where each span's
+    begin.  A span counts with a mark before it and one behind it."""
+    lens = ends - starts + 2
+    offs = segments(lens)
+    src = np.arange(offs[-1]) - np.repeat(offs[:-1], lens) - 1
+    inner = (src >= 0) & (src < np.repeat(ends - starts, lens))
+    flat = np.full(offs[-1], ord("<"), np.uint8)
+    flat[offs[1:] - 1] = ord(">")
+    flat[inner] = buf[(np.repeat(starts, lens) + src)[inner]]
+    left = np.repeat(offs[1:], lens) - np.arange(offs[-1])  # bytes to the span's end
+    span = np.repeat(np.arange(len(lens)), lens)
+    h = np.zeros(offs[-1], U)
+    grams, owner = [], []
+    for k in range(most):
+        h[: max(0, offs[-1] - k)] = (h[: max(0, offs[-1] - k)] + BYTE_KEYS[flat[k:]]) * BASE
+        if k + 1 >= least:
+            ok = left > k
+            grams.append((mix(h[ok]) >> U(64 - bits)).astype(np.int32))
+            owner.append(span[ok])
+    grams, owner = np.concatenate(grams), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return grams[order], np.searchsorted(owner[order], np.arange(len(lens) + 1))
+
+
 def segments(counts: np.ndarray) -> np.ndarray:
     """Offsets from counts."""
     out = np.zeros(len(counts) + 1, np.int64)
