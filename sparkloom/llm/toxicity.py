@@ -6,11 +6,11 @@ its n-grams in common with words seen.  A document is as toxic as its most toxic
 count as much as in a short one; embeddings and softmax are trained together on documents through that maximum.
 
 Only labelled rows whose crc32(doc_id as text) mod 5 is not 0 are learnt from, at most ``sample_rows`` of them (those least
-by md5 of the id).  Scoring is the same for every row and every size.  A linear softmax of an average is an average of one
+by md5 of the id) and no more than have ``sample_bytes`` of distinct words together.  Scoring is the same for every row and every size.  A linear softmax of an average is an average of one
 number for each n-gram, so scoring looks up one number for each.
 
 Defined results: null and empty texts and texts without words get the score of an empty bag, which is below 0.5; rows with a
-null doc_id are scored and not held out; repeated rows are scored alike; without labels of both kinds every score is that of
+null doc_id are scored and not held out; repeated rows are scored alike, and one of each id is learnt from; without labels of both kinds every score is that of
 an empty bag; extra columns pass through :func:`drop_toxic`; an empty table gives no rows.
 """
 
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import textscan as S
+from .shared import written
 
 U = np.uint64
 LEAST, MOST = 3, 6
@@ -31,30 +32,6 @@ GAP[list(b'.,;:!?"()[]{}|')] = True
 MOST_WORDS = 500_000
 
 
-def ngrams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of each word, end to end, and where each word's begin."""
-    lens = ends - starts + 2
-    offs = S.segments(lens)
-    src = np.arange(offs[-1]) - np.repeat(offs[:-1], lens) - 1
-    inner = (src >= 0) & (src < np.repeat(ends - starts, lens))
-    flat = np.full(offs[-1], ord("<"), np.uint8)
-    flat[offs[1:] - 1] = ord(">")
-    flat[inner] = buf[(np.repeat(starts, lens) + src)[inner]]
-    left = np.repeat(offs[1:], lens) - np.arange(offs[-1])  # bytes to the word's end
-    word = np.repeat(np.arange(len(lens)), lens)
-    h = np.zeros(offs[-1], U)
-    grams, owner = [], []
-    for k in range(MOST):
-        h[: offs[-1] - k] = (h[: offs[-1] - k] + S.BYTE_KEYS[flat[k:]]) * S.BASE
-        if k + 1 >= LEAST:
-            ok = left > k
-            grams.append((S.mix(h[ok]) >> U(64 - BITS)).astype(np.int32))
-            owner.append(word[ok])
-    grams, owner = np.concatenate(grams), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return grams[order], np.searchsorted(owner[order], np.arange(len(lens) + 1))
-
-
 def means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Mean of each segment; 0 for an empty one."""
     out = np.zeros(len(starts) - 1)
@@ -90,7 +67,7 @@ class Model:
             if len(self.keys) + (~known).sum() > MOST_WORDS:
                 self.keys, self.scores, known = np.zeros(0, U), np.zeros(0), np.zeros(len(keys), bool)
             new = first[~known]
-            grams, begin = ngrams(buf, starts[new], ends[new])
+            grams, begin = S.ngrams(buf, starts[new], ends[new], LEAST, MOST, BITS)
             self.keys = np.concatenate([self.keys, keys[~known]])
             self.scores = np.concatenate([self.scores, self.bias + means(self.weights[grams], begin)])
             order = np.argsort(self.keys)
@@ -103,10 +80,12 @@ class Model:
         return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> pa.Table:
-    """toxic and the distinct words of at most ``sample_rows`` labelled documents outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_bytes: int) -> pa.Table:
+    """toxic and the distinct words of at most ``sample_rows`` labelled documents outside the held-out fold; of these the first, by
+    md5 of the id, whose words take ``sample_bytes`` bytes together."""
+    by = F.md5(F.col("doc_id").cast("string"))
     sample = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = sample.where(~held_out(F.col("doc_id"))).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample_rows)
+    sample = sample.where(~held_out(F.col("doc_id"))).orderBy(by, "doc_id").limit(sample_rows)
 
     def distinct(batches):
         for part in S.blocks(batches, "text"):
@@ -122,11 +101,18 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> pa.Ta
             data = buf.tobytes()
             for k in order[fresh].tolist():
                 rows[owner[k]].append(data[starts[k] : ends[k]])
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array([b" ".join(r) for r in rows], pa.binary())], ["toxic", "words"])
+            yield pa.RecordBatch.from_arrays([part.column("turn"), part.column("toxic"), pa.array([b" ".join(r) for r in rows], pa.binary())], ["turn", "toxic", "words"])
 
     # the sample has at most sample_rows rows of two numbers, so it may be broadcast
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
-    return rows.mapInArrow(distinct, "toxic int, words binary").toArrow()
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select(by.alias("turn"), F.col("toxic").cast("int").alias("toxic"), "text")
+    made = rows.mapInArrow(distinct, "turn string, toxic int, words binary").groupBy("turn").agg(F.min(F.struct("words", "toxic")).alias("m"))  # one row of each id
+    made = written(made.select("turn", "m.toxic", "m.words"), "training-words")
+    sizes = made.select("turn", F.octet_length("words").cast("bigint").alias("n")).toArrow()  # at most sample_rows ids of documents
+    turns, n = np.array(sizes.column("turn").to_pylist(), object), sizes.column("n").to_numpy()
+    order = np.argsort(turns, kind="stable")
+    within = np.cumsum(n[order]) <= sample_bytes
+    last = turns[order][within][-1] if within.any() else ""
+    return made.where(F.col("turn") <= last).orderBy("turn").select("toxic", "words").toArrow()  # at most sample_bytes
 
 
 def train(table: pa.Table, dims: int = 8, epochs: int = 40, rate: float = 0.3, prior: float = 5.0) -> Model:
@@ -142,7 +128,7 @@ def train(table: pa.Table, dims: int = 8, epochs: int = 40, rate: float = 0.3, p
     keys, grams, begins, doc_word, doc_of = np.zeros(0, U), [], [], [], []
     done = 0
     for batch in table.to_batches(max_chunksize=200):
-        for part in S.blocks([batch], "words"):
+        for part in S.blocks([batch], "words", 1 << 18):
             buf, offs = S.raw(part.column("words"))
             starts, ends = S.runs(~GAP[buf], offs)
             h = S.hash_spans(buf, starts, ends)
@@ -150,7 +136,7 @@ def train(table: pa.Table, dims: int = 8, epochs: int = 40, rate: float = 0.3, p
             doc_word.append(h)
             new, first = np.unique(h, return_index=True)
             fresh = ~np.isin(new, keys)
-            g, b = ngrams(buf, starts[first[fresh]], ends[first[fresh]])
+            g, b = S.ngrams(buf, starts[first[fresh]], ends[first[fresh]], LEAST, MOST, BITS)
             keys = np.concatenate([keys, new[fresh]])
             grams.append(g)
             begins.append(np.diff(b))
@@ -250,8 +236,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(scan, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{name}` double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 5_000) -> Model:
-    return train(training_rows(docs, labels, sample_rows))
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 5_000, sample_bytes: int = 16 << 20) -> Model:
+    return train(training_rows(docs, labels, sample_rows, sample_bytes))
 
 
 def drop_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
