@@ -5,11 +5,15 @@ white space and cuts a text into letters, digits and other characters, the cut i
 each distinct piece is encoded once by the library, and pieces seen before come from a bounded table.  Texts that this cut
 doesn't cover (characters beyond Latin-1 letters, control characters, special strings) and other tokenizer files go to the
 library whole.
+
+``cuttable`` says whether a single space between an ASCII letter or digit and another always ends one piece and begins the
+next, whatever else the text holds (:mod:`~.token_count` says why that is so for the files it holds for).
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +24,9 @@ U = np.uint64
 #: A piece table is emptied beyond so many pieces; it is a cache only.
 MOST_PIECES = 400_000
 
+#: How sentencepiece writes a space.
+SPACE_MARK = "\u2581"
+
 LETTER, DIGIT, OTHER, BLANK, BAD = range(5)
 KIND = np.full(256, BAD, np.uint8)
 KIND[[0x20, *range(0x09, 0x0E)]] = BLANK
@@ -39,12 +46,18 @@ class Encoder:
             import sentencepiece
 
             self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+            pieces = map(self.library.id_to_piece, range(self.library.get_piece_size()))
+            self.cuttable = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
             return
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        by_regex = pre.get("type") == "ByteLevel" and pre.get("use_regex") and spec.get("normalizer") is None
+        strips = any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in spec["added_tokens"])
+        self.cuttable = bool(fits(spec) or by_regex) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and not strips
         if fits(spec):
             ends = np.zeros(max(self.library.get_vocab_size(True), max(spec["model"]["vocab"].values()) + 1), bool)
             ends[[i for w, i in spec["model"]["vocab"].items() if w.endswith("</w>")]] = True
@@ -59,13 +72,31 @@ class Encoder:
             return self.library.encode(texts, num_threads=1)
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_offsets(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """Ids and, in characters, where each token begins and ends."""
-        if self.path.endswith(".model"):
-            out = self.library.encode(text, out_type="immutable_proto").pieces
-            return [p.id for p in out], [p.begin for p in out], [p.end for p in out]
-        e = self.library.encode(text, add_special_tokens=False)
-        return e.ids, [a for a, _ in e.offsets], [b for _, b in e.offsets]
+    def marked(self, col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text: its ids, and in bytes of the text where each token begins; -1 where a token goes on with a piece."""
+        if self.pieces is not None:
+            buf, offs = S.raw(col)
+            odd = self.odd(buf, offs)
+            ids, starts, begins = self.pieces.marked(buf, offs, ~odd)
+        else:
+            odd = np.ones(len(col), bool)
+        for k in range(len(col)):
+            if not odd[k]:
+                yield ids[starts[k] : starts[k + 1]], begins[starts[k] : starts[k + 1]]
+                continue
+            text = col[k].as_py()
+            if self.path.endswith(".model"):
+                out = self.library.encode(text, out_type="proto").pieces
+                at = np.fromiter((x.begin for x in out), np.int64, len(out))  # in bytes
+                at[1:][at[1:] == at[:-1]] = -1
+                yield np.fromiter((x.id for x in out), np.uint32, len(out)), at
+            else:
+                e = self.library.encode(text, add_special_tokens=False)
+                code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+                size = S.segments(1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF))
+                at = size[np.fromiter((a for a, _ in e.offsets), np.int64, len(e.ids))]
+                at[1:][at[1:] == at[:-1]] = -1
+                yield np.array(e.ids, np.uint32), at
 
     def column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column end to end, and where each text's ids begin; null texts are empty."""
@@ -171,9 +202,21 @@ class Pieces:
         return low, starts, ends
 
     def column(self, buf: np.ndarray, offs: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        ids, total, starts = self._encode(buf, offs, keep)
+        return ids, total[np.searchsorted(starts, offs, "left")]
+
+    def marked(self, buf: np.ndarray, offs: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`column`, and of each token where in its text its piece begins, or -1 if it isn't a piece's first."""
+        ids, total, starts = self._encode(buf, offs, keep)
+        begins = np.full(len(ids), -1)
+        begins[total[:-1]] = starts - offs[S.owners(starts, offs)]
+        return ids, total[np.searchsorted(starts, offs, "left")], begins
+
+    def _encode(self, buf: np.ndarray, offs: np.ndarray, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces end to end, where each piece's ids begin, where each piece begins."""
         low, starts, ends = self.cut(buf, offs, keep)
         if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64), starts
         h = S.hash_spans(low, starts, ends)
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
@@ -190,7 +233,7 @@ class Pieces:
         lens = np.diff(self.starts)[piece]
         total = S.segments(lens)
         ids = self.ids[np.arange(total[-1]) + np.repeat(self.starts[piece] - total[:-1], lens)]
-        return ids, total[np.searchsorted(starts, offs, "left")]
+        return ids, total, starts
 
     def learn(self, low, starts, ends, keys, first) -> None:
         data = low.tobytes()
