@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import decontaminate, jaccard, mixing, token_output, toxicity
-from sparkloom.llm.shared import new_path, written
+from sparkloom.llm.shared import Scratch, new_path, written
 from sparkloom.llm.tokenize import vocabulary
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
@@ -56,8 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written and read again before the next."""
+    """All stages over documents; each one's rows are written and read again before the next, and go when the last is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+    out = written(STAGES[-1][1](spark, docs, sf_dir), "pipeline")
+    scratch.drop()
+    return out
