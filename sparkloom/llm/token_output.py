@@ -45,14 +45,16 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int | None, metada
     return wide.mapInArrow(encode, schema)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, metadata: tuple[str, ...] = (), row_group_bytes: int = 16 << 20, page_rows: int = 1000, partitions: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, metadata: tuple[str, ...] = (), row_group_bytes: int = 16 << 20, page_rows: int = 1000, file_bytes: int = 32 << 20, partitions: int | None = None) -> None:
     """Write the files.  Texts are dealt out by ranges of doc_id before encoding, so nothing is encoded twice.
 
+    A file holds the tokens of about ``file_bytes`` of text, so files and tasks stay alike while the input grows.
     ``row_group_bytes`` and ``page_rows`` bound what a selective read fetches at least.
     """
-    spark = docs.sparkSession
-    parts = [int(spark.conf.get("spark.sql.shuffle.partitions"))] if partitions is None else [partitions]
-    ranged = docs.repartitionByRange(*parts, F.col("doc_id")).sortWithinPartitions("doc_id")
+    if partitions is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
+        partitions = max(1, -(-size // file_bytes))
+    ranged = docs.repartitionByRange(partitions, F.col("doc_id")).sortWithinPartitions("doc_id")
     out = encode_documents(ranged, tokenizer, end_id, metadata)
     (
         out.write.option("parquet.block.size", row_group_bytes)
