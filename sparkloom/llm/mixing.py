@@ -17,15 +17,15 @@ A running sum within a source is taken over hash buckets first (one row for each
 a source with a third of all rows is spread over as many tasks as any other rows; the number of buckets grows with the rows.
 
 Defined results: null texts have size 0 and are taken 0 times; a null source is a source; rows with one doc_id are taken
-each by itself, in the order of size and text; rows with a null doc_id come first; extra columns pass through; columns named
-like the operator's own (``__size`` and so on) are not allowed; an empty table gives no rows.
+each by itself, in the order of size and text; rows with a null doc_id are in the order of a hash of their text; extra columns pass
+through, whatever their names (the operator's own columns take a free name); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .shared import word_count, written
+from .shared import Scratch, free_names, word_count, written
 
 #: Slopes of the schedules by weight class: the first source's weight falls over the run, the third's rises.
 SLOPES = (-0.8, 0.0, 0.8)
@@ -48,9 +48,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_
 
 
 def keyed(docs: DataFrame, digits: int) -> DataFrame:
-    """docs with __size, __key (order within a source) and __bucket."""
-    key = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
-    return docs.withColumns({"__size": word_count(F.col("text")), "__key": key}).withColumn("__bucket", F.substring("__key", 1, digits))
+    """docs with __size, __key (order within a source), __tie (order of rows with one key) and __bucket."""
+    tie = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    key = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), tie)
+    return docs.withColumns({"__size": word_count(F.col("text")), "__key": key, "__tie": tie}).withColumn("__bucket", F.substring("__key", 1, digits))
 
 
 def with_starts(rows: DataFrame, sums: DataFrame) -> DataFrame:
@@ -77,52 +78,71 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: in
     digits = 2
     while rows > per_bucket * 16**digits:
         digits += 1
-    narrow = written(keyed(narrow, digits).withColumn("__tie", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).drop("text"), "sized")
+    scratch = Scratch(docs.sparkSession, "mixing-plan")
+    narrow = scratch.written(keyed(narrow, digits).drop("text"), "sized")
     sums = narrow.groupBy("source", "__bucket").agg(F.sum("__size").alias("__sum"))
     sums = written(sums, "bucket-sums")
     sizes = sums.groupBy("source").agg(F.sum("__sum").alias("source_size"))
     targets = source_targets(sizes, weights, most_repeats, slopes)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    targets = written(targets.withColumn("passes", whole).withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("passes") * F.col("source_size")), "targets")
+    targets = scratch.written(targets.withColumn("passes", whole).withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("passes") * F.col("source_size")), "targets")
     placed = with_starts(narrow, sums)
     t = targets.select(F.col("source").alias("__s"), F.col("rest").alias("__rest"))
     placed = placed.join(t, placed["source"].eqNullSafe(t["__s"])).drop("__s")
     front = F.col("__before") + F.col("__size") <= F.col("__rest")
     # what the front leaves missing, and the document after it that fills this best
     missing = placed.groupBy("source").agg((F.first("__rest") - F.coalesce(F.sum(F.when(front, F.col("__size"))), F.lit(0))).alias("missing"))
-    missing = written(missing, "missing").select(F.col("source").alias("__s"), "missing")
+    missing = scratch.written(missing, "missing").select(F.col("source").alias("__s"), "missing")
     after = placed.where(~front).join(missing, placed["source"].eqNullSafe(missing["__s"]))
     better = after.where(F.abs(F.col("missing") - F.col("__size")) < F.col("missing"))
     fill = better.groupBy("source").agg(F.min(F.struct(F.abs(F.col("missing") - F.col("__size")).alias("gap"), "__key", F.col("doc_id"), "__size", "__tie", "__before")).alias("fill"))
     fill = fill.select(F.col("source").alias("__s"), F.col("fill.__before").alias("fill_before"), F.col("fill.__key").alias("fill_key"), F.col("fill.__tie").alias("fill_tie"), F.col("fill.__size").alias("fill_size"))
     out = targets.join(fill, targets["source"].eqNullSafe(fill["__s"]), "left").drop("__s")
-    return written(out, "plan"), sums, digits
+    out = written(out, "plan")
+    scratch.drop()
+    return out, sums, digits
+
+
+#: Columns that :func:`mixed` adds.
+OWN = ("__size", "__source_size", "__target", "__copies", "__position", "__before", "__slope")
+NEEDED = ("doc_id", "source", "text")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, slopes: tuple[float, ...] = SLOPES, per_bucket: int = 50_000) -> DataFrame:
-    """All rows and columns of docs with __size, __source_size, __target, __copies and __position (of the first copy)."""
+    """All rows and columns of docs, and of each: __size, __source_size, __target, __copies, __position (of the first copy),
+    __before (words of its source before it) and __slope (each with ``_`` behind it where docs has the name)."""
     sources, sums, digits = plan(docs, weights, most_repeats, slopes, per_bucket)
-    rows = keyed(docs, digits).withColumn("__tie", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    rows = with_starts(rows, sums)
+    kept = {c: c if c in NEEDED else f"x{k}" for k, c in enumerate(docs.columns)}  # so that no name is like ours
+    rows = with_starts(keyed(docs.toDF(*kept.values()), digits), sums)
     s = sources.select(F.col("source").alias("__s"), *[F.col(c).alias(f"__{c}") for c in ("source_size", "slope", "target", "passes", "rest", "fill_before", "fill_key", "fill_tie", "fill_size")])
     rows = rows.join(s, rows["source"].eqNullSafe(s["__s"])).drop("__s")
     front = (F.col("__size") > 0) & (F.col("__before") + F.col("__size") <= F.col("__rest"))
     fills = F.coalesce((F.col("__before") == F.col("__fill_before")) & (F.col("__key") == F.col("__fill_key")) & (F.col("__size") == F.col("__fill_size")) & (F.col("__tie") == F.col("__fill_tie")), F.lit(False))
     copies = F.when(F.col("__size") > 0, F.col("__passes") + (front | fills).cast("long")).otherwise(F.lit(0))
     rows = rows.withColumn("__copies", copies.cast("long")).withColumn("__position", F.when(F.col("__copies") > 0, position(F.col("__before"), F.col("__target"), F.col("__slope"))))
-    return rows.drop(*[f"__{c}" for c in ("key", "bucket", "tie", "passes", "rest", "fill_before", "fill_key", "fill_tie", "fill_size")])
+    return rows.select(*[F.col(k).alias(c) for c, k in kept.items()], *[F.col(c).alias(n) for c, n in zip(OWN, free_names(docs.columns, *OWN), strict=True)])
+
+
+def by_position(rows: DataFrame, at: str, partitions: int | None = None) -> DataFrame:
+    """rows range-sorted by the column ``at``, nulls last; rows of one position are dealt out by their id."""
+    n = [] if partitions is None else [partitions]
+    order = (F.col(at).asc_nulls_last(), F.col("doc_id").asc_nulls_last())
+    return rows.repartitionByRange(*n, *order).sortWithinPartitions(*order)
 
 
 def training_order(docs: DataFrame, partitions: int | None = None, **how) -> DataFrame:
     """The documents that the mix takes, one row for each time it takes one, range-sorted by training position; the columns
-    of docs and __position."""
-    m = mixed(docs, **how).where("__copies > 0").withColumn("__pass", F.explode(F.sequence(F.lit(0), (F.col("__copies") - 1).cast("int"))))
-    at = position(F.col("__before") + F.col("__pass") * F.col("__source_size"), F.col("__target"), F.col("__slope"))
-    m = m.select(*docs.columns, at.alias("__position"))
-    n = [] if partitions is None else [partitions]
-    return m.repartitionByRange(*n, F.col("__position")).sortWithinPartitions("__position")
+    of docs and __position (with ``_`` behind it where docs has the name)."""
+    m = mixed(docs, **how)
+    _, source_size, target, copies, _, before, slope = m.columns[len(docs.columns) :]
+    (turn, at) = free_names(m.columns, "__pass", "__at")
+    m = m.where(F.col(copies) > 0).withColumn(turn, F.explode(F.sequence(F.lit(0), (F.col(copies) - 1).cast("int"))))
+    m = m.withColumn(at, position(F.col(before) + F.col(turn) * F.col(source_size), F.col(target), F.col(slope)))
+    (name,) = free_names(docs.columns, "__position")
+    return by_position(m.select(*docs.columns, F.col(at).alias(name)), name, partitions)
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mixed(docs).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"), F.col("__position").alias("position"))
+    rows = mixed(docs).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"), F.col("__position").alias("position"))
+    return by_position(rows, "position")

@@ -62,7 +62,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 OP7_SQL = rf"""
-with d as (select doc_id, source, coalesce(len({WORDS.format('text')}), 0)::bigint as size, coalesce(md5(doc_id::varchar), '') as k, md5(coalesce(text, '')) as tie from documents)
+with d as (select doc_id, source, coalesce(len({WORDS.format('text')}), 0)::bigint as size, coalesce(md5(doc_id::varchar), md5(coalesce(text, ''))) as k, md5(coalesce(text, '')) as tie from documents)
 , s as (select source, sum(size)::bigint as source_size from d group by 1)
 , w as (select *, [1, 2, 3][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight, [-0.8, 0.0, 0.8][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as slope, 3 * source_size as cap from s)
 , c as (select *, coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0) as before_cap, sum(weight) over (o rows between current row and unbounded following) as from_weight,
