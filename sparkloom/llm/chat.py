@@ -8,13 +8,14 @@ reference is recorded, and the tokens it will take once expanded are counted.  A
 
 Texts and roles are escaped so that no control string can stand inside them, and reversibly: backslash, ``<`` and ``[``
 become ``\\\\e``, ``\\\\l`` and ``\\\\b`` (a backslash in the output is always followed by one of these letters).  A loss mask
-is a list of (start, length) in characters, one for each assistant turn's content.
+is a list of (start, length) in characters, one for each assistant turn's content; placeholders of parts that an assistant's turn
+has are under the mask with its text.
 
 Rows of one conversation meet as one row, which the format asks for: a conversation is one training example, as large as its
 own turns.  Many conversations with the same content stay apart (their ids differ).
 
 Defined results: null texts and missing parts are empty; a null role is an empty role; turns are in the order of ``turn``
-(nulls first), then role, then text, and repeated rows stay; rows with a null conv_id are one conversation; extra columns
+(nulls first), then role, then text (with parts: then content), and repeated rows stay; rows with a null conv_id are one conversation; extra columns
 are ignored; an empty table gives no rows.
 """
 
@@ -80,8 +81,9 @@ def format_conversations(turns: DataFrame, parts: Column | None = None) -> DataF
     turns: conv_id, turn, role, text; ``parts`` gives a turn's content list instead of its text.
     """
     content = visit(text_part(F.coalesce(F.col("text"), F.lit(""))) if parts is None else parts)
-    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), content.alias("c"))
-    each = F.struct("turn", "role", F.col("c.content").alias("content"), F.col("c.attachments").alias("attachments"), F.col("c.expanded_tokens").alias("expanded_tokens"))
+    tie = F.coalesce(F.col("text"), F.lit("")) if parts is None else F.col("c.content")
+    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), content.alias("c"), *(["text"] if parts is None else []))
+    each = F.struct("turn", "role", tie.alias("tie"), F.col("c.content").alias("content"), F.col("c.attachments").alias("attachments"), F.col("c.expanded_tokens").alias("expanded_tokens"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(each), _before).alias("t"))
     head = lambda x: F.concat(F.lit(TURN), escape(x["role"]), F.lit("\n"))
     whole = F.array_join(F.transform("t", lambda x: F.concat(head(x), x["content"], F.lit(END))), "")
@@ -98,9 +100,9 @@ def format_conversations(turns: DataFrame, parts: Column | None = None) -> DataF
 
 
 def _before(x: Column, y: Column) -> Column:
-    """By turn (nulls first), then role, then content."""
+    """By turn (nulls first), then role, then text (as it is, not as it is escaped)."""
     out = F.lit(0)
-    for c in ("content", "role", "turn"):
+    for c in ("tie", "role", "turn"):
         a, b = x[c], y[c]
         out = F.when(a.eqNullSafe(b), out).when(a.isNull(), -1).when(b.isNull(), 1).when(a < b, -1).otherwise(1)
     return out
