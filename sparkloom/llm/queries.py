@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, jaccard, linededup, mixing, quality, token_count, token_output, toxicity, urls
+from . import audit, chat, decontaminate, jaccard, langid, linededup, mixing, prefix_trie, quality, token_count, token_output, toxicity, urls
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -91,6 +91,46 @@ with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '')
 select conv_id, n_turns::bigint as n_turns, sha256(said) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars::bigint as formatted_chars from a
 """
 
+#: Unsigned crc32 of ASCII text, a bit at a time; 256 stands for no new byte.
+CRC32 = """xor(4294967295::ubigint, list_reduce(list_transform(range(8 * len({0})), lambda k: case when k % 8 = 0 then ord(substr({0}, k // 8 + 1, 1))::ubigint else 256::ubigint end),
+    lambda a, b: xor(xor(a, b % 256::ubigint) >> 1, 3988292384::ubigint * (xor(a, b % 256::ubigint) & 1::ubigint)), 4294967295::ubigint))"""
+
+OP11_SQL = f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+           from conversations where conv_id is not null)
+, n as (select conv_id, count(*) as n from t group by 1)
+, c as (select n.conv_id, n.n, n.conv_id - n.conv_id % 100 as base, ({CRC32.format("n.conv_id::varchar")} % 6)::bigint as h from n)
+, d as (select c.*, least(c.h, coalesce(n.n, 0)) as taken, least(c.h, coalesce(n.n, 0)) + greatest(c.n - c.h, 0) as total from c left join n on n.conv_id = c.base)
+, r as (select conv_id, total, pos - h + taken as depth, role, text from t join d using (conv_id) where pos > h
+        union all select d.conv_id, total, pos, role, text from d join t on t.conv_id = d.base where pos <= h)
+, p as (select conv_id, total, depth, length(text) as chars, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' order by depth) over (partition by conv_id order by depth)) as k from r
+        union all select conv_id, total, 0, 0, '' from d)
+, q as (select *, lag(k) over (partition by conv_id order by depth) as up from p)
+, m as (select depth, k, min(up) as up, min(conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * max(chars) as own, sha256(coalesce(string_agg(case when depth = total then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256 from q group by 1, 2)
+, ch as (select up as k, depth - 1 as depth, count(*) as n_children from m where depth > 0 group by 1, 2)
+, f as (select m.*, coalesce(n_children, 0) as n_children from m left join ch using (depth, k))
+, s as (select q.depth, q.k, sum(f.own) as saved, count(*) filter (f.n_children = 0) as n_leaves from f join q on q.conv_id = f.conv_id and q.depth <= f.depth group by 1, 2)
+select f.conv_id, f.depth::bigint as depth, u.conv_id as parent_conv_id, f.n_convs::bigint as n_convs, f.n_children::bigint as n_children, s.n_leaves::bigint as n_leaves, s.saved::bigint as saved_tokens, f.ends_sha256
+from f join s using (depth, k) left join m u on u.depth = f.depth - 1 and u.k = f.up
+"""
+
+OP13_SQL = rf"""
+with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, {WORDS.format("coalesce(text, '')")} as w from documents)
+, e as (select text, min(doc_id) as first from t group by 1)
+, l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels where doc_id is not null group by 1)
+, m as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, len(w) < 100 as "A", 100 * len(list_distinct(w)) < 80 * len(w) as "B", 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) as "C",
+        regexp_matches(text, '[#$%&*|]') as "D", coalesce(doc_id > first, false) as "E" from t join e using (text) left join l using (doc_id))
+, h as (select part, concat(case when "A" then 'A' else '' end, case when "B" then 'B' else '' end, case when "C" then 'C' else '' end, case when "D" then 'D' else '' end, case when "E" then 'E' else '' end) as fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by 1, 2)
+, x as (select unnest(['A', 'B', 'C', 'D', 'E']) as x)
+, o as (select a.x || b.x || c.x || d.x || e.x as o from x a, x b, x c, x d, x e where a.x not in (b.x, c.x, d.x, e.x) and b.x not in (c.x, d.x, e.x) and c.x not in (d.x, e.x) and d.x <> e.x)
+, s as (select o, step, o[step] as f, o[:step - 1] as before from o, (select unnest(range(1, 6)) as step))
+, r as (select part, o, step, f, n, good, toxic, contains(fails, f) as bad, fails = f as only_one, length(translate(fails, before, '')) < length(fails) as gone from h, s)
+, g as (select part, o as filter_order, step, f, sum(case when not gone and not bad then n else 0 end) as kept, sum(case when bad and not gone then n else 0 end) as removed, sum(case when bad and gone then n else 0 end) as redundant,
+        sum(case when only_one then n else 0 end) as unique_fails, sum(case when bad and not gone then good else 0 end) as good_lost, sum(case when bad and not gone then toxic else 0 end) as toxic_lost from r group by all)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+       sum(removed) over (partition by part, f)::bigint as shapley from g
+"""
+
 
 def queries() -> dict:
     return {
@@ -104,8 +144,11 @@ def queries() -> dict:
         "op8_chat_formatting": chat.op8_chat_formatting,
         "op9_url_filters": urls.op9_url_filters,
         "op10_token_count": token_count.op10_token_count,
+        "op11_conversation_trie": prefix_trie.op11_conversation_trie,
+        "op12_language_id": langid.op12_language_id,
+        "op13_filter_audit": audit.op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_source_mixing": OP7_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op3_line_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL, "op7_source_mixing": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op11_conversation_trie": OP11_SQL, "op13_filter_audit": OP13_SQL}
