@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -55,10 +56,14 @@ def first_by_key(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.min(F.struct(*[F.struct(F.col(c).isNull(), c) for c in rest])).alias("__r")).select(*[F.col(c) if c in key else F.col(f"__r.col{rest.index(c) + 1}.{c}").alias(c) for c in rows.columns])
 
 
+def new_rows(base: DataFrame, rows: DataFrame, key: list[str], defaults: dict[str, Any] | None = None) -> DataFrame:
+    """The rows whose keys base doesn't have; of rows with one key the first."""
+    return first_by_key(aligned(rows, base, defaults), key).join(base.select(*key), key, "left_anti").select(*base.columns)
+
+
 def insert_ignore(base: DataFrame, rows: DataFrame, key: list[str], defaults: dict[str, Any] | None = None) -> DataFrame:
     """base and the rows whose keys it doesn't have; of rows with one key the first stays."""
-    new = first_by_key(aligned(rows, base, defaults), key)
-    return base.unionByName(new.join(base.select(*key), key, "left_anti").select(*base.columns))
+    return base.unionByName(new_rows(base, rows, key, defaults))
 
 
 def upsert(base: DataFrame, rows: DataFrame, key: list[str], on_match: dict[str, Any], defaults: dict[str, Any] | None = None) -> DataFrame:
@@ -96,39 +101,42 @@ def replace(base: DataFrame, rows: DataFrame, key: list[str], defaults: dict[str
     return base.join(new_rows.select(*key), key, "left_anti").select(*base.columns).unionByName(new_rows)
 
 
-def _hit(base: DataFrame, where: Column, limit: int | None, key: tuple[str, ...], chosen: DataFrame | None) -> tuple[DataFrame, Column]:
-    """base and whether each row is among the first ``limit``, in the order of the key, that the condition holds for; or among
-    the keys ``chosen``.
-
-    The limit is taken by one sort of the matching rows' keys only, and rows are found again by the key, which must tell them apart.
-    """
-    hit = F.coalesce(where, F.lit(False))
-    if limit is None and chosen is None:
-        return base, hit
+def first_hits(base: DataFrame, where: Column, limit: int, key: tuple[str, ...]) -> DataFrame:
+    """The first ``limit`` rows, by key and then by all other columns, that the condition holds for: one sort of the matching rows."""
     if not key:
         raise ValueError("a limit needs a key")
-    if chosen is None:
-        chosen = base.where(hit).orderBy(*ordering(key)).limit(limit)
-    right = chosen.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(key)], F.lit(True).alias("__in"))
-    on = [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(key)]
-    return base.join(right, on, "left"), hit & F.coalesce(F.col("__in"), F.lit(False))
+    rest = [f.name for f in base.schema if f.name not in key and f.dataType.typeName() not in ("map", "variant")]
+    return base.where(F.coalesce(where, F.lit(False))).orderBy(*ordering(key), *ordering(tuple(rest))).limit(limit)
+
+
+def without(base: DataFrame, chosen: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """base less the chosen rows, each taken off once, so equal keys and equal rows are no matter.
+
+    Only rows that have a chosen row's key are compared with these; all others go past a semi-join on the few keys.
+    """
+    keys = chosen.select(*[F.col(k).alias(f"__key_{i}") for i, k in enumerate(key)]).distinct()
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{i}")) for i, k in enumerate(key)])
+    return base.join(keys, on, "left_anti").unionAll(base.join(keys, on, "left_semi").exceptAll(chosen.select(*base.columns)))
 
 
 def update(base: DataFrame, values: dict[str, Any], where: Column, limit: int | None = None, key: tuple[str, ...] = (), chosen: DataFrame | None = None) -> Changed:
     """Columns of the rows that the condition holds for get new values, all taken from the old row; of the first ``limit`` by key,
-    or of those whose keys are ``chosen``."""
+    or of the rows ``chosen``."""
     unknown = [c for c in values if c not in base.columns]
     if unknown:
         raise KeyError(f"unknown columns: {', '.join(unknown)}")
-    marked, hit = _hit(base, where, limit, key, chosen)
+    if limit is not None and chosen is None:
+        chosen = first_hits(base, where, limit, key)
     kinds = {f.name: f.dataType for f in base.schema}
     to = {c: (v.bare if isinstance(v, Expr) else column(None if isinstance(v, Marker) else v)).cast(kinds[c]) for c, v in values.items()}
-    table = marked.select(*[F.when(hit, to[c]).otherwise(F.col(c)).alias(c) if c in to else F.col(c) for c in base.columns])
     differs = F.lit(False)
     for c, v in to.items():
         differs = differs | ~F.col(c).eqNullSafe(v)
-    counts = marked.agg(F.count(F.when(hit, 1)).alias("matched"), F.count(F.when(hit & differs, 1)).alias("changed"))
-    return Changed(table, counts)
+    hit = F.lit(True) if chosen is not None else F.coalesce(where, F.lit(False))
+    rows = base if chosen is None else chosen
+    table = rows.select(*[F.when(hit, to[c]).otherwise(F.col(c)).alias(c) if c in to else F.col(c) for c in base.columns])
+    counts = rows.agg(F.count(F.when(hit, 1)).alias("matched"), F.count(F.when(hit & differs, 1)).alias("changed"))
+    return Changed(table if chosen is None else without(base, chosen, key).unionAll(table), counts)
 
 
 def update_keyed(base: DataFrame, values: dict[str, Any], key: list[str]) -> Changed:
@@ -137,10 +145,12 @@ def update_keyed(base: DataFrame, values: dict[str, Any], key: list[str]) -> Cha
 
 
 def delete(base: DataFrame, where: Column, limit: int | None = None, key: tuple[str, ...] = (), chosen: DataFrame | None = None) -> Changed:
-    """The rows that the condition doesn't hold for; rows for which it is NULL stay."""
-    marked, hit = _hit(base, where, limit, key, chosen)
-    counts = marked.agg(F.count(F.when(hit, 1)).alias("matched")).withColumn("changed", F.col("matched"))
-    return Changed(marked.where(~hit).select(*base.columns), counts)
+    """The rows that the condition doesn't hold for; rows for which it is NULL stay.  limit and chosen are as in :func:`update`."""
+    if limit is not None and chosen is None:
+        chosen = first_hits(base, where, limit, key)
+    hit = F.coalesce(where, F.lit(False))
+    counts = (base.where(hit) if chosen is None else chosen).agg(F.count("*").alias("matched")).withColumn("changed", F.col("matched"))
+    return Changed(base.where(~hit) if chosen is None else without(base, chosen, key), counts)
 
 
 def with_ids(base: DataFrame, rows: DataFrame, column_name: str) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.cut import cut
+from . import scan
 
 
 def duplicates(df: DataFrame, content: str, by: str) -> DataFrame:
@@ -22,27 +23,14 @@ def shared_values(df: DataFrame, key: str, value: str) -> DataFrame:
 def int_ranges(df: DataFrame, column: str, by: tuple[str, ...] = (), width: int = 1 << 16) -> DataFrame:
     """Runs of consecutive integers as (start, end) rows.
 
-    Runs are found within blocks of ``width`` integers; those that touch a block's edge are joined within blocks of ``width ** 2``, and
-    those that touch such a block's edge within their group.  So no task sees more than a block's integers, or two runs for each
-    of a block's or a group's blocks.
+    Numbers less their place among the group's numbers are equal within a run and differ between runs.  Places are counted in blocks of
+    ``width`` integers with the blocks' totals carried on, and a run's blocks are one row each before they meet.
     """
-    rows = df.select(*by, F.col(column).cast("bigint").alias("x")).where("x is not null").distinct().withColumn("block", F.floor(F.col("x") / width))
-    w = Window.partitionBy(*by, "block").orderBy("x")
-    local = rows.withColumn("run", F.col("x") - F.row_number().over(w)).groupBy(*by, "block", "run").agg(F.min("x").alias("start"), F.max("x").alias("end"))
-
-    def at_edge(n: int) -> Column:
-        return (F.pmod("start", F.lit(n)) == 0) | (F.pmod(F.col("end") + 1, F.lit(n)) == 0)
-
-    def joined(runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("start")
-        fresh = F.when(F.lag("end").over(w) == F.col("start") - 1, 0).otherwise(1)
-        numbered = runs.withColumn("fresh", fresh).withColumn("n", F.sum("fresh").over(w))
-        return numbered.groupBy(*dict.fromkeys([*keys, *by]), "n").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*by, "start", "end")
-
-    local = local.select(*by, "start", "end")
-    inner, outer = local.where(~at_edge(width)), local.where(at_edge(width))
-    large = joined(outer.withColumn("block", F.floor(F.col("start") / width**2)), (*by, "block"))
-    return inner.unionByName(large.where(~at_edge(width**2))).unionByName(joined(large.where(at_edge(width**2)), by))
+    rows = scan.blocked(df.select(*by, F.col(column).cast("bigint").alias("x")).where("x is not null"), by, F.col("x"), width)
+    rows = scan.carried(rows.select(scan.KEY, scan.BLOCK, "x").distinct(), __n=("sum", F.count("*")))
+    run = F.col("x") - F.col("__n") - F.row_number().over(scan.within("x"))
+    runs = rows.select(scan.KEY, "x", run.alias("run")).groupBy(scan.KEY, "run").agg(F.min("x").alias("start"), F.max("x").alias("end"))
+    return runs.select(*[F.col(f"{scan.KEY}.{b}").alias(b) for b in by], "start", "end")
 
 
 def chart_buckets(df: DataFrame, value: str, height: int, by: tuple[str, ...] = (), levels: int = 4) -> DataFrame:

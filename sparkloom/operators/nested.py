@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -59,31 +60,102 @@ def key_values(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by, *[F.col(c).cast("string").alias(c) for c in rest]).unpivot(by, rest, "key", "value")
 
 
+def _opened(df: DataFrame, column: Column, depth: int | None) -> DataFrame:
+    """(by, v, steps) of every leaf of JSON text: by is a struct of all columns of df, steps are structs (name, pos), name NULL in
+    arrays.  Empty objects and arrays are rows like leaves.
+
+    Each level is one lateral ``variant_explode`` that leaves pass unopened, so all levels are one pass over the rows.  Without a depth,
+    three levels at a time are written, what is left to open apart from what is done, until nothing is.
+    """
+    step = "array<struct<name:string,pos:int>>"
+    rows = df.select(F.struct(*df.columns).alias("__by"), F.try_parse_json(column).alias("__v"), F.array().cast(step).alias("__steps")).where("__v is not null")
+    rows = rows.toDF("by", "v", "steps")
+
+    def level(rows: DataFrame) -> DataFrame:
+        inner = rows.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
+        opened = F.col("pos").isNotNull()
+        steps = F.when(opened, F.concat("steps", F.array(F.struct(F.col("key").alias("name"), F.col("pos"))).cast(step))).otherwise(F.col("steps"))
+        return inner.select("by", F.when(opened, F.col("value")).otherwise(F.col("v")).alias("v"), steps.alias("steps"))
+
+    if depth is not None:
+        return reduce(lambda r, _: level(r), range(depth), rows)
+    done = None
+    while True:
+        rows = cut(reduce(lambda r, _: level(r), range(3), rows))
+        more = F.try_variant_get("v", "$", "string").rlike(r"^[\[{].") & ~_empty(F.col("v")) & F.call_function("schema_of_variant", "v").rlike("^(OBJECT|ARRAY)")
+        leaf = rows.where(~F.coalesce(more, F.lit(False)))
+        done, rows = leaf if done is None else done.unionByName(leaf), rows.where(more)
+        if rows.isEmpty():
+            return done
+
+
+def _empty(v: Column) -> Column:
+    return F.to_json(v).isin("{}", "[]")
+
+
+def _value(v: Column) -> Column:
+    """A leaf as text; what wasn't opened as JSON."""
+    return F.try_variant_get(v, "$", "string")
+
+
 def leaves(df: DataFrame, by: list[str], column: str, depth: int | None = None) -> DataFrame:
-    """(path, value) of every leaf of JSON text: names and ``[place]`` of arrays, joined by dots.
+    """(path, value) of every leaf of JSON text: names and ``[place]`` of arrays, joined by dots; a dot in a name is written ``\\.``.
+
+    An empty object or array has no leaves; text that isn't JSON gives no rows.  ``depth`` levels are opened if given (what lies below
+    is one leaf, as JSON text), else all.  Columns of ``by`` that are called path or value move the result's to other names.
+    """
+    rows = _opened(df.select(*by, F.col(column).alias("__json")), F.col("__json"), depth)
+    whole = (F.size("steps") < depth) if depth is not None else F.lit(True)
+    rows = rows.where(~(whole & _empty(F.col("v"))))
+    shown = F.transform("steps", lambda x: F.coalesce(F.replace(x["name"], F.lit("."), F.lit("\\.")), F.concat(F.lit("["), x["pos"].cast("string"), F.lit("]"))))
+    path, value = _free(by, "path", "value")
+    return rows.select(*[F.col(f"by.`{b}`") for b in by], F.array_join(shown, ".").alias(path), _value(F.col("v")).alias(value))
+
 
-    An empty object or array has no leaves; text that isn't JSON gives no rows.  Levels are opened one at a time: ``depth`` of them
-    if given (what lies below is one leaf, as JSON text), else until none is left to open, with one look at the rows for each.
+def cells(df: DataFrame, by: list[str], column: str, depth: int, by_path: dict[tuple[str, ...], Callable[[Column], Column]] | None = None, by_type: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """(column_path, row_path, value) of every leaf of JSON text, ``depth`` levels opened: the names on the way to it, and the places in arrays, apart.
+
+    Values (as text) go through the converter of their column path, then through that of their type (``STRING``, ``BIGINT``,
+    ``DECIMAL``, ``DOUBLE``, ``BOOLEAN``, ``VOID``, ``OBJECT``, ``ARRAY``).  Empty objects and arrays have no cells.
+    """
+    rows = _opened(df.select(*by, F.col(column).alias("__json")), F.col("__json"), depth)
+    rows = rows.where(~((F.size("steps") < depth) & _empty(F.col("v"))))
+    names = F.transform(F.filter("steps", lambda x: x["name"].isNotNull()), lambda x: x["name"])
+    places = F.transform(F.filter("steps", lambda x: x["name"].isNull()), lambda x: x["pos"])
+    value = _value(F.col("v"))
+    for at, f in (by_path or {}).items():
+        value = F.when(names == F.array(*map(F.lit, at)), f(value)).otherwise(value)
+    kind = F.regexp_extract(F.call_function("schema_of_variant", "v"), "^[A-Z]+", 0)
+    for name, f in (by_type or {}).items():
+        value = F.when(kind == name, f(value)).otherwise(value)
+    c, r, v = _free(by, "column_path", "row_path", "value")
+    return rows.select(*[F.col(f"by.`{b}`") for b in by], names.alias(c), places.alias(r), value.alias(v))
+
+
+def column_tree_of(df: DataFrame, column: str, level: int = 2, depth: int | None = None) -> DataFrame:
+    """The column tree of JSON text from the rows themselves: path (names), level (0 for the outermost), n (how often there), kinds (types seen
+    there, by name), for levels up to ``level``; arrays are looked through.
+
+    One grouping by path that combines before the shuffle, so it merges like any sum.  ``depth`` bounds how many objects and arrays are
+    opened (twice the levels by default).
     """
-    rows = df.select(*by, F.lit("").alias("path"), F.try_parse_json(F.col(column)).alias("v")).where(F.col("v").isNotNull())
-    kind = F.call_function("schema_of_variant", F.col("v"))
-    opens = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    done, level = None, 0
-    while depth is None or level < depth:
-        if depth is None and level and rows.where(opens).isEmpty():
-            break
-        fields = F.transform(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-        items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("key"), x.alias("value")))
-        leaf = rows.where(~opens)
-        done = leaf if done is None else done.unionByName(leaf)
-        inner = rows.where(opens).select(*by, "path", F.explode(F.when(kind.startswith("OBJECT"), fields).otherwise(items)).alias("e"))
-        step = F.when(F.col("path") == "", F.col("e.key")).otherwise(F.concat_ws(".", "path", "e.key"))
-        rows, level = inner.select(*by, step.alias("path"), F.col("e.value").alias("v")), level + 1
-        if depth is None and level % 3 == 0:  # a plan of few levels at a time
-            rows, done = cut(rows), cut(done)
-    done = rows if done is None else done.unionByName(rows)
-    text = F.when(opens, F.to_json("v")).otherwise(F.try_variant_get("v", "$", "string"))
-    return done.select(*by, "path", text.alias("value"))
+    depth = 2 * (level + 1) if depth is None else depth
+    rows = _opened(df.select(F.col(column).alias("__json")), F.col("__json"), depth)
+    n = F.size("steps")
+    # a node that isn't a leaf counts where the first leaf below it stands
+    first = lambda i: F.forall(F.slice("steps", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda x: x["pos"] == 0)
+    kind = F.regexp_extract(F.call_function("schema_of_variant", "v"), "^[A-Z]+", 0)
+    below = lambda i: F.when(i == n - 1, kind).when(F.get("steps", i + 1)["name"].isNull(), "ARRAY").otherwise("OBJECT")
+    names = lambda i: F.transform(F.filter(F.slice("steps", F.lit(1), i + 1), lambda x: x["name"].isNotNull()), lambda x: x["name"])
+    nodes = F.transform("steps", lambda x, i: F.when(x["name"].isNotNull() & first(i), F.struct(names(i).alias("path"), below(i).alias("kind"))))
+    rows = rows.select(F.explode(F.filter(nodes, lambda x: x.isNotNull())).alias("x")).select("x.*").where(F.size("path") <= level + 1)
+    return rows.groupBy("path").agg((F.size("path") - 1).alias("level"), F.count("*").alias("n"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
+def _free(taken: list[str], *names: str) -> list[str]:
+    """The names, with as many ``_`` behind them as make them differ from the taken ones."""
+    low = {t.lower() for t in taken}
+    return [next(f"{n}{'_' * k}" for k in range(len(low) + 1) if f"{n}{'_' * k}" not in low) for n in names]
 
 
 def at_path(c: Column, path: list[str], default=None) -> Column:
@@ -124,8 +196,8 @@ def merge_keyed(mine: DataFrame, other: DataFrame, key: list[str], only: DataFra
 
 
 def expand_ranges(df: DataFrame, start: str, end: str, delta: str | None = None, most: int = 65536) -> DataFrame:
-    """Range-coded rows as one row for each key: key, and (key + delta) modulo ``most``."""
-    rows = df.withColumn("key", F.explode(F.sequence(F.col(start), F.col(end))))
+    """Range-coded rows as one row for each key: key, and (key + delta) modulo ``most``.  A range that ends before it starts is empty."""
+    rows = df.where(F.col(start) <= F.col(end)).withColumn("key", F.explode(F.sequence(F.col(start), F.col(end))))
     return rows if delta is None else rows.withColumn("value", F.pmod(F.col("key") + F.col(delta), F.lit(most)))
 
 

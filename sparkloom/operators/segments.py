@@ -3,37 +3,43 @@
 A :class:`Lines` holds many functions at once: rows (key columns, start, end, value), segments of one key ordered, apart and
 without gaps unless the function is undefined there.  ``end`` NULL is plus infinity, ``start`` NULL minus infinity.
 
-Every overlay is one union of both sides' breakpoints, one window by key that carries both values forward, and one pass that
-merges equal neighbours.  Windows are always by key.  A function too long for one task is cut with :meth:`Lines.sharded` at
-given points first; its pieces are keys of their own, and overlaying pieces needs no carry between them.
+Everything is a scan in two levels (:mod:`.scan`): breakpoints are dealt by key and block of the axis, windows carry values forward
+within a block, and one row for each block hands its last value on; no window is by key alone but over these.  ``width`` is a block's width
+on the axis.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .scan import BLOCK, KEY, blocked, carried, upto, within
 
 A, B = "__a", "__b"
 
 
 class Lines:
-    def __init__(self, df: DataFrame, by: tuple[str, ...] = (), breaks: DataFrame | None = None):
-        self.df, self.by = df, tuple(by)
+    def __init__(self, df: DataFrame, by: tuple[str, ...] = (), breaks: DataFrame | None = None, width: float | None = None):
+        self.df, self.by, self.width = df, tuple(by), width
         self.breaks = breaks  # (by, at, value, rank), if each value holds until the next one's place; of one place the last by rank counts
 
+    def _like(self, df: DataFrame, by: tuple[str, ...] | None = None) -> Lines:
+        return Lines(df, self.by if by is None else by, width=self.width)
+
+    def _keys(self) -> list[Column]:
+        return [F.col(f"{KEY}.{b}").alias(b) for b in self.by]
+
     # making
 
     @classmethod
-    def of_breaks(cls, df: DataFrame, start: str, value: str, by: tuple[str, ...] = (), tie: tuple[str, ...] = ()) -> Lines:
+    def of_breaks(cls, df: DataFrame, start: str, value: str, by: tuple[str, ...] = (), tie: tuple[str, ...] = (), width: float | None = None) -> Lines:
         """From breakpoints: the value holds from ``start`` on until the key's next one (of equal starts the last by ``tie``)."""
-        rows = df.select(*by, F.col(start).alias("start"), F.col(value).alias("value"), *[F.col(t).alias(f"__t{i}") for i, t in enumerate(tie)])
-        w = Window.partitionBy(*by).orderBy(F.col("start").asc_nulls_first(), *[F.col(f"__t{i}") for i in range(len(tie))])
-        # of rows with one start the last counts
-        rows = rows.withColumns({"end": F.lead("start").over(w), "__more": F.lead(F.lit(1)).over(w)})
-        rows = rows.where(F.col("__more").isNull() | ~F.col("end").eqNullSafe(F.col("start")))
-        breaks = df.select(*by, F.col(start).alias("at"), F.col(value).alias("value"), F.struct(F.lit(1).alias("one"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)]).alias("rank"))
-        return cls(_merged(rows.select(*by, "start", "end", "value"), by), by, breaks)
+        rank = F.struct(F.lit(1).alias("one"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)]).alias("rank")
+        breaks = df.select(*by, F.col(start).alias("at"), F.col(value).alias("value"), rank)
+        points = blocked(breaks, tuple(by), F.col("at"), width).groupBy(KEY, BLOCK, "at").agg(F.max_by("value", "rank").alias("value"))
+        points = carried(points, __before=("last", F.max_by(F.struct("value"), F.struct(F.col("at").isNotNull(), "at"))))
+        return cls(_segments(points, tuple(by)), tuple(by), breaks, width)
 
     # parts and points
 
@@ -42,67 +48,69 @@ class Lines:
         start = F.col("start") if a is None else F.greatest(F.col("start"), F.lit(a))
         end = F.col("end") if b is None else F.least(F.col("end"), F.lit(b))
         df = self.df.select(*self.by, start.alias("start"), end.alias("end"), "value")
-        return Lines(df.where(F.col("start").isNull() | F.col("end").isNull() | (F.col("start") < F.col("end"))), self.by)
+        return self._like(df.where(F.col("start").isNull() | F.col("end").isNull() | (F.col("start") < F.col("end"))))
 
     def delete(self, a, b) -> Lines:
         """Undefined in [a, b)."""
         left, right = self.clip(None, a), self.clip(b, None)
-        return Lines(left.df.unionByName(right.df), self.by)
+        return self._like(left.df.unionByName(right.df))
 
     def set(self, a, b, value) -> Lines:
         """``value`` in [a, b), for every key there is."""
         kinds = {f.name: f.dataType for f in self.df.schema}
         one = self.df.select(*self.by).distinct().select(*self.by, F.lit(a).cast(kinds["start"]).alias("start"), F.lit(b).cast(kinds["end"]).alias("end"), F.lit(value).cast(kinds["value"]).alias("value"))
-        return self.update(Lines(one, self.by))
+        return self.update(self._like(one))
 
     def at(self, points: DataFrame, point: str) -> DataFrame:
         """points with ``value``, ``segment`` (its number among defined segments, from 0) at each: a sweep, not a range join.
 
-        Segments and points of a key pass by in order and each point takes the last segment that began; points that no
-        segment covers get NULL.
+        Segments and points of a key pass by in order and each point takes the last segment that began, in its block or handed on
+        from those before; points that no segment covers get NULL, as do NULL points.
         """
-        segs = self.df.select(*self.by, F.col("start").alias("__at"), F.lit(0).alias("__kind"), "start", "end", "value")
         kind = dict(self.df.dtypes)["start"]
+        segs = self.df.select(*self.by, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.struct("end", "value").alias("__seg"))
         pts = points.withColumns({"__at": F.col(point).cast(kind), "__kind": F.lit(1)})
-        both = pts.unionByName(segs, allowMissingColumns=True)
-        w = Window.partitionBy(*self.by).orderBy(F.col("__at").asc_nulls_first(), "__kind").rowsBetween(Window.unboundedPreceding, 0)
-        seen = F.last(F.when(F.col("__kind") == 0, F.struct("end", "value")), ignorenulls=True).over(w)
-        count = F.sum(F.when(F.col("__kind") == 0, 1).otherwise(0)).over(w)
-        out = both.withColumns({"__seg": seen, "__n": count}).where("__kind = 1 and __at is not null")
-        inside = F.col("__seg.end").isNull() | (F.col("__at") < F.col("__seg.end"))
-        inside = F.col("__seg").isNotNull() & inside
-        return out.select(*points.columns, F.when(inside, F.col("__seg.value")).alias("value"), F.when(inside, F.col("__n") - 1).alias("segment"))
+        both = blocked(pts.where("__at is not null").unionByName(segs, allowMissingColumns=True), self.by, F.col("__at"), self.width)
+        place = F.struct(F.col("__at").isNotNull(), "__at")
+        both = carried(both, __before=("last", F.max_by(F.when(F.col("__kind") == 0, F.col("__seg")), F.when(F.col("__kind") == 0, place))), __count=("sum", F.count(F.when(F.col("__kind") == 0, 1))))
+        w = upto(F.col("__at").asc_nulls_first(), "__kind")
+        seen = F.coalesce(F.last("__seg", True).over(w), F.col("__before"))
+        n = F.col("__count") + F.count("__seg").over(w)
+        out = both.withColumns({"__seen": seen, "__n": n}).where("__kind = 1")
+        inside = F.col("__seen").isNotNull() & (F.col("__seen.end").isNull() | (F.col("__at") < F.col("__seen.end")))
+        out = out.select(*points.columns, F.when(inside, F.col("__seen.value")).alias("value"), F.when(inside, F.col("__n") - 1).alias("segment"))
+        kinds = dict(out.dtypes)
+        return out.unionByName(pts.where("__at is null").select(*points.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in ("value", "segment")]))
 
     def around(self, points: DataFrame, point: str) -> DataFrame:
         """points with ``left``, the greatest end of a segment at or before each, and ``right``, the least one behind it (NULL
-        where there is none): one sweep, as in :meth:`at`."""
+        where there is none, and for NULL points): one sweep, as in :meth:`at`."""
         kind = dict(self.df.dtypes)["start"]
-        edges = self.df.select(*self.by, F.explode(F.array("start", "end")).alias("__edge")).where(F.col("__edge").isNotNull()).distinct()
-        edges = edges.withColumn("__next", F.lead("__edge").over(Window.partitionBy(*self.by).orderBy("__edge")))
-        both = points.withColumns({"__at": F.col(point).cast(kind), "__kind": F.lit(1)}).unionByName(edges.withColumns({"__at": F.col("__edge"), "__kind": F.lit(0)}), allowMissingColumns=True)
-        w = Window.partitionBy(*self.by).orderBy(F.col("__at").asc_nulls_first(), "__kind").rowsBetween(Window.unboundedPreceding, 0)
-        seen = F.last(F.when(F.col("__kind") == 0, F.struct(F.col("__edge").alias("left"), F.col("__next").alias("right"))), ignorenulls=True).over(w)
-        out = both.withColumns({"__seen": seen, "__first": F.min("__edge").over(Window.partitionBy(*self.by))}).where("__kind = 1")
-        right = F.when(F.col("__seen").isNull(), F.col("__first")).otherwise(F.col("__seen.right"))
-        return out.select(*points.columns, F.when(F.col("__at").isNotNull(), F.col("__seen.left")).alias("left"), F.when(F.col("__at").isNotNull(), right).alias("right"))
+        edges = self.df.select(*self.by, F.explode(F.array("start", "end")).alias("__edge")).where(F.col("__edge").isNotNull())
+        pts = points.withColumns({"__at": F.col(point).cast(kind), "__kind": F.lit(1)})
+        both = pts.where("__at is not null").unionByName(edges.withColumns({"__at": F.col("__edge"), "__kind": F.lit(0)}), allowMissingColumns=True)
+        both = carried(blocked(both, self.by, F.col("__at"), self.width), __left=("last", F.max("__edge")), __right=("next", F.min("__edge")))
+        left = F.coalesce(F.last("__edge", True).over(upto("__at", "__kind")), F.col("__left"))
+        right = F.coalesce(F.last("__edge", True).over(upto(F.desc("__at"), F.desc("__kind"))), F.col("__right"))
+        out = both.withColumns({"__l": left, "__r": right}).where("__kind = 1").select(*points.columns, F.col("__l").alias("left"), F.col("__r").alias("right"))
+        return out.unionByName(pts.where("__at is null").select(*points.columns, *[F.lit(None).cast(kind).alias(c) for c in ("left", "right")]))
 
     # overlay
 
     def overlay(self, other: Lines, f: Callable[[Column, Column], Column]) -> Lines:
         """f(value here, value there) on every stretch of both; NULL results are undefined stretches."""
-        one = self._edges(A).unionByName(other._edges(B), allowMissingColumns=True)
+        one = blocked(self._edges(A).unionByName(other._edges(B), allowMissingColumns=True), self.by, F.col("at"), self.width)
         # all that happens at one place of one key, as one row
-        at = one.groupBy(*self.by, "at").agg(*[x for side in (A, B) for x in (F.max(f"{side}_on").alias(f"{side}_on"), F.max(f"{side}_off").alias(f"{side}_off"), F.max_by(side, f"{side}_rank").alias(side))])
-        w = Window.partitionBy(*self.by).orderBy(F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-
-        def now(side: str) -> Column:
-            event = F.when(F.col(f"{side}_on"), F.struct(F.col(side).alias("v"))).when(F.col(f"{side}_off"), F.struct(F.lit(None).cast(dict(at.dtypes)[side]).alias("v")))
-            return F.last(event, ignorenulls=True).over(w)["v"]
-
-        w2 = Window.partitionBy(*self.by).orderBy(F.col("at").asc_nulls_first())
-        swept = at.select(*self.by, F.col("at").alias("start"), F.lead("at").over(w2).alias("end"), now(A).alias(A), now(B).alias(B))
-        out = swept.select(*self.by, "start", "end", f(F.col(A), F.col(B)).alias("value"))
-        return Lines(_merged(out, self.by), self.by)
+        at = one.groupBy(KEY, BLOCK, "at").agg(*[x for side in (A, B) for x in (F.max(f"{side}_on").alias(f"{side}_on"), F.max(f"{side}_off").alias(f"{side}_off"), F.max_by(side, f"{side}_rank").alias(side))])
+        kinds = dict(at.dtypes)
+        event = lambda side: F.when(F.col(f"{side}_on"), F.struct(F.col(side).alias("v"))).when(F.col(f"{side}_off"), F.struct(F.lit(None).cast(kinds[side]).alias("v")))
+        at = at.select(KEY, BLOCK, "at", event(A).alias(A), event(B).alias(B))
+        order = F.struct(F.col("at").isNotNull(), "at")
+        at = carried(at, __a0=("last", F.max_by(A, F.when(F.col(A).isNotNull(), order))), __b0=("last", F.max_by(B, F.when(F.col(B).isNotNull(), order))))
+        w = upto(F.col("at").asc_nulls_first())
+        now = lambda side, before: F.coalesce(F.last(side, True).over(w), F.col(before))["v"]
+        points = at.withColumns({"value": f(now(A, "__a0"), now(B, "__b0")), "__before": F.when(F.col("__a0").isNotNull() | F.col("__b0").isNotNull(), F.struct(f(F.col("__a0.v"), F.col("__b0.v")).alias("value")))})
+        return self._like(_segments(points.select(KEY, BLOCK, "at", "value", "__before"), self.by))
 
     def _edges(self, side: str) -> DataFrame:
         """A row where each segment begins, and one where each ends; of breakpoints, which need no merging first, one row each."""
@@ -149,7 +157,7 @@ class Lines:
         """Other values, and other places (by an increasing function)."""
         v = value(F.col("value")) if value else F.col("value")
         p = point or (lambda c: c)
-        return Lines(_merged(self.df.select(*self.by, p(F.col("start")).alias("start"), p(F.col("end")).alias("end"), v.alias("value")), self.by), self.by)
+        return self._like(_merged(self.df.select(*self.by, p(F.col("start")).alias("start"), p(F.col("end")).alias("end"), v.alias("value")), self.by, self.width))
 
     def sharded(self, cuts: list, name: str = "_piece") -> Lines:
         """Cut at the given points: pieces become keys, so that one long function is worked on by many tasks."""
@@ -158,12 +166,12 @@ class Lines:
         rows = self.df.withColumn("__p", F.explode(pieces))
         start, end = F.greatest(F.col("start"), F.col("__p.a")), F.least(F.col("end"), F.col("__p.b"))
         rows = rows.select(*self.by, F.col("__p.i").alias(name), start.alias("start"), end.alias("end"), "value").where("start is null or end is null or start < end")
-        return Lines(rows, (*self.by, name))
+        return self._like(rows, (*self.by, name))
 
     def joined(self, name: str = "_piece") -> Lines:
         """Pieces of :meth:`sharded` as whole functions again."""
         by = tuple(b for b in self.by if b != name)
-        return Lines(_merged(self.df.select(*by, "start", "end", "value"), by), by)
+        return self._like(_merged(self.df.select(*by, "start", "end", "value"), by, self.width), by)
 
     # answers, one row for each key
 
@@ -172,8 +180,8 @@ class Lines:
 
     def split(self) -> DataFrame:
         """One row for each segment with its number."""
-        w = Window.partitionBy(*self.by).orderBy(F.col("start").asc_nulls_first())
-        return self.defined().withColumn("segment", F.row_number().over(w) - 1)
+        rows = carried(blocked(self.defined(), self.by, F.col("start"), self.width), __n=("sum", F.count("*")))
+        return rows.select(*self.df.columns, (F.col("__n") + F.row_number().over(within(F.col("start").asc_nulls_first())) - 1).alias("segment"))
 
     def measure(self) -> DataFrame:
         """Total length of the defined segments (NULL if one is unbounded)."""
@@ -204,9 +212,11 @@ class Lines:
 
     def continuity(self) -> DataFrame:
         """Whether each function is defined on one stretch without gaps."""
-        w = Window.partitionBy(*self.by).orderBy(F.col("start").asc_nulls_first())
-        gap = self.defined().withColumn("__prev", F.lag("end").over(w)).withColumn("__first", F.row_number().over(w) == 1)
-        return gap.groupBy(*self.by).agg(F.every(F.col("__first") | F.coalesce(F.col("__prev") == F.col("start"), F.lit(False))).alias("continuous"))
+        place = F.struct(F.col("start").isNotNull(), "start")
+        rows = carried(blocked(self.defined(), self.by, F.col("start"), self.width), __before=("last", F.max_by(F.struct("end"), place)))
+        prev = F.coalesce(F.lag(F.struct("end")).over(within(F.col("start").asc_nulls_first())), F.col("__before"))
+        fits = F.when(F.col("__prev").isNull(), True).otherwise(F.coalesce(F.col("__prev.end") == F.col("start"), F.lit(False)))
+        return rows.withColumn("__prev", prev).groupBy(*self.by).agg(F.every(fits).alias("continuous"))
 
     def complete(self, a, b) -> DataFrame:
         """Whether each function is defined on all of [a, b)."""
@@ -222,12 +232,20 @@ class Lines:
         return self.defined().groupBy(*self.by).agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("breaks"))
 
 
-def _merged(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+def _segments(points: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Segments of (key, block, at, value, __before: a struct of the value in force when the block begins, NULL if none is), where each value holds until the
+    next place.  Only places where the value changes are kept; each holds until the next of these."""
+    order = F.col("at").asc_nulls_first()
+    before = F.coalesce(F.lag(F.struct("value")).over(within(order)), F.col("__before"))
+    changes = points.select(KEY, BLOCK, "at", "value", before.alias("__was")).where(F.col("__was").isNull() | ~F.col("__was.value").eqNullSafe(F.col("value")))
+    changes = carried(changes.select(KEY, BLOCK, "at", "value"), __next=("next", F.min("at")))
+    out = changes.withColumn("end", F.coalesce(F.lead("at").over(within(order)), F.col("__next"))).where("value is not null")
+    return out.select(*[F.col(f"{KEY}.{b}").alias(b) for b in by], F.col("at").alias("start"), "end", "value")
+
+
+def _merged(df: DataFrame, by: tuple[str, ...], width: float | None) -> DataFrame:
     """Neighbours with equal values become one; undefined stretches go."""
-    w = Window.partitionBy(*by).orderBy(F.col("start").asc_nulls_first())
-    prev = F.lag(F.struct("end", "value")).over(w)
-    fresh = ~F.coalesce(prev["end"].eqNullSafe(F.col("start")) & prev["value"].eqNullSafe(F.col("value")) & F.col("start").isNotNull(), F.lit(False))
-    runs = df.where(F.col("value").isNotNull()).withColumn("__fresh", fresh.cast("int"))
-    runs = runs.withColumn("__run", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = runs.groupBy(*by, "__run").agg(F.min(F.struct(F.col("start").isNotNull(), "start"))["start"].alias("start"), F.max(F.struct(F.col("end").isNull(), "end"))["end"].alias("end"), F.first("value").alias("value"))
-    return out.select(*by, "start", "end", "value")
+    edge = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("rank"), F.col("value").alias("v")), F.struct(F.col("end").alias("at"), F.lit(0).alias("rank"), F.lit(None).cast(dict(df.dtypes)["value"]).alias("v")))
+    edges = df.where("value is not null").select(*by, F.explode(edge).alias("e")).where((F.col("e.rank") == 1) | F.col("e.at").isNotNull()).select(*by, "e.*")
+    points = blocked(edges, by, F.col("at"), width).groupBy(KEY, BLOCK, "at").agg(F.max_by("v", "rank").alias("value"))
+    return _segments(carried(points, __before=("last", F.max_by(F.struct("value"), F.struct(F.col("at").isNotNull(), "at")))), by)

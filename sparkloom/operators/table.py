@@ -39,9 +39,20 @@ class Table:
 
     @classmethod
     def by_column(cls, df: DataFrame, shard: Column, keys: Iterable[str], **how) -> Table:
-        """One frame whose rows lie in the shards that a column says: read in one scan, and by shard as a filter on it."""
-        whole = df.withColumn(SHARD, shard.cast("string"))
-        return cls({k: whole.where(F.col(SHARD) == k).drop(SHARD) for k in keys}, whole=whole, **how)
+        """One frame whose rows lie in the shards that a column says: read in one scan, and by shard as a filter on it.
+
+        Rows that lie in none of these shards (or whose shard is NULL) are a shard of their own, the last, with the key None: they are
+        read and changed with all others, and only rows of known shards can be added.
+        """
+        return cls._of_whole(df.withColumn(SHARD, shard.cast("string")), [*keys, None], **how)
+
+    @classmethod
+    def _of_whole(cls, whole: DataFrame, keys: Iterable[str | None], **how) -> Table:
+        known = [k for k in keys if k is not None]
+        shards = {k: whole.where(F.col(SHARD) == k).drop(SHARD) for k in known}
+        if None in keys:
+            shards[None] = whole.where(~F.coalesce(F.col(SHARD).isin(known), F.lit(False))).drop(SHARD)
+        return cls(shards, whole=whole, **how)
 
     def save(self, path: str) -> None:
         """The stored rows in one folder for each shard (``_shard=key``), so that a reader opens the folders of its shards only."""
@@ -54,7 +65,7 @@ class Table:
         found = T.StructType([T.StructField(f.name, T.StringType()) if f.name == SHARD else f for f in found])
         whole = spark.read.schema(found).parquet(path)
         keys = [r[0] for r in whole.select(SHARD).distinct().orderBy(SHARD).collect()]  # one row for each folder
-        return cls({k: whole.where(F.col(SHARD) == k).drop(SHARD) for k in keys}, whole=whole, **how)
+        return cls._of_whole(whole, keys, **how)
 
     # reading
 
@@ -64,8 +75,8 @@ class Table:
         own = {k: reduce(lambda a, b: a & b, [c.bare for c in v]) for k, v in (own or {}).items()}
         names = [k for k in self.shards if keys is None or k in set(keys)]
         if self.whole is not None:
-            df = self.whole if keys is None else self.whole.where(F.col(SHARD).isin(names) if names else F.lit(False))
-            return df.where(reduce(lambda c, k: F.when(F.col(SHARD) == k, own[k]).otherwise(c), own, F.lit(True))) if own else df
+            df = self.whole if keys is None else self.whole.where(self._lies_in(names))
+            return df.where(reduce(lambda c, k: F.when(self._lies_in([k]), own[k]).otherwise(c), own, F.lit(True))) if own else df
         if not names:
             first = next(iter(self.shards.values()))
             names, parts = [], [first.where(F.lit(False))]
@@ -75,6 +86,14 @@ class Table:
             parts = [p.withColumn(SHARD, F.lit(k)) for p, k in zip(parts, names or [""], strict=True)]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
+    def _lies_in(self, names: list[str | None]) -> Column:
+        """Whether a row of the one frame lies in some of the shards."""
+        known = [k for k in names if k is not None]
+        hit = F.coalesce(F.col(SHARD).isin(known), F.lit(False)) if known else F.lit(False)
+        if None not in names:
+            return F.col(SHARD).isin(known) if known else hit
+        return hit | ~F.coalesce(F.col(SHARD).isin([k for k in self.shards if k is not None]), F.lit(False))
+
     def df(self, keys: Iterable[str] | None = None) -> DataFrame:
         """The rows as users see them."""
         return self._decoded(self.stored(keys))
@@ -156,7 +175,10 @@ class Table:
 
     # writing
 
-    def _with(self, shards: dict[str, DataFrame]) -> Table:
+    def _with(self, shards: dict[str, DataFrame] | DataFrame) -> Table:
+        """The same table with other rows: by shard, or, of a table in one frame, as one frame with its shard column."""
+        if isinstance(shards, DataFrame):
+            return Table._of_whole(shards, list(self.shards), key=self.key, defaults=self.defaults, splitter=self.splitter, codecs=self.codecs, groups=self.groups)
         return Table(shards, self.key, self.defaults, self.splitter, self.codecs, self.groups)
 
     def _rows(self, rows: DataFrame | dict | list[dict]) -> DataFrame:
@@ -175,26 +197,31 @@ class Table:
         """Rows by shard; every row must lie in one of the shards."""
         return {k: rows.where(shard == k) for k in self.shards}
 
-    def _each(self, rows, how, shard: Column | None) -> Table:
-        rows = self._rows(rows)
+    def _each(self, rows: DataFrame, how, shard: Column | None) -> Table:
+        """how(base, rows, key) by shard; of a table in one frame at once, the shard being part of the key."""
         if len(self.shards) == 1:
             (k, base), = self.shards.items()
-            return self._with({k: how(base, rows)})
+            return self._with({k: how(base, rows, self.key)})
         if shard is None:
             raise dml.PlacementError("say by a column in which shard each row lies")
-        lost = rows.where(~F.coalesce(shard.isin(*self.shards), F.lit(False)))
-        if not lost.isEmpty():
+        known = [k for k in self.shards if k is not None]
+        if not rows.where(~F.coalesce(shard.isin(known), F.lit(False))).isEmpty():
             raise dml.PlacementError("a row lies in no shard")
+        if self.whole is not None:
+            return self._with(how(self.whole, rows.withColumn(SHARD, shard.cast("string")), [SHARD, *self.key]))
         parts = self.placed(rows, shard)
-        return self._with({k: how(base, parts[k]) for k, base in self.shards.items()})
+        return self._with({k: how(base, parts[k], self.key) for k, base in self.shards.items()})
 
     def insert(self, rows, shard: Column | None = None) -> Table:
-        return self._each(rows, lambda b, r: dml.insert_ignore(b, r, self.key, self.defaults), shard)
+        return self._each(self._rows(rows), lambda b, r, key: dml.insert_ignore(b, r, key, self.defaults), shard)
 
     def extend(self, rows, shard: Column | None = None) -> tuple[Table, int]:
-        """The table with the rows that are new, and how many these are."""
-        after = self.insert(rows, shard)
-        return after, after.stored().count() - self.stored().count()
+        """The table with the rows that are new, and how many these are: a count of the new rows alone."""
+        return self._extended(self._rows(rows), shard)
+
+    def _extended(self, rows: DataFrame, shard: Column | None) -> tuple[Table, int]:
+        new = self._each(rows, lambda b, r, key: dml.new_rows(b, r, key, self.defaults), shard)
+        return self._each(rows, lambda b, r, key: dml.insert_ignore(b, r, key, self.defaults), shard), new.stored().count()
 
     def append(self, row: dict, id_column: str | None = None, shard: Column | None = None) -> tuple[Table, Any]:
         """The table with one more row, and the row's id (its key, or a new number in ``id_column``); None if its key was there."""
@@ -203,8 +230,8 @@ class Table:
             rows = cut(dml.with_ids(self.stored(), rows.drop(id_column), id_column))
         name = id_column or (self.key[0] if self.key else None)
         (last,) = rows.select(name).collect()  # one row
-        after = self._each(rows, lambda b, r: dml.insert_ignore(b, r, self.key, self.defaults), shard)
-        return after, last[0] if after.stored().count() > self.stored().count() else None
+        after, n = self._extended(rows, shard)
+        return after, last[0] if n else None
 
     def __lshift__(self, row) -> Table:
         """The table with a row (or rows); raises if none is new."""
@@ -230,10 +257,10 @@ class Table:
         return _matched(*self.delete(*where))
 
     def upsert(self, rows, on_match: dict[str, Any], shard: Column | None = None) -> Table:
-        return self._each(rows, lambda b, r: dml.upsert(b, r, self.key, on_match, self.defaults), shard)
+        return self._each(self._rows(rows), lambda b, r, key: dml.upsert(b, r, key, on_match, self.defaults), shard)
 
     def replace(self, rows, shard: Column | None = None) -> Table:
-        return self._each(rows, lambda b, r: dml.replace(b, r, self.key, self.defaults), shard)
+        return self._each(self._rows(rows), lambda b, r, key: dml.replace(b, r, key, self.defaults), shard)
 
     def update(self, values: dict[str, Any], *where: Any, limit: int | None = None) -> tuple[Table, DataFrame]:
         """The changed table, and its counts of matched and changed rows."""
@@ -243,6 +270,8 @@ class Table:
         return self._change(dml.delete, where, limit)
 
     def clear(self) -> Table:
+        if self.whole is not None:
+            return self._with(self.whole.where(F.lit(False)))
         return self._with({k: b.where(F.lit(False)) for k, b in self.shards.items()})
 
     def _coded(self, values: dict[str, Any]) -> dict[str, Any]:
@@ -265,17 +294,21 @@ class Table:
                 equals |= w
         keys, own = self.pruned(equals)
         visited = [k for k in self.shards if keys is None or k in keys]
-        holds = {k: S.condition(self.shards[k], self._coded(equals), [w for w in where if not isinstance(w, dict)] + list(own.get(k, ()))) for k in visited}
+        others = [w for w in where if not isinstance(w, dict)]
+        if limit is not None and not self.key:
+            raise ValueError("a limit needs a key")
+        if self.whole is not None:
+            return self._change_whole(how, equals, others, visited, own, limit)
+        holds = {k: S.condition(self.shards[k], self._coded(equals), others + list(own.get(k, ()))) for k in visited}
         chosen = None
         if limit is not None and len(visited) > 1:
-            if not self.key:
-                raise ValueError("a limit needs a key")
-            hits = [self.shards[k].where(F.coalesce(holds[k], F.lit(False))).select(F.lit(i).alias("__shard"), *self.key) for i, k in enumerate(visited)]
-            chosen = reduce(DataFrame.unionByName, hits).orderBy("__shard", *S.ordering(tuple(self.key))).limit(limit)
+            hits = [dml.first_hits(self.shards[k], holds[k], limit, tuple(self.key)).withColumn("__shard", F.lit(i)) for i, k in enumerate(visited)]
+            chosen = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), hits)
+            chosen = chosen.orderBy("__shard", *S.ordering(tuple(self.key)), *S.ordering(tuple(c for c in self.shards[visited[0]].columns if c not in self.key))).limit(limit)
         done, counts = dict(self.shards), []
         for i, k in enumerate(visited):
-            mine = None if chosen is None else chosen.where(F.col("__shard") == i).drop("__shard")
-            out = how(self.shards[k], holds[k], None if mine is not None else limit, tuple(self.key), mine)
+            mine = None if chosen is None else chosen.where(F.col("__shard") == i).select(*self.shards[k].columns)
+            out = how(self.shards[k], holds[k], limit, tuple(self.key), mine)
             done[k] = out.table
             counts.append(out.counts)
         if not counts:
@@ -283,6 +316,19 @@ class Table:
         total = reduce(DataFrame.unionByName, counts).agg(F.sum("matched").alias("matched"), F.sum("changed").alias("changed"))
         return self._with(done), total
 
+    def _change_whole(self, how, equals: dict, others: list, visited: list, own: dict[str, tuple], limit: int | None) -> tuple[Table, DataFrame]:
+        """One change of the one frame, so that it stays one scan; rows of no known shard come last."""
+        hold = S.condition(self.whole, self._coded(equals), others) & (self._lies_in(visited) if visited != list(self.shards) else F.lit(True))
+        for k, conditions in own.items():
+            hold = hold & F.when(self._lies_in([k]), reduce(lambda a, b: a & b, [c.bare for c in conditions])).otherwise(True)
+        chosen = None
+        if limit is not None:
+            turn = F.array_position(F.array(*[F.lit(k) for k in self.shards if k is not None]), F.col(SHARD))
+            turn = F.when(turn > 0, turn).otherwise(F.lit(1 << 40))
+            chosen = dml.first_hits(self.whole.withColumn("__turn", turn), hold, limit, ("__turn", SHARD, *self.key)).drop("__turn")
+        out = how(self.whole, hold, limit, (SHARD, *self.key), chosen)
+        return self._with(out.table), out.counts
+
 
 def _matched(table: Table, counts: DataFrame) -> Table:
     if not counts.first()["matched"]:

@@ -3,22 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; one of our own for local runs without it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-checkpoints-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder for one job's files; it stays until the shared one is cleared."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the session's checkpoint folder (``spark.checkpoint.dir``; one of our own for local runs without it).
+    """The rows, written to the session's checkpoint folder.
 
     What follows reads the files, so a lost executor costs one read, and values that depend on the partition stay as they are.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if found is None:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            found = f"file://{tempfile.mkdtemp(prefix='spark-checkpoints-')}"
-        context.setCheckpointDir(found)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

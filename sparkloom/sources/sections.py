@@ -1,8 +1,11 @@
 """Text documents of titled sections.
 
-A title line ``##!# name .type ends En as alias`` begins a section of type ``table``, ``object``, ``object_ex``, ``value`` or
-``json``; the section ends at the next title or, with ``ends E1/E2/E3``, at the first run of one, two or three blank lines.
-Splitting is done in SQL functions over whole documents; a section's lines never leave its row.
+A title line ``##!# name .type(args) ends En as alias`` begins a section of type ``table``, ``object``, ``object_ex``, ``value`` or
+``json``.  It may be indented, and as many characters are then taken off its section's lines; it follows ``sep`` blank lines or begins the document (else it is
+a line like others).  The options come in any order.  A section ends at the next title or at the first run of one,
+two or three blank lines (``ends E1``, the default, to ``E3``); blank lines at a section's end don't count.
+
+Documents in rows are split by SQL functions within their row.  Files of any size are read in ranges (:func:`read_sections`).
 """
 
 from __future__ import annotations
@@ -11,9 +14,15 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..operators.scan import BLOCK, KEY, carried, upto, within
+from ..plans.cut import cut
 
-TITLE = r"^##!#\s*(\S+)(?:\s+\.(\w+)(?:\(([^)]*)\))?)?(?:\s+ends\s+E([123]))?(?:\s+as(?:\s+(\S+))?)?\s*$"
+MARK = "##!#"
+OPTIONS = r"((?:\s+(?:ends|as)(?:\s+\S+)?)*)\s*$"
+TITLE = r"^(.*)\.(\w+)\s*(?:\((.*)\))?" + OPTIONS
+UNTYPED = r"^(.*?)" + OPTIONS
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -21,26 +30,80 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def sections(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
-    """by, ordinal, name, type, args, alias, body of every section, in the document's order."""
-    lines = docs.select(by, F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")).alias("n", "line"))
-    got = lambda k: F.nullif(F.regexp_extract("line", TITLE, k), F.lit(""))
-    lines = lines.withColumn("title", F.col("line").rlike(TITLE))
-    w = Window.partitionBy(by).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("ordinal", F.sum(F.col("title").cast("int")).over(w) - 1).where("ordinal >= 0")
-    heads = lines.where("title").select(by, "ordinal", got(1).alias("name"), F.coalesce(got(2), F.lit("value")).alias("type"), got(3).alias("args"), got(4).cast("int").alias("ends"), got(5).alias("alias"))
-    body = lines.where("not title").groupBy(by, "ordinal").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    out = heads.join(body, [by, "ordinal"], "left").withColumn("body", F.coalesce("body", F.lit("")))
-    blank = F.concat(F.lit(r"(?s)^(.*?)\n(?:[ \t]*\n){"), F.col("ends").cast("string"), F.lit("}.*$"))
-    cut = F.when(F.col("ends").isNotNull(), F.regexp_replace(F.concat("body", F.lit("\n")), blank, F.lit("$1"))).otherwise(F.col("body"))
-    return out.select(by, "ordinal", "name", "type", "args", "alias", F.regexp_replace(cut, r"^\n+|\n+$", "").alias("body"))
+def _blank(line: Column) -> Column:
+    return F.trim(F.regexp_replace(line, r"\s+", " ")) == ""
+
+
+def _marked(line: Column) -> Column:
+    return F.ltrim(F.regexp_replace(line, r"^\s+", "")).startswith(MARK)
+
+
+def _all(parts: list[Column]) -> Column:
+    out = F.lit(True)
+    for p in parts:
+        out = out & p
+    return out
+
+
+def _parsed(df: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, name, type, args, alias, body of rows with a title line and ``lines``, an array of what follows it."""
+    df = df.withColumn("__rest", F.trim(F.expr(f"substring(title, locate('{MARK}', title) + {len(MARK)})")))
+    typed = F.col("__rest").rlike(TITLE)
+    got = lambda k, other=None: F.nullif(F.trim(F.when(typed, F.regexp_extract("__rest", TITLE, k)).otherwise(other if other is not None else F.lit(""))), F.lit(""))
+    options = F.when(typed, F.regexp_extract("__rest", TITLE, 4)).otherwise(F.regexp_extract("__rest", UNTYPED, 2))
+    df = df.withColumns({"name": got(1, F.regexp_extract("__rest", UNTYPED, 1)), "type": F.coalesce(F.lower(got(2)), F.lit("value")), "args": got(3), "__options": options})
+    df = df.withColumns({"alias": F.nullif(F.regexp_extract("__options", r"\sas\s+(?!ends\s)(\S+)", 1), F.lit("")), "__ends": F.coalesce(F.nullif(F.regexp_extract("__options", r"\sends\s+E([123])", 1), F.lit("")), F.lit("1"))})
+    # the first run of so many blank lines, those behind the last line among them
+    blank = F.transform("lines", _blank)
+    df = df.withColumn("__blank", blank)
+    run = lambda n: F.array_position(F.transform("__blank", lambda x, i: x & _all([F.coalesce(F.get("__blank", i + k), F.lit(True)) for k in range(1, n)])), True)
+    stop = F.when(F.col("__ends") == "1", run(1)).when(F.col("__ends") == "2", run(2)).otherwise(run(3))
+    df = df.withColumn("__n", F.when(stop > 0, stop - 1).otherwise(F.size("lines")).cast("int")).withColumn("__indent", F.expr(f"locate('{MARK}', title)"))
+    body = F.array_join(F.transform(F.slice("lines", F.lit(1), F.col("__n")), lambda x: F.substr(x, F.col("__indent"))), "\n")
+    return df.select(*keep, "name", "type", "args", "alias", body.alias("body"))
+
+
+def sections(docs: DataFrame, by: str, text: str = "text", sep: int = 1) -> DataFrame:
+    """by, ordinal, name, type, args, alias, body of every section, in the document's order; nothing leaves the document's row before it is cut."""
+    docs = docs.select(by, F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n").alias("__lines"))
+    before = lambda i: _all([F.coalesce(_blank(F.get("__lines", i - k)), F.lit(True)) for k in range(1, sep + 1)])
+    at = F.filter(F.transform("__lines", lambda x, i: F.when(_marked(x) & before(i), i)), lambda i: i.isNotNull())
+    docs = docs.withColumn("__at", at)
+    stage = lambda i, k: F.struct(F.get("__lines", i).alias("title"), F.slice("__lines", i + 2, F.coalesce(F.get("__at", k + 1), F.size("__lines")) - i - 1).alias("lines"))
+    return _parsed(docs.select(by, F.posexplode(F.transform("__at", stage)).alias("ordinal", "__s")).select(by, "ordinal", "__s.*"), [by, "ordinal"])
+
+
+def read_sections(spark: SparkSession, path: str, sep: int = 1) -> DataFrame:
+    """path, ordinal, name, type, args, alias, body of every section of text files, each of which is read by many tasks.
+
+    Spark's text source cuts files into ranges at line ends.  Whether a line is a title depends on the ``sep`` lines before it, and
+    which section it belongs to on the titles before it; both are carried from range to range, so sections come out as from one range.
+    """
+    lines = spark.read.text(path).select(F.struct(F.col("_metadata.file_path").alias("path")).alias(KEY), F.col("_metadata.file_block_start").alias(BLOCK), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    lines = lines.repartition(KEY, BLOCK).withColumn("nth", F.row_number().over(within("n"))).withColumn("full", F.when(~_blank(F.col("line")), F.col("nth")))
+    # of each range: how many lines are before it in the file, and the last of these that isn't blank
+    before = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = lines.groupBy(KEY, BLOCK).agg(F.count("*").alias("many"), F.max("full").alias("last_full"))
+    ranges = ranges.withColumn("offset", F.coalesce(F.sum("many").over(before), F.lit(0))).withColumn("far", F.max(F.col("offset") + F.col("last_full")).over(before))
+    lines = lines.join(ranges.select(KEY, BLOCK, "offset", "far"), [KEY, BLOCK])
+    near = F.max(F.col("offset") + F.col("full")).over(within("n").rowsBetween(Window.unboundedPreceding, -1))
+    since = F.col("offset") + F.col("nth") - 1 - F.coalesce(near, F.col("far"))  # blank lines just before
+    lines = cut(lines.select(KEY, BLOCK, "n", "line", (_marked(F.col("line")) & F.coalesce(since >= sep, F.lit(True))).alias("is_title")))
+    lines = carried(lines.repartition(KEY, BLOCK), __n=("sum", F.sum(F.col("is_title").cast("int"))))
+    lines = lines.withColumn("ordinal", F.coalesce("__n", F.lit(0)) + F.sum(F.col("is_title").cast("int")).over(upto("n")) - 1).where("ordinal >= 0")
+    # a section is one row from here on
+    whole = lines.groupBy(KEY, "ordinal").agg(F.max(F.when(F.col("is_title"), F.col("line"))).alias("title"), F.array_sort(F.collect_list(F.when(~F.col("is_title"), F.struct(BLOCK, "n", "line")))).alias("at"))
+    whole = whole.select(F.col(f"{KEY}.path").alias("path"), F.col("ordinal").cast("int").alias("ordinal"), "title", F.transform("at", lambda x: x["line"]).alias("lines"))
+    return _parsed(whole, ["path", "ordinal"])
 
 
 def object_pairs(rows: DataFrame, body: str = "body") -> DataFrame:
     """rows with ``pairs``: a map of ``key: value`` lines; lines that begin with # are comments; the last of equal keys counts."""
     lines = F.filter(F.split(body, "\n"), lambda x: x.contains(":") & ~F.ltrim(x).startswith("#"))
-    entry = F.transform(lines, lambda x: F.struct(F.trim(F.split(x, ":", 2)[0]).alias("k"), F.trim(F.split(x, ":", 2)[1]).alias("v")))
-    last = F.filter(entry, lambda e, i: F.size(F.filter(F.slice(entry, i + 2, F.size(entry)), lambda f: f["k"] == e["k"])) == 0)
+    entry = F.transform(lines, lambda x, i: F.struct(F.trim(F.split(x, ":", 2)[0]).alias("k"), (-i).alias("i"), F.trim(F.split(x, ":", 2)[1]).alias("v")))
+    # sorted by key, the last line of a key first, so each looks at its neighbour only
+    ordered = F.array_sort(entry)
+    last = F.filter(F.zip_with(ordered, F.concat(F.array(F.lit(None).cast("string")), F.transform(ordered, lambda e: e["k"])), lambda e, k: F.when(e["k"].isNotNull() & ~e["k"].eqNullSafe(k), F.struct(e["k"], e["v"]))), lambda e: e.isNotNull())
     return rows.withColumn("pairs", F.map_from_entries(last))
 
 

@@ -62,6 +62,7 @@ DOC = """##!# info .object as i
 # note
 name: x
 size: 3:4
+
 ##!# grid .table ends E1 as
 !id  !name  !greek letter
 1    a      alpha
@@ -69,6 +70,7 @@ size: 3:4
 !           more
 
 left out
+
 ##!# deep .object_ex
 a: 1
   b: 2
