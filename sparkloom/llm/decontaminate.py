@@ -9,18 +9,20 @@ windows of the benchmark.  A window with fewer than ``literal`` words says too l
 as they are, numbers and all, so a passage of numbers is found where it is copied.
 
 *Items.*  Items with the same windows and the same pattern of equal slots are one class, so copies of an item, and one question
-asked with many numbers, count once.  A window of more than ``common`` classes only confirms: it counts for a document and a
-class that another window has brought together.  (Of a class that has common windows only, the rarest begin.)  So a phrase that
-many items share brings no document together with all of them.
+asked with many numbers, count once.  Windows that one class alone has bring documents and that class together.  Windows that several
+classes have are no class's own: all such windows of a class, with their distances, tokens and pattern of slots, are its *common part*, and
+classes with the same common part share one row for it, with the membership beside it.  A document is held against common parts
+as it is against classes, and a class that a window of its own has met is held against the common windows too.  So a phrase of many
+items meets a document once, not once for each item, and whatever a document has of an item is seen, however many others have it.
 
 *Matches.*  Windows of one document and class that lie on one diagonal (same distance between the places in the document and in
 the item) belong together.  Such a match counts when its slots are consistent: equal values of the item always stand for equal
 values of the document, and different ones for different ones.  A question with other numbers or names is caught; two texts that
 merely share sentence patterns with clashing slots are not.  Where the slots of a diagonal clash, it falls into its runs, the
-longest rows of windows that overlap or touch (a token that differs ends a run): runs that are verbatim those of some item of the
-class count together, each other run by itself if it is consistent.  A run with a clash of its own doesn't count, not even its
-verbatim stretches.  A document is contaminated when windows that count together cover at least ``cover`` template tokens of an
-item or all of an item's windows.
+longest rows of windows that overlap or touch (a token that differs ends a run), and each run with changed values counts by itself if it
+is consistent.  Windows that are verbatim those of some item of the class count together in any case, whatever clashes beside
+them.  A document is contaminated when windows that count together cover at least ``cover`` template tokens of an item or all of
+an item's windows.
 
 The benchmark's windows are a side table.  Its hashes go to every task as a filter, so only windows that will join leave the
 scan: as a sorted list up to ``broadcast_windows`` of them, beyond as a Bloom filter of ``bloom_bits`` bits at most, which lets
@@ -274,26 +276,52 @@ def _runs(at: Column) -> Column:
     return F.transform(starts, lambda s, k: F.filter(at, lambda w: (w["item_place"] >= s) & F.coalesce(w["item_place"] < F.get(starts, k + 1), F.lit(True))))
 
 
-def item_classes(benchmark: DataFrame, size: int, literal: int, common: int, keep) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Windows of one item of each class (class, hash, place, tokens, forms, slots, begins); classes (class, item_id: the least,
-    n_items); the values that windows of a class have in any of its items (class, place, tokens, exact, said_by)."""
+def item_classes(benchmark: DataFrame, size: int, literal: int, keep) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of classes and of common parts, both known by a number in ``class``:
+
+    windows (class, hash, place, tokens, forms, slots, begins: whether they bring documents together with the class); names (class,
+    item: the shortest one as (n_windows, item_id), n_items, and by form how many windows are all of an item's); the values that windows
+    have in any item (class, place, tokens, exact, said_by: the shortest such item); and membership (class, item_id).
+    """
     rows = keep(window_rows(benchmark, "item_id", size, literal, tuple(range(1, size)), items=True), "item-windows")
     classes = keep(rows.groupBy("class").agg(F.min(F.struct("item_id", "said")).alias("m"), F.countDistinct("item_id").alias("n_items")), "classes")
     one = rows.join(classes.select("class", "m.*"), ["class", "item_id", "said"]).dropDuplicates(["class", "hash", "place", "tokens", "forms"])
     one = one.join(one.groupBy("hash").agg(F.countDistinct("class").alias("k")), "hash")
-    rarest = one.groupBy("class").agg(F.min("k").alias("rarest"))
-    begins = (F.col("k") <= common) | ((F.col("rarest") > common) & (F.col("k") == F.col("rarest")))
-    one = keep(one.join(rarest, "class").select("class", "hash", "place", "tokens", "forms", "slots", begins.alias("begins")), "class-windows")
-    said = keep(rows.groupBy("class", "place", "tokens", "exact").agg(F.min("item_id").alias("said_by")), "class-values")
-    return one, classes.select("class", "m.item_id", "n_items"), said
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, literal: int = 4, cover: int = 10, common: int = 20, broadcast_windows: int = 1_000_000, bloom_bits: int = 1 << 30) -> DataFrame:
-    """doc_id, item_id (of a class: the least one whose own words stand there, else the least), first_token, n_tokens (covered),
-    n_slots, reparameterised, n_items (of the class): one row for each document and class of a match that counts."""
+    one = keep(one.select("class", "item_id", "hash", "place", "tokens", "forms", "slots", (F.col("k") == 1).alias("begins")), "class-windows")
+    has = lambda x: F.count(F.when(F.col("forms").bitwiseAND(x) != 0, 1))
+    sizes = one.groupBy("class").agg(F.count("*").alias("n_windows"), has(TYPED).alias("typed"), has(PLAIN).alias("plain"), F.min(F.when(~F.col("begins"), F.col("place"))).alias("offset"), F.bool_or("begins").alias("own"))
+    names = classes.select("class", "m.item_id", "n_items").join(sizes, "class")
+    said = rows.join(sizes.select("class", "n_windows"), "class").groupBy("class", "place", "tokens", "exact").agg(F.min(F.struct("n_windows", "item_id")).alias("said_by"))
+
+    # common parts: an item's windows are one list, no longer than the item
+    common = one.where("not begins").join(sizes.select("class", "offset"), "class").withColumn("place", F.col("place") - F.col("offset"))
+    moved = F.transform("slots", lambda x: F.struct((x["place"] - F.col("offset")).alias("place"), x["kind"].alias("kind"), x["value"].alias("value")))
+    common = common.withColumn("slots", moved)
+    parts = common.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("place", "tokens", "forms", "hash"))).alias("w"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("slots")))).alias("s"))
+    values = F.transform("s", lambda x: F.struct(x["kind"], x["value"]))
+    pattern = F.transform("s", lambda x: F.struct(x["place"], F.array_position(values, F.struct(x["kind"], x["value"]))))
+    member = keep(parts.select("class", F.xxhash64(F.lit(17), "w", pattern).alias("part")), "members")
+    first = member.groupBy("part").agg(F.min("class").alias("class"))
+    windows = common.join(first, "class").select(F.col("part").alias("class"), "hash", "place", "tokens", "forms", "slots", F.lit(True).alias("begins"))
+    of = member.join(names, "class")
+    whole = lambda c: F.min(F.when(~F.col("own"), F.col(c))).alias(c)  # noqa: E731  all of an item is common
+    part_names = of.groupBy("part").agg(F.min(F.struct("n_windows", "item_id")).alias("item"), F.sum("n_items").alias("n_items"), whole("typed"), whole("plain")).withColumnRenamed("part", "class")
+    part_said = said.join(of.select("class", "part", "offset"), "class").groupBy(F.col("part").alias("class"), (F.col("place") - F.col("offset")).alias("place"), "tokens", "exact").agg(F.min("said_by").alias("said_by"))
+
+    windows = keep(one.select(*windows.columns).unionByName(windows), "windows")
+    names = names.select("class", F.struct("n_windows", "item_id").alias("item"), "n_items", "typed", "plain")
+    items = rows.select("class", "item_id").distinct()
+    items = items.unionByName(items.join(member, "class").select(F.col("part").alias("class"), "item_id"))
+    return windows, keep(names.unionByName(part_names), "names"), keep(said.unionByName(part_said), "values"), items
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, literal: int = 4, cover: int = 10, broadcast_windows: int = 1_000_000, bloom_bits: int = 1 << 30, every_item: bool = False) -> DataFrame:
+    """doc_id, item_id (of a class or common part: the shortest one whose own words stand there, else the shortest), first_token,
+    n_tokens (covered), n_slots, reparameterised, n_items (that share the class or part): one row for each document and class or part of a
+    match that counts; or, with ``every_item``, for each document and item."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     keep = scratch.written
-    items, classes, said = item_classes(benchmark, size, literal, common, keep)
+    items, names, said, members = item_classes(benchmark, size, literal, keep)
     lengths = tuple(sorted(r.tokens for r in items.where(F.col("tokens") < size).select("tokens").distinct().collect()))  # below size
     hashes = items.select("hash").distinct()
     n = hashes.count()
@@ -303,7 +331,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, literal:
     i = items.select("hash", "class", "tokens", F.col("place").alias("item_place"), F.col("forms").alias("item_forms"), F.col("slots").alias("item_slots"), "begins")
     met = keep(there.join(i.where("begins"), ["hash", "tokens"]), "begun")
     rest = i.where("not begins")
-    pairs = met.select("doc_id", "class").distinct()
+    pairs = met.join(rest.select("class").distinct(), "class", "left_semi").select("doc_id", "class").distinct()
     met = met.unionByName(there.join(rest.select("hash", "tokens").distinct(), ["hash", "tokens"], "left_semi").join(pairs, "doc_id").join(rest, ["class", "hash", "tokens"]))
     met = met.join(said.withColumnRenamed("place", "item_place"), ["class", "item_place", "tokens", "exact"], "left")
     # of each window: pairs of slot values, in order
@@ -314,21 +342,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, literal:
     by = met.groupBy("doc_id", "class", "form", "diagonal").agg(F.collect_set(F.struct("item_place", "tokens", "pairs", "said_by")).alias("at"))
     pairs_of = lambda at: F.array_distinct(F.flatten(F.transform(at, lambda w: w["pairs"])))
     changed = lambda at: F.exists(at, lambda w: w["said_by"].isNull())
-    by = by.withColumn("parts", F.when(_consistent(pairs_of(F.col("at"))), F.array("at")).otherwise(_runs(F.array_sort("at"))))
-    exact = F.flatten(F.filter("parts", lambda r: ~changed(r)))
-    rest = F.filter("parts", lambda r: changed(r) & _consistent(pairs_of(r)))
-    by = by.select("doc_id", "class", "form", "diagonal", F.explode(F.concat(F.array(exact), rest)).alias("at")).withColumn("pairs", pairs_of(F.col("at")))
+    exact = F.filter("at", lambda w: w["said_by"].isNotNull())
+    others = F.when(_consistent(pairs_of(F.col("at"))), F.array("at")).otherwise(F.filter(_runs(F.array_sort("at")), lambda r: _consistent(pairs_of(r))))
+    parts = F.concat(F.array(exact), F.filter(others, changed))
+    by = by.select("doc_id", "class", "form", "diagonal", F.explode(parts).alias("at")).withColumn("pairs", pairs_of(F.col("at")))
     covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda w: F.sequence(w["item_place"], w["item_place"] + w["tokens"] - 1)))))
     n_windows = F.size(F.array_distinct(F.transform("at", lambda w: w["item_place"])))
     first = F.array_min(F.transform("at", lambda w: w["item_place"] + F.col("diagonal")))
     by = by.where(F.size("at") > 0).select("doc_id", "class", "form", first.alias("first_token"), covered.cast("long").alias("n_tokens"), n_windows.cast("long").alias("n_windows"), F.size("pairs").cast("long").alias("n_slots"), changed(F.col("at")).alias("reparameterised"), F.array_min(F.transform("at", lambda w: w["said_by"])).alias("said_by"))
-    forms = F.explode(F.filter(F.array(F.lit(TYPED), F.lit(PLAIN)), lambda x: F.col("forms").bitwiseAND(x) != 0))
-    whole = items.select("class", forms.alias("form")).groupBy("class", "form").agg(F.count("*").alias("windows"))
-    best = by.join(whole, ["class", "form"]).where((F.col("n_tokens") >= cover) | (F.col("n_windows") >= F.col("windows")))
-    found = best.groupBy("doc_id", "class").agg(F.max(F.struct("n_tokens", (-F.col("first_token")).alias("f"), "n_slots", ~F.col("reparameterised"))).alias("m"), F.min("said_by").alias("said_by"))
-    found = found.join(classes, "class").select("doc_id", F.coalesce("said_by", "item_id").alias("item_id"), "m", "n_items")
+    whole = F.when(F.col("form") == TYPED, F.col("typed")).otherwise(F.col("plain"))
+    best = by.join(names, "class").where((F.col("n_tokens") >= cover) | (F.col("n_windows") >= whole))
+    measure = F.struct("n_tokens", (-F.col("first_token")).alias("f"), "n_slots", (~F.col("reparameterised")).alias("verbatim"))
+    found = best.groupBy("doc_id", "class").agg(F.max(measure).alias("m"), F.min("said_by").alias("said_by"), F.first("item").alias("item"), F.first("n_items").alias("n_items"))
+    if every_item:
+        found = found.join(members, "class").select("doc_id", "item_id", "m", "n_items")
+    else:
+        found = found.select("doc_id", F.coalesce("said_by.item_id", "item.item_id").alias("item_id"), "m", "n_items")
     found = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("m", "n_items")).alias("x")).select("doc_id", "item_id", "x.m", "x.n_items")
-    out = written(found.select("doc_id", "item_id", (-F.col("m.f")).alias("first_token"), "m.n_tokens", "m.n_slots", (~F.col("m.col4")).alias("reparameterised"), "n_items"), "contaminated")
+    out = written(found.select("doc_id", "item_id", (-F.col("m.f")).alias("first_token"), "m.n_tokens", "m.n_slots", (~F.col("m.verbatim")).alias("reparameterised"), "n_items"), "contaminated")
     scratch.drop()
     return out
 

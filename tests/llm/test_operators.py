@@ -378,9 +378,9 @@ def test_decontamination(spark):
     docs = frame(spark, texts).withColumn("item_id", F.lit("clash"))
     for most in (10**6, 0):  # with and without the broadcast filter
         got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(docs, bench, broadcast_windows=most).collect()}
-        assert got == {(3, 1): False, (4, 1): False, (5, 0): True, (7, 4): False, (9, 1): False, (10, 0): False, (10, 1): False}
+        assert got == {(3, 1): False, (4, 1): False, (5, 0): True, (6, 0): False, (7, 4): False, (9, 1): False, (10, 0): False, (10, 1): False}  # of 6, what stands as it is beside the clash
     kept = decontaminate.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 6, 8}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2, 8}
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
@@ -392,7 +392,7 @@ def test_decontamination_judges_runs(spark):
     clash = tell.replace("25", "40")
     texts = [f"{clash} then {ask}", f"{clash} now {ask}", clash, f"{tell.replace('25', '26')} then {ask}", trip.replace("indeed they lost 14", "sadly they lost 15")]
     got = {(r.doc_id, r.item_id): (r.n_tokens, r.reparameterised) for r in decontaminate.contaminated(frame(spark, texts), bench).collect()}
-    assert got == {(0, 0): (17, False), (3, 0): (32, True), (4, 1): (10, True)}
+    assert got == {(0, 0): (25, False), (1, 0): (32, False), (3, 0): (32, True), (4, 1): (10, True)}
 
 
 def test_decontamination_of_other_case_and_line_breaks(spark):
@@ -418,6 +418,22 @@ def test_decontamination_by_phrases_that_many_items_share(spark):
     assert {x[0] for x in got if x[1] == 60} == set(range(61)) and len(got) == 64  # the phrase is an item, too
 
 
+@pytest.mark.parametrize("many", [1, 15, 25, 70])
+def test_decontamination_of_passages_that_many_items_share(spark, many):
+    """A copied passage is found however many items have it, whole or in two parts with other words between; one row for the
+    passage, and with ``every_item`` one for each item."""
+    rng = random.Random(25)
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n))
+    passage, gap = word(18), word(5)
+    items = [f"{word(rng.randrange(9, 30))} {passage} {word(rng.randrange(9, 30))}" for _ in range(many)] + [f"{passage[:89]} {gap} {passage[90:]} {word(12)}" for _ in range(many)]
+    texts = [f"{word(20)} {passage} {word(20)}", f"{word(9)} {passage[:89]} {word(5)} {passage[90:]} {word(3)}", f"{word(9)} {' '.join(passage.split()[:9])} {word(9)}", items[0], word(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), bench, every_item=True).collect()}
+    assert got == {(i, k) for i, t in enumerate(texts) for k, x in enumerate(items) if brute_contaminated(t, x)} and {i for i, _ in got} == {0, 1, 3}
+    few = [r.doc_id for r in decontaminate.contaminated(frame(spark, texts), bench).collect()]
+    assert set(few) == {0, 1, 3} and len(few) <= 8
+
+
 def test_decontamination_of_numbers_and_short_items(spark):
     rng = random.Random(22)
     row = "3 14 15 92 65 35 89 79 32 38 46 26"
@@ -451,7 +467,7 @@ def test_decontamination_is_brute_force(spark):
         texts.append(f"{word(rng.randrange(30), 26)} {' '.join(w[a : a + rng.randrange(6, 16)])} {word(rng.randrange(30), 26)}")
     texts += [word(20_000, 26) + " " + items[3] + " " + word(300, 26), texts[0], texts[0]]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), bench, common=10**6).collect()}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), bench, every_item=True).collect()}
     want = {(i, k) for i, t in enumerate(texts) for k, x in enumerate(items) if brute_contaminated(t, x)}
     assert got == want and len(want) > 30
 
