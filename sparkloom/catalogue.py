@@ -377,6 +377,8 @@ def codec_pushed_condition(s, d):
 
 # segments
 
+#: Seconds of a block of the time axis.
+WEEK = 7 * 86_400
 EVENTS = "with e as (select user_id, ts, event_id, value, event_type from events)"
 #: Breakpoints of each user's last value, as segments with merged neighbours; d is a filter.
 SEGMENTS = """
@@ -390,7 +392,7 @@ SEGMENTS = """
 def _lines(s, d, value=None, where=None) -> Lines:
     e = Tables(s, d).frame("events").select("user_id", "ts", "event_id", (F.floor("value").cast("bigint") if value is None else value).alias("v"), "event_type")
     e = e if where is None else e.where(where)
-    return Lines.of_breaks(e, "ts", "v", ("user_id",), ("event_id",))
+    return Lines.of_breaks(e, "ts", "v", ("user_id",), ("event_id",), width=WEEK)
 
 
 V = "floor(value)::bigint"
@@ -490,7 +492,7 @@ SECONDS = EVENTS + SEGMENTS.format(n=1, v=V, d="true")
 
 def _in_seconds(s, d) -> Lines:
     e = Tables(s, d).frame("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.floor("value").cast("bigint").alias("v"))
-    return Lines.of_breaks(e, "at", "v", ("user_id",), ("event_id",))
+    return Lines.of_breaks(e, "at", "v", ("user_id",), ("event_id",), width=WEEK * 1_000_000)
 
 
 @query(SECONDS + """ select user_id, sum(epoch_us("end") - epoch_us(start))::bigint as measure from s1 where "end" is not null group by 1""")

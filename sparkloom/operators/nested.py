@@ -60,42 +60,41 @@ def key_values(df: DataFrame, by: list[str]) -> DataFrame:
     return df.select(*by, *[F.col(c).cast("string").alias(c) for c in rest]).unpivot(by, rest, "key", "value")
 
 
-def _opened(df: DataFrame, column: Column, depth: int | None) -> DataFrame:
-    """(by, v, steps) of every leaf of JSON text: by is a struct of all columns of df, steps are structs (name, pos), name NULL in
-    arrays.  Empty objects and arrays are rows like leaves.
+def _opened(df: DataFrame, by: list[str], column: str, depth: int | None, start: Column, step: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """(by, v, at, n) of every leaf of JSON text: by is a struct of those columns, ``at`` is ``start`` taken a step further (by the name, NULL
+    in arrays, and the place) at each of n levels.  Empty objects and arrays are rows like leaves.
 
     Each level is one lateral ``variant_explode`` that leaves pass unopened, so all levels are one pass over the rows.  Without a depth,
     three levels at a time are written, what is left to open apart from what is done, until nothing is.
     """
-    step = "array<struct<name:string,pos:int>>"
-    rows = df.select(F.struct(*df.columns).alias("__by"), F.try_parse_json(column).alias("__v"), F.array().cast(step).alias("__steps")).where("__v is not null")
-    rows = rows.toDF("by", "v", "steps")
+    keep = F.struct(*by) if by else F.struct(F.lit(0).alias("none"))
+    rows = df.select(keep.alias("by"), F.try_parse_json(F.col(column)).alias("v"), start.alias("at"), F.lit(0).alias("n"))
 
     def level(rows: DataFrame) -> DataFrame:
         inner = rows.lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("v").outer()))
         opened = F.col("pos").isNotNull()
-        steps = F.when(opened, F.concat("steps", F.array(F.struct(F.col("key").alias("name"), F.col("pos"))).cast(step))).otherwise(F.col("steps"))
-        return inner.select("by", F.when(opened, F.col("value")).otherwise(F.col("v")).alias("v"), steps.alias("steps"))
+        return inner.select("by", F.when(opened, F.col("value")).otherwise(F.col("v")).alias("v"), F.when(opened, step(F.col("at"), F.col("key"), F.col("pos"))).otherwise(F.col("at")).alias("at"), F.when(opened, F.col("n") + 1).otherwise(F.col("n")).alias("n"))
 
-    if depth is not None:
-        return reduce(lambda r, _: level(r), range(depth), rows)
-    done = None
+    if depth is not None:  # text that isn't JSON goes last: asked before, it would be parsed twice
+        return reduce(lambda r, _: level(r), range(depth), rows).where("v is not null")
+    done, rows = None, rows.where("v is not null")
     while True:
         rows = cut(reduce(lambda r, _: level(r), range(3), rows))
-        more = F.try_variant_get("v", "$", "string").rlike(r"^[\[{].") & ~_empty(F.col("v")) & F.call_function("schema_of_variant", "v").rlike("^(OBJECT|ARRAY)")
-        leaf = rows.where(~F.coalesce(more, F.lit(False)))
-        done, rows = leaf if done is None else done.unionByName(leaf), rows.where(more)
+        more = F.call_function("schema_of_variant", "v").rlike("^(OBJECT|ARRAY)") & ~F.to_json("v").isin("{}", "[]")
+        done, rows = rows.where(~more) if done is None else done.unionByName(rows.where(~more)), rows.where(more)
         if rows.isEmpty():
             return done
 
 
-def _empty(v: Column) -> Column:
-    return F.to_json(v).isin("{}", "[]")
+def _valued(rows: DataFrame, depth: int | None) -> DataFrame:
+    """Rows with their leaf as text, ``value`` (what wasn't opened as JSON); empty objects and arrays go, but those too deep to be opened."""
+    gone = F.to_json("v").isin("{}", "[]")
+    rows = rows.where(~gone if depth is None else ~((F.col("n") < depth) & gone))
+    return rows.withColumn("value", F.try_variant_get("v", "$", "string"))
 
 
-def _value(v: Column) -> Column:
-    """A leaf as text; what wasn't opened as JSON."""
-    return F.try_variant_get(v, "$", "string")
+def _by(by: list[str]) -> list[Column]:
+    return [F.col(f"by.`{b}`") for b in by]
 
 
 def leaves(df: DataFrame, by: list[str], column: str, depth: int | None = None) -> DataFrame:
@@ -104,52 +103,55 @@ def leaves(df: DataFrame, by: list[str], column: str, depth: int | None = None)
     An empty object or array has no leaves; text that isn't JSON gives no rows.  ``depth`` levels are opened if given (what lies below
     is one leaf, as JSON text), else all.  Columns of ``by`` that are called path or value move the result's to other names.
     """
-    rows = _opened(df.select(*by, F.col(column).alias("__json")), F.col("__json"), depth)
-    whole = (F.size("steps") < depth) if depth is not None else F.lit(True)
-    rows = rows.where(~(whole & _empty(F.col("v"))))
-    shown = F.transform("steps", lambda x: F.coalesce(F.replace(x["name"], F.lit("."), F.lit("\\.")), F.concat(F.lit("["), x["pos"].cast("string"), F.lit("]"))))
+    name = lambda key, pos: F.coalesce(F.replace(key, F.lit("."), F.lit("\\.")), F.concat(F.lit("["), pos.cast("string"), F.lit("]")))
+    step = lambda at, key, pos: F.concat_ws(".", at, name(key, pos))
+    rows = _valued(_opened(df, by, column, depth, F.lit(None).cast("string"), step), depth)
     path, value = _free(by, "path", "value")
-    return rows.select(*[F.col(f"by.`{b}`") for b in by], F.array_join(shown, ".").alias(path), _value(F.col("v")).alias(value))
+    return rows.select(*_by(by), F.coalesce("at", F.lit("")).alias(path), F.col("value").alias(value))
 
 
-def cells(df: DataFrame, by: list[str], column: str, depth: int, by_path: dict[tuple[str, ...], Callable[[Column], Column]] | None = None, by_type: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """(column_path, row_path, value) of every leaf of JSON text, ``depth`` levels opened: the names on the way to it, and the places in arrays, apart.
+_STEPS = "array<struct<name:string,pos:int>>"
+
+
+def _stepped(df: DataFrame, by: list[str], column: str, depth: int | None) -> DataFrame:
+    step = lambda at, key, pos: F.concat(at, F.array(F.struct(key.alias("name"), pos.alias("pos"))).cast(_STEPS))
+    return _opened(df, by, column, depth, F.array().cast(_STEPS), step)
+
+
+def cells(df: DataFrame, by: list[str], column: str, depth: int | None = None, by_path: dict[tuple[str, ...], Callable[[Column], Column]] | None = None, by_type: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """(column_path, row_path, value) of every leaf of JSON text: the names on the way to it, and the places in arrays, apart.
 
     Values (as text) go through the converter of their column path, then through that of their type (``STRING``, ``BIGINT``,
-    ``DECIMAL``, ``DOUBLE``, ``BOOLEAN``, ``VOID``, ``OBJECT``, ``ARRAY``).  Empty objects and arrays have no cells.
+    ``DECIMAL``, ``DOUBLE``, ``BOOLEAN``, ``VOID``; ``OBJECT`` and ``ARRAY`` below ``depth``).  Empty objects and arrays have no cells.
     """
-    rows = _opened(df.select(*by, F.col(column).alias("__json")), F.col("__json"), depth)
-    rows = rows.where(~((F.size("steps") < depth) & _empty(F.col("v"))))
-    names = F.transform(F.filter("steps", lambda x: x["name"].isNotNull()), lambda x: x["name"])
-    places = F.transform(F.filter("steps", lambda x: x["name"].isNull()), lambda x: x["pos"])
-    value = _value(F.col("v"))
+    rows = _valued(_stepped(df, by, column, depth), depth)
+    names = F.transform(F.filter("at", lambda x: x["name"].isNotNull()), lambda x: x["name"])
+    places = F.transform(F.filter("at", lambda x: x["name"].isNull()), lambda x: x["pos"])
+    value = F.col("value")
     for at, f in (by_path or {}).items():
         value = F.when(names == F.array(*map(F.lit, at)), f(value)).otherwise(value)
     kind = F.regexp_extract(F.call_function("schema_of_variant", "v"), "^[A-Z]+", 0)
     for name, f in (by_type or {}).items():
         value = F.when(kind == name, f(value)).otherwise(value)
     c, r, v = _free(by, "column_path", "row_path", "value")
-    return rows.select(*[F.col(f"by.`{b}`") for b in by], names.alias(c), places.alias(r), value.alias(v))
+    return rows.select(*_by(by), names.alias(c), places.alias(r), value.alias(v))
 
 
-def column_tree_of(df: DataFrame, column: str, level: int = 2, depth: int | None = None) -> DataFrame:
-    """The column tree of JSON text from the rows themselves: path (names), level (0 for the outermost), n (how often there), kinds (types seen
-    there, by name), for levels up to ``level``; arrays are looked through.
+def column_tree_of(df: DataFrame, column: str, level: int = 2) -> DataFrame:
+    """The column tree of JSON text from the rows themselves: path (names), level (0 for the outermost), n (how often it is there), kinds
+    (names of the types seen there), for levels up to ``level``; arrays are looked through.
 
-    One grouping by path that combines before the shuffle, so it merges like any sum.  ``depth`` bounds how many objects and arrays are
-    opened (twice the levels by default).
+    One grouping by path that combines before the shuffle, so it merges like any sum.
     """
-    depth = 2 * (level + 1) if depth is None else depth
-    rows = _opened(df.select(F.col(column).alias("__json")), F.col("__json"), depth)
-    n = F.size("steps")
+    rows = _stepped(df, [], column, None).withColumn("n", F.size("at"))
     # a node that isn't a leaf counts where the first leaf below it stands
-    first = lambda i: F.forall(F.slice("steps", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda x: x["pos"] == 0)
+    first = lambda i: F.forall(F.slice("at", i + 2, F.greatest(F.col("n") - i - 1, F.lit(0))), lambda x: x["pos"] == 0)
     kind = F.regexp_extract(F.call_function("schema_of_variant", "v"), "^[A-Z]+", 0)
-    below = lambda i: F.when(i == n - 1, kind).when(F.get("steps", i + 1)["name"].isNull(), "ARRAY").otherwise("OBJECT")
-    names = lambda i: F.transform(F.filter(F.slice("steps", F.lit(1), i + 1), lambda x: x["name"].isNotNull()), lambda x: x["name"])
-    nodes = F.transform("steps", lambda x, i: F.when(x["name"].isNotNull() & first(i), F.struct(names(i).alias("path"), below(i).alias("kind"))))
+    below = lambda i: F.when(i == F.col("n") - 1, kind).when(F.get("at", i + 1)["name"].isNull(), "ARRAY").otherwise("OBJECT")
+    names = lambda i: F.transform(F.filter(F.slice("at", F.lit(1), i + 1), lambda x: x["name"].isNotNull()), lambda x: x["name"])
+    nodes = F.transform("at", lambda x, i: F.when(x["name"].isNotNull() & first(i), F.struct(names(i).alias("path"), below(i).alias("kind"))))
     rows = rows.select(F.explode(F.filter(nodes, lambda x: x.isNotNull())).alias("x")).select("x.*").where(F.size("path") <= level + 1)
-    return rows.groupBy("path").agg((F.size("path") - 1).alias("level"), F.count("*").alias("n"), F.array_sort(F.collect_set("kind")).alias("kinds"))
+    return rows.groupBy("path").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("kind")).alias("kinds")).select("path", (F.size("path") - 1).alias("level"), "n", "kinds")
 
 
 def _free(taken: list[str], *names: str) -> list[str]:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scan import BLOCK, KEY, blocked, carried, upto, within
 
@@ -20,10 +20,18 @@ A, B = "__a", "__b"
 
 
 class Lines:
-    def __init__(self, df: DataFrame, by: tuple[str, ...] = (), breaks: DataFrame | None = None, width: float | None = None):
-        self.df, self.by, self.width = df, tuple(by), width
+    def __init__(self, df: DataFrame | None, by: tuple[str, ...] = (), breaks: DataFrame | None = None, width: float | None = None):
+        self._df, self.by, self.width = df, tuple(by), width
         self.breaks = breaks  # (by, at, value, rank), if each value holds until the next one's place; of one place the last by rank counts
 
+    @property
+    def df(self) -> DataFrame:
+        """The segments; of breakpoints they are made when they are asked for, as overlays take breakpoints as they are."""
+        if self._df is None:
+            points = blocked(self.breaks, self.by, F.col("at"), self.width).groupBy(KEY, BLOCK, "at").agg(F.max_by("value", "rank").alias("value"))
+            self._df = _segments(points, self.by)
+        return self._df
+
     def _like(self, df: DataFrame, by: tuple[str, ...] | None = None) -> Lines:
         return Lines(df, self.by if by is None else by, width=self.width)
 
@@ -37,9 +45,7 @@ class Lines:
         """From breakpoints: the value holds from ``start`` on until the key's next one (of equal starts the last by ``tie``)."""
         rank = F.struct(F.lit(1).alias("one"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(tie)]).alias("rank")
         breaks = df.select(*by, F.col(start).alias("at"), F.col(value).alias("value"), rank)
-        points = blocked(breaks, tuple(by), F.col("at"), width).groupBy(KEY, BLOCK, "at").agg(F.max_by("value", "rank").alias("value"))
-        points = carried(points, __before=("last", F.max_by(F.struct("value"), F.struct(F.col("at").isNotNull(), "at"))))
-        return cls(_segments(points, tuple(by)), tuple(by), breaks, width)
+        return cls(None, tuple(by), breaks, width)
 
     # parts and points
 
@@ -100,25 +106,23 @@ class Lines:
     def overlay(self, other: Lines, f: Callable[[Column, Column], Column]) -> Lines:
         """f(value here, value there) on every stretch of both; NULL results are undefined stretches."""
         one = blocked(self._edges(A).unionByName(other._edges(B), allowMissingColumns=True), self.by, F.col("at"), self.width)
-        # all that happens at one place of one key, as one row
-        at = one.groupBy(KEY, BLOCK, "at").agg(*[x for side in (A, B) for x in (F.max(f"{side}_on").alias(f"{side}_on"), F.max(f"{side}_off").alias(f"{side}_off"), F.max_by(side, f"{side}_rank").alias(side))])
-        kinds = dict(at.dtypes)
-        event = lambda side: F.when(F.col(f"{side}_on"), F.struct(F.col(side).alias("v"))).when(F.col(f"{side}_off"), F.struct(F.lit(None).cast(kinds[side]).alias("v")))
-        at = at.select(KEY, BLOCK, "at", event(A).alias(A), event(B).alias(B))
+        # what happens at one place of one key, as one row: of each side the event that counts
+        at = one.groupBy(KEY, BLOCK, "at").agg(*[F.max_by(side, f"{side}_rank").alias(side) for side in (A, B)])
         order = F.struct(F.col("at").isNotNull(), "at")
         at = carried(at, __a0=("last", F.max_by(A, F.when(F.col(A).isNotNull(), order))), __b0=("last", F.max_by(B, F.when(F.col(B).isNotNull(), order))))
         w = upto(F.col("at").asc_nulls_first())
         now = lambda side, before: F.coalesce(F.last(side, True).over(w), F.col(before))["v"]
-        points = at.withColumns({"value": f(now(A, "__a0"), now(B, "__b0")), "__before": F.when(F.col("__a0").isNotNull() | F.col("__b0").isNotNull(), F.struct(f(F.col("__a0.v"), F.col("__b0.v")).alias("value")))})
-        return self._like(_segments(points.select(KEY, BLOCK, "at", "value", "__before"), self.by))
+        return self._like(_segments(at.select(KEY, BLOCK, "at", now(A, "__a0").alias(A), now(B, "__b0").alias(B)).select(KEY, BLOCK, "at", f(F.col(A), F.col(B)).alias("value")), self.by))
 
     def _edges(self, side: str) -> DataFrame:
-        """A row where each segment begins, and one where each ends; of breakpoints, which need no merging first, one row each."""
+        """Events (at, a struct of the value from there on, rank): where each segment begins, and where each ends; of breakpoints, which
+        need no merging first, one for each."""
         if self.breaks is not None:
-            return self.breaks.select(*self.by, "at", F.lit(True).alias(f"{side}_on"), F.lit(None).cast("boolean").alias(f"{side}_off"), F.col("value").alias(side), F.col("rank").alias(f"{side}_rank"))
-        edge = F.array(F.struct(F.col("start").alias("at"), F.lit(True).alias("on"), F.col("value").alias("v")), F.struct(F.col("end").alias("at"), F.lit(False).alias("on"), F.lit(None).cast(dict(self.df.dtypes)["value"]).alias("v")))
-        rows = self.df.select(*self.by, F.explode(edge).alias("e")).where(F.col("e.on") | F.col("e.at").isNotNull())
-        return rows.select(*self.by, F.col("e.at").alias("at"), F.when(F.col("e.on"), True).alias(f"{side}_on"), F.when(~F.col("e.on"), True).alias(f"{side}_off"), F.col("e.v").alias(side), F.when(F.col("e.on"), 1).otherwise(0).alias(f"{side}_rank"))
+            return self.breaks.select(*self.by, "at", F.struct(F.col("value").alias("v")).alias(side), F.col("rank").alias(f"{side}_rank"))
+        none = F.lit(None).cast(dict(self.df.dtypes)["value"])
+        edge = F.array(*[F.struct(at.alias("at"), F.struct(v.alias("v")).alias("e"), F.lit(rank).alias("rank")) for at, v, rank in ((F.col("start"), F.col("value"), 1), (F.col("end"), none, 0))])
+        rows = self.df.select(*self.by, F.explode(edge).alias("e")).where((F.col("e.rank") == 1) | F.col("e.at").isNotNull())
+        return rows.select(*self.by, F.col("e.at").alias("at"), F.col("e.e").alias(side), F.col("e.rank").alias(f"{side}_rank"))
 
     def zip(self, other: Lines) -> Lines:
         """Pairs where both are defined."""
@@ -233,19 +237,29 @@ class Lines:
 
 
 def _segments(points: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Segments of (key, block, at, value, __before: a struct of the value in force when the block begins, NULL if none is), where each value holds until the
-    next place.  Only places where the value changes are kept; each holds until the next of these."""
+    """Segments of (key, block, at, value), where each value holds until the next place and a place is one row.
+
+    Equal neighbours go within each block; then one row for each block (its first place, the second one kept, its last value) tells whether
+    its first place changes anything, and where the next change behind the block is.
+    """
     order = F.col("at").asc_nulls_first()
-    before = F.coalesce(F.lag(F.struct("value")).over(within(order)), F.col("__before"))
-    changes = points.select(KEY, BLOCK, "at", "value", before.alias("__was")).where(F.col("__was").isNull() | ~F.col("__was.value").eqNullSafe(F.col("value")))
-    changes = carried(changes.select(KEY, BLOCK, "at", "value"), __next=("next", F.min("at")))
-    out = changes.withColumn("end", F.coalesce(F.lead("at").over(within(order)), F.col("__next"))).where("value is not null")
-    return out.select(*[F.col(f"{KEY}.{b}").alias(b) for b in by], F.col("at").alias("start"), "end", "value")
+    local = points.select(KEY, BLOCK, "at", "value", F.lag(F.struct("value")).over(within(order)).alias("__was"))
+    local = local.where(F.col("__was").isNull() | ~F.col("__was.value").eqNullSafe(F.col("value"))).withColumn("end", F.lead("at").over(within(order)))
+    table = local.groupBy(KEY, BLOCK).agg(
+        F.first(F.when(F.col("__was").isNull(), F.struct("at", "value")), True).alias("first"),
+        F.min(F.when(F.col("__was").isNotNull(), F.col("at"))).alias("second"),
+        F.max_by(F.struct("value"), F.struct(F.col("at").isNotNull(), "at")).alias("last"),
+    )
+    before, behind = Window.partitionBy(KEY).orderBy(BLOCK), Window.partitionBy(KEY).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    table = table.withColumn("__was", F.lag("last").over(before))
+    table = table.withColumn("fresh", F.col("__was").isNull() | ~F.col("__was.value").eqNullSafe(F.col("first.value")))
+    table = table.select(KEY, BLOCK, "fresh", F.last(F.when(F.col("fresh"), F.col("first.at")).otherwise(F.col("second")), True).over(behind).alias("next"))
+    out = local.where("value is not null").join(table, [KEY, BLOCK]).where(F.col("__was").isNotNull() | F.col("fresh"))
+    return out.select(*[F.col(f"{KEY}.{b}").alias(b) for b in by], F.col("at").alias("start"), F.coalesce("end", "next").alias("end"), "value")
 
 
 def _merged(df: DataFrame, by: tuple[str, ...], width: float | None) -> DataFrame:
     """Neighbours with equal values become one; undefined stretches go."""
     edge = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("rank"), F.col("value").alias("v")), F.struct(F.col("end").alias("at"), F.lit(0).alias("rank"), F.lit(None).cast(dict(df.dtypes)["value"]).alias("v")))
     edges = df.where("value is not null").select(*by, F.explode(edge).alias("e")).where((F.col("e.rank") == 1) | F.col("e.at").isNotNull()).select(*by, "e.*")
-    points = blocked(edges, by, F.col("at"), width).groupBy(KEY, BLOCK, "at").agg(F.max_by("v", "rank").alias("value"))
-    return _segments(carried(points, __before=("last", F.max_by(F.struct("value"), F.struct(F.col("at").isNotNull(), "at")))), by)
+    return _segments(blocked(edges, by, F.col("at"), width).groupBy(KEY, BLOCK, "at").agg(F.max_by("v", "rank").alias("value")), by)
