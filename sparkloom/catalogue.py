@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import binary, codecs, text, validate
 from .functions.expr import COUNT, HEX, MAX, MIN, SUM, cond, expr, func, null, this, var
 from .operators import dml, groups, move, nested
+from .operators.files import FileTable
 from .operators.segments import Lines
 from .operators.table import SHARD, DataBase, Table
+from .plans.cut import new_folder
 from .plans.prepared import Prepared, template
 from .plans.spec import group
+from .sources import records, sections
+from .sources.records import Choice, Field, Group
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -884,11 +888,168 @@ def validate_failures(s, d):
     return Tables(s, d).frame("events").select("event_id", validate.Checker("object(#.k: number(>50))").failures(F.col("props")).alias("why"))
 
 
-@query("select doc_id, text as back from documents where text not like '% %' or text like '%e%'")
+INDENT = "case doc_id % 3 when 0 then '  ' when 1 then chr(9) else ' ' || chr(9) end"
+
+
+@query(
+    f"""with t as (select doc_id, string_split({INDENT} || replace(text, chr(10), chr(10) || {INDENT}), chr(10)) as ls from documents)
+, i as (select *, list_transform(list_filter(ls, lambda x: regexp_matches(x, '[^ \t]')), lambda x: regexp_extract(x, '^[ \t]*')) as ind from t)
+, c as (select *, coalesce(len(list_filter(range(1, length(list_min(ind)) + 1), lambda k: list_min(ind)[:k] = list_max(ind)[:k])), 0) as n from i)
+select doc_id, array_to_string(list_transform(ls, lambda x: case when regexp_matches(x, '[^ \t]') then substr(x, n + 1) else '' end), chr(10)) as back from c"""
+)
 def dedented(s, d):
-    docs = Tables(s, d).frame("documents").where("text not like '% %' or text like '%e%'")
-    indented = F.concat(F.lit("  "), F.regexp_replace("text", "\n", "\n  "))
-    return docs.select("doc_id", F.when(F.col("text").rlike(r"(?m)^[ \t]|[ \t]$"), F.col("text")).otherwise(text.dedent(indented)).alias("back"))
+    docs = Tables(s, d).frame("documents")
+    indent = F.when(F.col("doc_id") % 3 == 0, "  ").when(F.col("doc_id") % 3 == 1, "\t").otherwise(" \t")
+    return docs.select("doc_id", text.dedent(F.concat(indent, F.replace("text", F.lit("\n"), F.concat(F.lit("\n"), indent)))).alias("back"))
+
+
+# sections of text
+
+
+@query(
+    """with t as (select doc_id, source, lang, replace(text, chr(10), chr(10) || chr(10)) as wide, text, split_part(text, chr(10), 1) as line from documents where text is not null and source is not null and lang is not null)
+select doc_id, 0 as ordinal, source as name, 'value' as type, null as args, null as alias, regexp_replace(wide, '\\n+$', '') as body from t
+union all select doc_id, 1, 'meta', 'object', null, 'm', 'lang: ' || lang || chr(10) || '# note' || chr(10) || 'source: a:' || source from t
+union all select doc_id, 2, 'the tail', 'table', 'sep=(1, 2)', 't', case when contains(text, chr(10)) or text = '' then line else text || chr(10) || '##!# no title .value' end from t
+union all select doc_id, 3, 'no title', 'value', null, null, '' from t where text = '' or right(text, 1) = chr(10)"""
+)
+def doc_sections(s, d):
+    return sections.sections(_sectioned(s, d), "doc_id").withColumn("ordinal", F.col("ordinal").cast("int"))
+
+
+def _sectioned(s, d) -> DataFrame:
+    """Documents as texts of sections: an indented one that ends at two blank lines, one of pairs, one with its options in another order."""
+    wide = F.replace("text", F.lit("\n"), F.lit("\n\n  "))
+    parts = ["left out\n\n  ##!# ", F.col("source"), " .value ends E2\n  ", wide, "\n\n\n##!# meta .object as m\nlang: ", F.col("lang"), "\n# note\nsource: a:", F.col("source"), "\n\n\t##!# the tail .table(sep=(1, 2)) as t ends E1\n\t", F.replace("text", F.lit("\n"), F.lit("\n\n\t")), "\n ##!# no title .value\n"]
+    return Tables(s, d).frame("documents").select("doc_id", F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text"))
+
+
+@query("select doc_id, unnest(['lang', 'source']) as key, unnest([lang, 'a:' || source]) as value from documents where text is not null and source is not null and lang is not null")
+def doc_objects(s, d):
+    rows = sections.object_pairs(sections.sections(_sectioned(s, d), "doc_id").where("type = 'object'"))
+    return rows.select("doc_id", F.explode("pairs").alias("key", "value"))
+
+
+@query("select doc_id::varchar as name, length(regexp_replace(text, '\\s+$', '')) as chars, md5(regexp_replace(text, '\\s+$', '')) as digest from documents where text is not null and not regexp_matches(text, '\\n[ \\t]*\\n|^[ \\t]*\\n|\\r')")
+def file_sections(s, d):
+    """Documents written as text files and read as sections, in as many ranges as Spark cuts them into."""
+    docs = Tables(s, d).frame("documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"\n[ \t]*\n|^[ \t]*\n|\r"))
+    path = new_folder(s, "sectioned")
+    docs.select(F.concat(F.lit("\n##!# "), F.col("doc_id").cast("string"), F.lit(" .value\n"), F.col("text"), F.lit("\n"))).write.text(path)
+    body = F.regexp_replace("body", r"\s+$", "")
+    return sections.read_sections(s, path).select("name", F.length(body).cast("long").alias("chars"), F.md5(body).alias("digest"))
+
+
+# changes of rows and files
+
+
+@query("select o_orderkey, o_custkey % 5 as shard, case when o_orderstatus = 'F' then 0 else o_totalprice end as price from orders where o_orderstatus <> 'P' union all select o_orderkey + 1000000000, 1, 5 from orders where o_orderstatus = 'P'")
+def null_shards(s, d):
+    """Rows whose shard is NULL or unknown are changed and kept like others."""
+    orders = Tables(s, d).frame("orders").select("o_orderkey", F.pmod("o_custkey", F.lit(5)).alias("shard"), "o_orderstatus", F.col("o_totalprice").alias("price"))
+    t = Table.by_column(orders, F.when(F.col("shard") < 4, F.col("shard")), ["0", "1", "3"], key=["o_orderkey"])
+    t, _ = t.update({"price": 0}, {"o_orderstatus": "F"})
+    new = orders.where("o_orderstatus = 'P'").select((F.col("o_orderkey") + 1_000_000_000).alias("o_orderkey"), F.lit(1).alias("shard"), F.lit("N").alias("o_orderstatus"), F.lit(5).alias("price"))
+    t = t.insert(new, F.col("shard").cast("string"))
+    t, _ = t.delete({"o_orderstatus": "P"})
+    return t["o_orderkey", "shard", "price", ::]
+
+
+@query("select c_custkey, case when n <= 40 then 0 else c_acctbal end as c_acctbal from (select *, case when c_mktsegment = 'BUILDING' then row_number() over (partition by c_mktsegment order by c_nationkey, c_custkey) else 1000000 end as n from customer)")
+def update_limit_equal_keys(s, d):
+    """A limit with a key that many rows share changes so many rows."""
+    return Table(Tables(s, d).frame("customer"), ["c_nationkey"]).update({"c_acctbal": 0}, {"c_mktsegment": "BUILDING"}, limit=40)[0]["c_custkey", "c_acctbal", ::]
+
+
+@query("select c_custkey, c_name, c_nationkey, case when c_nationkey = 7 then c_acctbal * 2 else c_acctbal end as c_acctbal, c_mktsegment from customer where case when c_nationkey = 7 then c_acctbal * 2 else c_acctbal end >= 0")
+def file_changes(s, d):
+    """An update and a delete of a table of files; each writes the files it concerns only."""
+    t = FileTable.create(s, new_folder(s, "customers"), Tables(s, d).frame("customer"), ["c_custkey"])
+    t.update({"c_acctbal": this("c_acctbal") * 2}, {"c_nationkey": 7})
+    t.delete(this("c_acctbal") < 0)
+    return t.read()
+
+
+@query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer where c_mktsegment <> 'BUILDING' union all select c_custkey, c_name, c_nationkey, c_acctbal + 1, c_mktsegment from customer where c_mktsegment = 'BUILDING' union all select -c_custkey, upper(c_name), c_nationkey, c_acctbal, c_mktsegment from customer where c_mktsegment = 'BUILDING'")
+def file_upsert(s, d):
+    c = Tables(s, d).frame("customer")
+    t = FileTable.create(s, new_folder(s, "customers"), c, ["c_custkey"])
+    some = c.where("c_mktsegment = 'BUILDING'")
+    t.extend(some.withColumns({"c_custkey": -F.col("c_custkey"), "c_name": F.upper("c_name")}).unionByName(some))
+    t.upsert(some, {"c_acctbal": this("c_acctbal") + 1})
+    return t.read()
+
+
+@query("select * from customer")
+def copied_ranges(s, d):
+    """A copy stopped after three ranges and taken up again."""
+    c, copy = Tables(s, d).frame("customer"), move.Copy(s, new_folder(s, "copy"))
+    copy.run(c, "c_custkey", 8, most=3)
+    copy.run(c, "c_custkey", 8)
+    return copy.rows()
+
+
+# nested data, bytes and numbers
+
+
+def _deep(s, d) -> DataFrame:
+    user = F.concat(F.lit('{"id": '), F.col("user_id"), F.lit(', "seen": ["x", {"v": '), F.floor("value"), F.lit("}]}"))
+    deep = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "at": {"type": "'), F.col("event_type"), F.lit('", "user": '), user, F.lit("}}"))
+    return Tables(s, d).frame("events").select("event_id", deep.alias("j"))
+
+
+@query("select event_id, unnest(['k', 'at.type', 'at.user.id', 'at.user.seen', 'at.user.seen.v']) as column_path, unnest(['', '', '', '0', '1']) as row_path, unnest([props->>'k', upper(event_type), (user_id + 1)::varchar, 'X', (floor(value)::bigint + 1)::varchar]) as value from events")
+def json_cells(s, d):
+    more = lambda c: (c.cast("bigint") + 1).cast("string")
+    rows = nested.cells(_deep(s, d), ["event_id"], "j", 5, {("k",): lambda c: (c.cast("bigint") - 1).cast("string")}, {"BIGINT": more, "STRING": F.upper})
+    return rows.select("event_id", F.array_join("column_path", ".").alias("column_path"), F.array_join(F.transform("row_path", lambda x: x.cast("string")), ",").alias("row_path"), "value")
+
+
+@query("select unnest(['k', 'at', 'at.type', 'at.user', 'at.user.id', 'at.user.seen', 'at.user.seen.v']) as path, unnest([0, 0, 1, 1, 2, 2, 3]) as level, count(*) as n, unnest(['BIGINT', 'OBJECT', 'STRING', 'OBJECT', 'BIGINT', 'ARRAY', 'BIGINT']) as kinds from events")
+def json_tree(s, d):
+    return nested.column_tree_of(_deep(s, d), "j", 3).select(F.array_join("path", ".").alias("path"), "level", "n", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query("select p_brand, (sum(list_reduce(list_transform(range(1, strlen(p_name || p_type) + 1), lambda i: ascii((p_name || p_type)[i]) * (1 << (8 * (3 - (i - 1) % 4)))::bigint), lambda a, b: (a + b) % 4294967296)) % 4294967296)::bigint as sum from part group by 1")
+def checksum_chunks(s, d):
+    """Names and types cut at several places; the parts' sums are put together by part, and parts by brand."""
+    whole = F.concat("p_name", "p_type")
+    at = F.array(F.lit(0), F.length("p_name") % 5, F.length("p_name"))
+    chunks = F.transform(at, lambda x, i: F.struct(x.alias("at"), F.substr(whole, x + 1, F.coalesce(F.get(at, i + 1), F.length(whole)) - x).alias("b")))
+    parts = Tables(s, d).frame("part").select("p_brand", "p_partkey", F.explode(chunks).alias("c"))
+    sums = parts.groupBy("p_brand", "p_partkey").agg(binary.checksum_total(binary.checksum_part(F.col("c.b").cast("binary"), F.col("c.at"))).alias("sum"))
+    return sums.groupBy("p_brand").agg(binary.checksum_total(F.col("sum")).alias("sum"))
+
+
+@query("select l_orderkey, l_linenumber, l_returnflag || l_linestatus as flags, l_quantity::bigint as quantity, case when l_returnflag = 'R' then l_partkey end as part, ((l_orderkey % 256)::bigint + count(*) over (partition by l_orderkey)) as trailer from lineitem")
+def binary_groups(s, d):
+    """Orders packed as bytes, a count and records of several lengths, and unpacked by a layout."""
+    byte = lambda c, n=1: binary.pack_be(c, n)
+    flags = F.repeat(F.concat("l_returnflag", "l_linestatus"), F.col("l_linenumber") % 3 + 1)
+    part = F.when(F.col("l_returnflag") == "R", F.concat(byte(F.lit(1)), byte(F.col("l_partkey"), 5))).otherwise(byte(F.lit(0)))
+    line = F.concat(byte(F.length(flags) + 1), flags.cast("binary"), byte(F.col("l_linenumber")), byte(F.col("l_quantity").cast("bigint"), 2), part)
+    packed = Tables(s, d).frame("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("b")))).alias("x"))
+    bytes_ = F.aggregate("x", byte(F.size("x")), lambda a, x: F.concat(a, x["b"]))
+    packed = packed.select("l_orderkey", F.concat(bytes_, byte(F.pmod("l_orderkey", F.lit(256)))).alias("b"))
+    line = [Field("size", "uint_b", 1), Field("flags", "char", "size", less=1), Field("number", "uint_b", 1), Field("quantity", "uint_b", 2), Field("tag", "uint_b", 1), Choice("more", "tag", {1: [Field("part", "uint_b", 5)]})]
+    layout = [Field("n", "uint_b", 1), Group("lines", "line", repeat="n"), Field("last", "uint_b", lambda seen: records.nz(seen["n"], F.lit(1)))]
+    got = packed.select("l_orderkey", records.decode(F.col("b"), layout, {"line": line}).alias("r"))
+    rows = got.select("l_orderkey", (F.col("r.last") + F.col("r.n")).alias("trailer"), F.explode("r.lines").alias("l"))
+    return rows.select("l_orderkey", F.col("l.number").cast("int").alias("l_linenumber"), F.left("l.flags", F.lit(2)).alias("flags"), "l.quantity", F.col("l.more.b1.part").alias("part"), "trailer")
+
+
+@query("select l_orderkey, l_linenumber, sum(l_partkey - l_suppkey) over (partition by l_orderkey order by l_linenumber, l_partkey - l_suppkey rows unbounded preceding)::bigint as total from lineitem")
+def delta_sums(s, d):
+    lines = Tables(s, d).frame("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", (F.col("l_partkey") - F.col("l_suppkey")).alias("x")))).alias("a"))
+    sums = lines.select("l_orderkey", "a", binary.delta_decode(F.transform("a", lambda v: v["x"])).alias("s"))
+    return sums.select("l_orderkey", F.explode(F.arrays_zip("a", "s")).alias("z")).select("l_orderkey", "z.a.l_linenumber", F.col("z.s").alias("total"))
+
+
+@query("select c_custkey, case c_custkey % 2 when 0 then '''' else '`' end as quote, split_part(c_name, '#', 1) as word, split_part(c_name, '#', 2) || c_mktsegment as rest from customer")
+def quoted_words(s, d):
+    mark = F.when(F.col("c_custkey") % 2 == 0, "'").otherwise("`")
+    name = F.concat(mark, F.replace("c_name", F.lit("#"), mark), "c_mktsegment")
+    return Tables(s, d).frame("customer").select("c_custkey", text.split_word(name).alias("w")).select("c_custkey", "w.quote", "w.word", "w.rest")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 
@@ -48,10 +49,21 @@ def bits(b: Column) -> Column:
     return F.flatten(F.transform(byte_array(b), lambda x: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.call_function("shiftright", x, i).bitwiseAND(F.lit(1)).cast("int"))))
 
 
+def checksum_part(b: Column, offset: Column) -> Column:
+    """What bytes that stand at an offset add to the checksum of the whole: parts of a file can be summed apart, in any order and cut
+    anywhere, and :func:`checksum_total` of the parts is the file's checksum."""
+    scaled = F.transform(byte_array(b), lambda x, i: x * F.call_function("shiftleft", F.lit(1).cast("bigint"), (8 * (3 - (F.pmod(offset, F.lit(4)) + i) % 4)).cast("int")))
+    return F.aggregate(scaled, F.lit(0).cast("bigint"), lambda a, x: (a + x) % F.lit(2**32))
+
+
+def checksum_total(parts: Column) -> Column:
+    """An aggregate: the checksum of parts, or the checksum of checksums."""
+    return F.coalesce(F.sum(parts), F.lit(0)) % F.lit(2**32)
+
+
 def checksum32(b: Column) -> Column:
     """Sum of big-endian 32-bit words modulo 2**32; the last word is filled up with zeros."""
-    scaled = F.transform(byte_array(b), lambda x, i: x * F.call_function("shiftleft", F.lit(1).cast("bigint"), (8 * (3 - i % 4)).cast("int")))
-    return F.aggregate(scaled, F.lit(0).cast("bigint"), lambda a, x: (a + x) % F.lit(2**32))
+    return checksum_part(b, F.lit(0))
 
 
 def round_up(n: Column, multiple: int) -> Column:
@@ -72,17 +84,18 @@ def antiderivative(coefficients: Column) -> Column:
 
 def delta_decode(values: Column) -> Column:
     """Running sums of an array of whole numbers; from a NULL on the sums are NULL.  Built-in functions would copy the sums so far
-    for every element, so this is one pass in an Arrow-batched function."""
-
-    @F.pandas_udf("array<bigint>")
-    def run(s: pd.Series) -> pd.Series:
-        def sums(x):
-            if x is None:
-                return None
-            gone = next((k for k, v in enumerate(x) if v is None or v != v), len(x))
-            return [*np.cumsum(np.asarray(x[:gone], np.int64)).tolist(), *[None] * (len(x) - gone)]
-
-        return s.map(sums)
+    for every element, so this is one pass over the flat values of each Arrow batch."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(a: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        edge = np.concatenate([[0], np.cumsum(n)])
+        flat = a.flatten()
+        gone = np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))
+        sums = np.concatenate([[0], np.cumsum(pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        before = np.concatenate([[0], gone])[edge[:-1]]
+        out = pa.array(sums[1:] - np.repeat(sums[edge[:-1]], n), pa.int64(), mask=gone > np.repeat(before, n))
+        return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), out, mask=a.is_null())
 
     return run(values)
 

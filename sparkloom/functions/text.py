@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Fixed ranges of characters that take two columns (East Asian Wide and Fullwidth).
@@ -114,14 +113,50 @@ def wrap_text(text: str | None, width: int) -> list[str] | None:
     return lines
 
 
-def wrap(c: Column, width: int) -> Column:
-    """A text's lines; a small state machine over characters, so an Arrow-batched function."""
+#: The characters that count as white space.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _units(c: Column) -> Column:
+    """Stretches of a text that no line ends within: a space; a wide character with the opening words before it and the closing
+    marks behind it; a run of other characters."""
+    in_class = lambda marks: "".join(f"\\x{{{ord(m):x}}}" for m in marks)
+    space, opening, closing = in_class(BLANKS), in_class(OPENING), in_class(CLOSING)
+    wide = f"[^\\x{{0}}-\\x{{ff}}{space}{opening}{closing}]"
+    other = f"[\\x{{0}}-\\x{{ff}}{opening}{closing}&&[^{space}]]"
+    return F.regexp_extract_all(c, F.lit(f"(?:{other}*[{opening}])?{wide}[{closing}]*|{other}+|[{space}]"), F.lit(0))
+
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: wrap_text(x, width))
+def _pieces(unit: Column, width: int) -> Column:
+    """A unit too wide for a line, cut as far to the right as fits each time."""
+    most = max(width, 2)
+    begin = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("piece"), F.lit(0).alias("used"))
 
-    return run(c)
+    def add(a: Column, ch: Column) -> Column:
+        w = coarse_width(ch)
+        full = (a["used"] + w > most) & (a["piece"] != "")
+        return F.struct(F.when(full, F.concat(a["done"], F.array(a["piece"]))).otherwise(a["done"]).alias("done"), F.when(full, ch).otherwise(F.concat(a["piece"], ch)).alias("piece"), F.when(full, w).otherwise(a["used"] + w).alias("used"))
+
+    return F.aggregate(F.filter(F.split(unit, ""), lambda x: x != ""), begin, add, lambda a: F.concat(a["done"], F.array(a["piece"])))
+
+
+def wrap(c: Column, width: int) -> Column:
+    """A text's lines, as :func:`wrap_text` gives them, in built-in functions: units by one pattern, lines by a fold over units."""
+    step = lambda t, forced: F.struct(t.alias("t"), coarse_width(t).alias("w"), forced.alias("forced"))
+    units = F.transform(_units(c), lambda u: F.when(u.rlike(r"^\s$") | (F.ltrim(F.translate(u, BLANKS, " " * len(BLANKS))) == ""), F.lit(" ")).otherwise(u))
+    units = F.flatten(F.transform(units, lambda u: F.when(coarse_width(u) <= width, F.array(step(u, F.lit(False)))).otherwise(F.transform(_pieces(u, width), lambda p, i: step(p, i == 0)))))
+    begin = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"), F.lit(0).alias("used"))
+
+    def fill_line(a: Column, u: Column) -> Column:
+        over = ((a["used"] + u["w"] > width) | u["forced"]) & (a["line"] != "")
+        gone = (u["t"] == " ") & (over | (a["line"] == ""))
+        lines = F.when(over, F.concat(a["lines"], F.array(F.rtrim(a["line"])))).otherwise(a["lines"])
+        line = F.when(gone, F.lit("")).when(over, u["t"]).otherwise(F.concat(a["line"], u["t"]))
+        used = F.when(gone, F.lit(0)).when(over, u["w"]).otherwise(a["used"] + u["w"])
+        return F.struct(lines.alias("lines"), line.alias("line"), used.alias("used"))
+
+    end = lambda a: F.when(F.rtrim(a["line"]) != "", F.concat(a["lines"], F.array(F.rtrim(a["line"])))).otherwise(a["lines"])
+    return F.when(c.isNotNull(), F.aggregate(units, begin, fill_line, end))
 
 
 def fill(c: Column, width: int) -> Column:

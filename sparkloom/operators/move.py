@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 
 def align(source: DataFrame, target: DataFrame, convert: dict[str, str] | None = None, source_columns: tuple[str, ...] = (), target_columns: tuple[str, ...] = ()) -> DataFrame:
@@ -44,3 +44,51 @@ def append(rows: DataFrame, path: str, format: str = "parquet", **options) -> di
     seen = Observation("moved")
     rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(format).options(**options).mode("append").save(path)
     return seen.get
+
+
+class Copy:
+    """A copy into ``<path>/rows`` that can be stopped and taken up again, in ranges of a key column.
+
+    The ranges' bounds are written first.  Each range is a folder of its own, written whole or again, and then a line of the progress table
+    (range, rows), so a copy that is started anew does what is left, and :meth:`progress` can be read while one runs.  The source should stay
+    the same between the runs.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _there(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def progress(self) -> DataFrame:
+        """range, rows of the ranges that are done."""
+        if not self._there("progress"):
+            return self.spark.createDataFrame([], "range int, rows bigint")
+        return self.spark.read.schema("range int, rows bigint").parquet(f"{self.path}/progress").groupBy("range").agg(F.max("rows").alias("rows"))
+
+    def rows(self) -> DataFrame:
+        """The rows of the ranges that are done."""
+        done = [r.range for r in self.progress().select("range").collect()]  # one for each range
+        return self.spark.read.parquet(*[f"{self.path}/rows/{k:06d}" for k in sorted(done)]) if done else self.spark.createDataFrame([], "value string").limit(0)
+
+    def run(self, source: DataFrame, key: str, ranges: int = 16, most: int | None = None) -> int:
+        """Copy the ranges that are left, at most ``most`` of them now; how many ranges there are.  Rows with a NULL key are in the first range."""
+        if not self._there("bounds/_SUCCESS"):
+            cuts = source.where(F.col(key).isNotNull()).agg(F.percentile_approx(key, [k / ranges for k in range(1, ranges)], 10_000).alias("c")).select(F.explode(F.array_distinct("c")).alias("cut"))
+            cuts.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/bounds")
+        cuts = sorted(r.cut for r in self.spark.read.parquet(f"{self.path}/bounds").collect())  # one for each range
+        done = {r.range for r in self.progress().select("range").collect()}
+        left = [k for k in range(len(cuts) + 1) if k not in done]
+        for k in left[:most]:
+            part = F.lit(True)
+            if k > 0:
+                part = part & (F.col(key) > F.lit(cuts[k - 1]))
+            if k < len(cuts):
+                part = part & (F.col(key) <= F.lit(cuts[k]))
+            if k == 0:
+                part = F.col(key).isNull() | part
+            seen = Observation()
+            source.where(part).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{self.path}/rows/{k:06d}")
+            self.spark.createDataFrame([(k, seen.get["rows"])], "range int, rows bigint").coalesce(1).write.mode("append").parquet(f"{self.path}/progress")
+        return len(cuts) + 1
