@@ -5,8 +5,9 @@ target exceeds ``most_repeats`` times its source's size; what is cut off is shar
 That ends in min(level * weight, cap) with one level for all, found in one pass over the sources in the order of cap/weight.
 
 *Documents.*  Within a source, documents are in the order of a hash of their id.  A source is gone through whole as often
-as its target allows; the rest is filled with whole documents from the front of the order, and last the one document whose
-size comes closest to what is still missing.
+as its target allows; the rest is filled with whole documents from the front of the order up to the first that is too large, then
+``ROUNDS`` times from those of the others that are no larger than what is missing, in the same way, so a large document is stepped over;
+and last with the one document whose size comes closest to what is still missing.
 
 *Curriculum.*  A source's weight at time t (0 to 1) is its target times ``1 + slope * (2t - 1)``, so its integral over the
 run is the target.  The words that the source has given by time t are the integral up to t; a document whose words begin
@@ -23,12 +24,16 @@ through, whatever their names (the operator's own columns take a free name); an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .shared import Scratch, free_names, word_count, written
 
 #: Slopes of the schedules by weight class: the first source's weight falls over the run, the third's rises.
 SLOPES = (-0.8, 0.0, 0.8)
+#: How often documents that don't fit are stepped over.
+ROUNDS = 3
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, slopes: tuple[float, ...] = SLOPES) -> DataFrame:
@@ -71,6 +76,27 @@ def position(c, target, slope):
     return F.when(F.abs(slope) < 1e-9, u).otherwise(curved + F.lit(0.0))  # no minus zero
 
 
+def _missing(r: int) -> str:
+    return "rest" if r == 0 else f"missing{r}"
+
+
+def _with_source(rows: DataFrame, t: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of their source's row in t."""
+    t = t.withColumnRenamed("source", "__s")
+    return rows.join(t, F.col("source").eqNullSafe(F.col("__s")), how).drop("__s")
+
+
+def taken_in(r: int, mark: str = ""):
+    """Whether a row is one of round r: no larger than what is missing, and no further in the order than the round goes.  Of documents with words, the words before
+    them tell the order."""
+    return F.coalesce((F.col("__size") > 0) & (F.col("__size") <= F.col(f"{mark}{_missing(r)}")) & (F.col("__before") <= F.col(f"{mark}last{r}")), F.lit(False))
+
+
+def _may_go_on(r: int):
+    """Whether a row wasn't taken in the rounds before r."""
+    return reduce(lambda a, b: a & b, [~taken_in(k) for k in range(r)], F.col("__size") > 0)
+
+
 def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: int = 3, slopes: tuple[float, ...] = SLOPES, per_bucket: int = 50_000) -> tuple[DataFrame, DataFrame, int]:
     """Per source: targets, whole passes and the rest to fill, with the filling document; bucket sums; digits of a bucket."""
     narrow = docs.select("doc_id", "source", "text")
@@ -86,17 +112,25 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: in
     targets = source_targets(sizes, weights, most_repeats, slopes)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = scratch.written(targets.withColumn("passes", whole).withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("passes") * F.col("source_size")), "targets")
-    placed = with_starts(narrow, sums)
-    t = targets.select(F.col("source").alias("__s"), F.col("rest").alias("__rest"))
-    placed = placed.join(t, placed["source"].eqNullSafe(t["__s"])).drop("__s")
-    front = F.col("__before") + F.col("__size") <= F.col("__rest")
-    # what the front leaves missing, and the document after it that fills this best
-    missing = placed.groupBy("source").agg((F.first("__rest") - F.coalesce(F.sum(F.when(front, F.col("__size"))), F.lit(0))).alias("missing"))
-    missing = scratch.written(missing, "missing").select(F.col("source").alias("__s"), "missing")
-    after = placed.where(~front).join(missing, placed["source"].eqNullSafe(missing["__s"]))
-    better = after.where(F.abs(F.col("missing") - F.col("__size")) < F.col("missing"))
-    fill = better.groupBy("source").agg(F.min(F.struct(F.abs(F.col("missing") - F.col("__size")).alias("gap"), "__key", F.col("doc_id"), "__size", "__tie", "__before")).alias("fill"))
+    placed = scratch.written(with_starts(narrow, sums), "placed")
+    t = targets.select("source", "rest")
+    for r in range(ROUNDS + 1):
+        # what is missing, and how far in the order this round's documents go
+        left = _with_source(placed, t).where(_may_go_on(r)).where(F.col("__size") <= F.col(_missing(r)))
+        over = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        bases = left.groupBy("source", "__bucket").agg(F.sum("__size").alias("__sum")).select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__sum").over(over), F.lit(0)).alias("__base"))
+        left = left.join(bases, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b"))).drop("__s", "__b")
+        upto = F.col("__base") + F.sum("__size").over(Window.partitionBy("source", "__bucket").orderBy("__before"))
+        fits = left.where("__size > 0").withColumn("__upto", upto).where(F.col("__upto") <= F.col(_missing(r)))
+        got = fits.groupBy("source").agg(F.sum("__size").alias("__got"), F.max("__before").alias(f"last{r}"))
+        t = _with_source(t, got, "left").withColumn(_missing(r + 1), F.col(_missing(r)) - F.coalesce("__got", F.lit(0))).drop("__got")
+        t = scratch.written(t, "round")
+    # the document that fills best what is left
+    last = _missing(ROUNDS + 1)
+    better = _with_source(placed, t).where(_may_go_on(ROUNDS + 1) & (F.abs(F.col(last) - F.col("__size")) < F.col(last)))
+    fill = better.groupBy("source").agg(F.min(F.struct(F.abs(F.col(last) - F.col("__size")).alias("gap"), "__key", F.col("doc_id"), "__size", "__tie", "__before")).alias("fill"))
     fill = fill.select(F.col("source").alias("__s"), F.col("fill.__before").alias("fill_before"), F.col("fill.__key").alias("fill_key"), F.col("fill.__tie").alias("fill_tie"), F.col("fill.__size").alias("fill_size"))
+    targets = _with_source(targets.drop("rest"), t)
     out = targets.join(fill, targets["source"].eqNullSafe(fill["__s"]), "left").drop("__s")
     out = written(out, "plan")
     scratch.drop()
@@ -114,9 +148,9 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_repeats: i
     sources, sums, digits = plan(docs, weights, most_repeats, slopes, per_bucket)
     kept = {c: c if c in NEEDED else f"x{k}" for k, c in enumerate(docs.columns)}  # so that no name is like ours
     rows = with_starts(keyed(docs.toDF(*kept.values()), digits), sums)
-    s = sources.select(F.col("source").alias("__s"), *[F.col(c).alias(f"__{c}") for c in ("source_size", "slope", "target", "passes", "rest", "fill_before", "fill_key", "fill_tie", "fill_size")])
+    s = sources.select(F.col("source").alias("__s"), *[F.col(c).alias(f"__{c}") for c in ("source_size", "slope", "target", "passes", *map(_missing, range(ROUNDS + 1)), *[f"last{r}" for r in range(ROUNDS + 1)], "fill_before", "fill_key", "fill_tie", "fill_size")])
     rows = rows.join(s, rows["source"].eqNullSafe(s["__s"])).drop("__s")
-    front = (F.col("__size") > 0) & (F.col("__before") + F.col("__size") <= F.col("__rest"))
+    front = reduce(lambda a, b: a | b, [taken_in(r, "__") for r in range(ROUNDS + 1)])
     fills = F.coalesce((F.col("__before") == F.col("__fill_before")) & (F.col("__key") == F.col("__fill_key")) & (F.col("__size") == F.col("__fill_size")) & (F.col("__tie") == F.col("__fill_tie")), F.lit(False))
     copies = F.when(F.col("__size") > 0, F.col("__passes") + (front | fills).cast("long")).otherwise(F.lit(0))
     rows = rows.withColumn("__copies", copies.cast("long")).withColumn("__position", F.when(F.col("__copies") > 0, position(F.col("__before"), F.col("__target"), F.col("__slope"))))

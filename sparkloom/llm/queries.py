@@ -61,6 +61,14 @@ with t as (select doc_id, coalesce(text, '') as text from documents)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {VERDICT} as kept from b
 """
 
+#: Documents are taken from the front while they fit what is missing, and again from those left that are no larger than what is then missing.
+ROUNDS = "\n, z00 as (select *, false as in00, rest as m0 from x)" + "".join(
+    f"""
+, y{r} as (select *, size > 0 and not {"in00" if r == 0 else f"in{r - 1}"} and size <= m{r} as may{r} from {"z00" if r == 0 else f"z{r - 1}"})
+, s{r} as (select *, may{r} and sum(size) over (partition by source, may{r} order by before rows unbounded preceding) <= m{r} as new{r} from y{r})
+, z{r} as (select *, {"in00" if r == 0 else f"in{r - 1}"} or new{r} as in{r}, m{r} - coalesce(sum(case when new{r} then size end) over (partition by source), 0) as m{r + 1} from s{r})"""
+    for r in range(mixing.ROUNDS + 1)
+)
 OP7_SQL = rf"""
 with d as (select doc_id, source, coalesce(len({WORDS.format('text')}), 0)::bigint as size, coalesce(md5(doc_id::varchar), md5(coalesce(text, ''))) as k, md5(coalesce(text, '')) as tie from documents)
 , s as (select source, sum(size)::bigint as source_size from d group by 1)
@@ -72,10 +80,10 @@ with d as (select doc_id, source, coalesce(len({WORDS.format('text')}), 0)::bigi
 , p as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as passes from t)
 , q as (select *, floor(target)::bigint - passes * source_size as rest from p)
 , x as (select d.*, q.source_size, q.target, q.slope, q.passes, q.rest, (coalesce(sum(d.size) over (partition by d.source order by k, d.doc_id nulls first, size, tie rows between unbounded preceding and 1 preceding), 0))::bigint as before from d join q on d.source is not distinct from q.source)
-, y as (select *, before + size <= rest as front from x)
-, z as (select *, rest - coalesce(sum(case when front then size end) over (partition by source), 0) as missing from y)
-, f as (select *, row_number() over (partition by source, not front and abs(missing - size) < missing order by abs(missing - size), k, doc_id, size, tie, before) as nth from z)
-, a as (select *, case when size = 0 then 0 else passes + case when front or (abs(missing - size) < missing and nth = 1) then 1 else 0 end end as copies from f)
+{ROUNDS}
+, z as (select *, m{mixing.ROUNDS + 1} as missing, in{mixing.ROUNDS} as front from z{mixing.ROUNDS})
+, f as (select *, row_number() over (partition by source, size > 0 and not front and abs(missing - size) < missing order by abs(missing - size), k, doc_id, size, tie, before) as nth from z)
+, a as (select *, case when size = 0 then 0 else passes + case when front or (not front and abs(missing - size) < missing and nth = 1) then 1 else 0 end end as copies from f)
 select doc_id, size, source_size, target, (copies * size)::bigint as taken,
        case when copies > 0 then case when slope = 0 then least(1.0, before / target) else (-(1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * least(1.0, before / target))) / (2 * slope) + 0.0 end end as position
 from a

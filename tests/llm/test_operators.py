@@ -528,6 +528,20 @@ def test_mixing(spark):
     assert taken.columns == [*clash.columns, "__position_"] and {r["__pass"] for r in taken.collect()} == {"__pass"}
 
 
+def test_mixing_steps_over_large_documents(spark):
+    """A source of small documents and a few very large ones comes as near its target as its small documents allow."""
+    rng = random.Random(31)
+    for seed in range(3):
+        texts = [prose(rng, 10) for _ in range(397)] + [prose(rng, 5000)] * 2
+        rng.shuffle(texts)
+        others = [prose(rng, 7) for _ in range(200 + 37 * seed)]
+        docs = frame(spark, texts + others, [k * 7919 % 100_003 + seed for k in range(len(texts + others))], ["big"] * len(texts) + ["small"] * len(others))
+        got = mixing.mixed(docs, per_bucket=40).collect()
+        for s in ("big", "small"):
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r["__copies"] * r["__size"] for r in mine) - mine[0]["__target"]) <= 6 and all(0 <= r["__copies"] <= 3 for r in mine)
+
+
 def test_mixing_query_is_range_sorted(spark):
     rng = random.Random(24)
     docs = frame(spark, [prose(rng, rng.randrange(40)) for _ in range(300)], sources=[rng.choice("abc") for _ in range(300)])
