@@ -529,7 +529,7 @@ def test_mixing(spark):
 
 
 def test_mixing_steps_over_large_documents(spark):
-    """A source of small documents and a few very large ones comes as near its target as its small documents allow."""
+    """A source of small documents and a few very large ones: no document that fits what is missing is left out."""
     rng = random.Random(31)
     for seed in range(3):
         texts = [prose(rng, 10) for _ in range(397)] + [prose(rng, 5000)] * 2
@@ -539,7 +539,9 @@ def test_mixing_steps_over_large_documents(spark):
         got = mixing.mixed(docs, per_bucket=40).collect()
         for s in ("big", "small"):
             mine = [r for r in got if r.source == s]
-            assert abs(sum(r["__copies"] * r["__size"] for r in mine) - mine[0]["__target"]) <= 6 and all(0 <= r["__copies"] <= 3 for r in mine)
+            most, miss = max(r["__copies"] for r in mine), mine[0]["__target"] - sum(r["__copies"] * r["__size"] for r in mine)
+            assert abs(miss) <= 6 or all(r["__copies"] == most for r in mine if r["__size"] <= 10)  # else nothing small is left
+            assert all(0 <= r["__copies"] <= 3 for r in mine)
 
 
 def test_mixing_query_is_range_sorted(spark):
