@@ -16,7 +16,7 @@ from .operators.table import SHARD, DataBase, Table
 from .plans.cut import new_folder
 from .plans.prepared import Prepared, template
 from .plans.spec import group
-from .sources import records, sections
+from .sources import images, records, sections
 from .sources.records import Choice, Field, Group
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1052,6 +1052,66 @@ def quoted_words(s, d):
     return Tables(s, d).frame("customer").select("c_custkey", text.split_word(name).alias("w")).select("c_custkey", "w.quote", "w.word", "w.rest")
 
 
+# rows for what only tests covered before
+
+
+@query(EVENTS + SEGMENTS.format(n=1, v=V, d="true") + ", p as (select user_id, min(ts) + to_hours(5) as p from events group by 1) select p.user_id, max(s.value) as value, case when count(s.value) > 0 then (select count(*) from s1 x where x.user_id = p.user_id and x.start <= p.p) - 1 end as segment from p left join s1 s on s.user_id = p.user_id and s.start <= p.p and (s.\"end\" is null or p.p < s.\"end\") group by p.user_id, p.p")
+def line_segment_at(s, d):
+    points = Tables(s, d).frame("events").groupBy("user_id").agg((F.min("ts") + F.expr("interval 5 hours")).alias("p"))
+    return _lines(s, d).at(points, "p").select("user_id", "value", F.col("segment").cast("long").alias("segment"))
+
+
+@query("select l_returnflag, bit_or(l_linenumber) as bits, bit_xor(l_partkey) as mixed, bit_and(l_suppkey) as common from lineitem group by 1")
+def agg_bits(s, d):
+    return Tables(s, d).lineitem["l_returnflag", func("bit_or")(this("l_linenumber")).rename("bits"), func("bit_xor")(this("l_partkey")).rename("mixed"), func("bit_and")(this("l_suppkey")).rename("common"), :: group("l_returnflag")]
+
+
+@query("select p_partkey, unnest(list_concat(list_transform(range(p_size), lambda x: p_brand), list_transform(range(p_size % 3), lambda x: p_type))) as value from part")
+def run_lengths(s, d):
+    pairs = F.array(F.struct(F.col("p_brand").alias("value"), F.col("p_size").alias("count")), F.struct(F.col("p_type").alias("value"), (F.col("p_size") % 3).alias("count")))
+    return Tables(s, d).frame("part").select("p_partkey", F.explode(binary.run_length_decode(pairs)).alias("value"))
+
+
+@query("select c_custkey, c_acctbal as c1, c_nationkey / 2.0 as c2, 7 / 3.0 as c3 from customer")
+def antiderivatives(s, d):
+    c = binary.antiderivative(F.array(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), F.lit(7.0)))
+    return Tables(s, d).frame("customer").select("c_custkey", c.alias("c")).select("c_custkey", *[F.col("c")[k].alias(f"c{k}") for k in (1, 2, 3)])
+
+
+@query("select c_custkey, case when c_nationkey % 2 = 0 then c_name else 'none' end as name from customer")
+def map_path(s, d):
+    inner = F.when(F.col("c_nationkey") % 2 == 0, F.create_map(F.lit("name"), "c_name")).otherwise(F.create_map(F.lit("other"), "c_name"))
+    return Tables(s, d).frame("customer").select("c_custkey", nested.at_path(F.create_map(F.lit("is"), inner), ["is", "name"], "none").alias("name"))
+
+
+@query("select n_regionkey, (row_number() over (partition by n_regionkey order by n_nationkey) - 1)::int as row, unnest(['id', 'name']) as \"column\", unnest([n_nationkey::varchar, n_name || chr(13) || chr(10) || 'more ' || n_nationkey]) as value from nation")
+def fixed_width_cells(s, d):
+    """Nations by region as a table in text, with lines that go on, taken apart again."""
+    line = F.concat(F.rpad(F.col("n_nationkey").cast("string"), 6, " "), "n_name", F.lit("\n!     more "), F.col("n_nationkey").cast("string"))
+    tables = Tables(s, d).frame("nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))).alias("x"))
+    body = F.concat(F.lit("!id   !name\n"), F.array_join(F.transform("x", lambda v: v["line"]), "\n"))
+    cells = sections.table_cells(tables.select("n_regionkey", body.alias("body")))
+    return cells.select("n_regionkey", "row", "column", F.regexp_replace("value", "\r\n$", "").alias("value"))
+
+
+@query("select c_custkey, c_name as name, c_mktsegment as segment, '{\"\":\"' || c_name || '\",\"segment\":{\"\":\"' || c_mktsegment || '\",\"nation\":\"' || c_nationkey || '\"}}' as whole from customer")
+def indented_objects(s, d):
+    body = F.concat(F.lit("name: "), "c_name", F.lit("\n  # note\n  segment: "), "c_mktsegment", F.lit("\n    nation: "), F.col("c_nationkey").cast("string"))
+    got = sections.nested_json(Tables(s, d).frame("customer").select("c_custkey", body.alias("body")))
+    outer = F.from_json("json", "name map<string,string>")["name"]
+    return got.select("c_custkey", outer[""].alias("name"), F.from_json(outer["segment"], "map<string,string>")[""].alias("segment"), F.replace(F.get_json_object("json", "$.name"), F.lit(": "), F.lit(":")).alias("whole"))
+
+
+@query("select p_partkey, case p_partkey % 3 when 0 then 'png' when 1 then 'gif' else 'bmp' end as kind, p_partkey % 60000 as width, p_size::bigint as height from part")
+def image_sizes(s, d):
+    w, h = F.col("p_partkey") % 60000, F.col("p_size").cast("bigint")
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), binary.pack_be(w, 4), binary.pack_be(h, 4))
+    gif = F.concat(F.lit("GIF89a").cast("binary"), binary.pack_le(w, 2), binary.pack_le(h, 2))
+    bmp = F.concat(F.lit("BM").cast("binary"), F.unhex(F.repeat(F.lit("00"), F.lit(16))), binary.pack_le(w, 4), binary.pack_le(h, 4))
+    content = F.when(F.col("p_partkey") % 3 == 0, png).when(F.col("p_partkey") % 3 == 1, gif).otherwise(bmp)
+    return images.image_headers(Tables(s, d).frame("part").select("p_partkey", content.alias("content"))).drop("content")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -146,6 +146,14 @@ class Table:
         rows = self.select(S.QuerySpec(columns=tuple(columns), equals=equals, single=False)).limit(1).collect()
         return rows[0] if rows else default
 
+    def __rshift__(self, cond: dict) -> Row:
+        """The one row for the conditions, whose values are also put into the dictionary; raises if there is none."""
+        row = self.get(cond)
+        if row is None:
+            raise NotFoundError(f"no row for {cond!r}")
+        cond.update(row.asDict())
+        return row
+
     def gets(self, equals: dict, columns: Iterable[str] = (), limit: int | None = None, offset: int = 0, order: tuple[str, ...] = ()) -> DataFrame:
         return self.select(S.QuerySpec(columns=tuple(columns), equals=equals, limit=limit, offset=offset, order=order, single=False))
 

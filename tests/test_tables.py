@@ -33,6 +33,10 @@ def test_reads(abc):
         with pytest.raises(NotFoundError):
             abc[bad]
     assert abc.get({"a": 9}, "none") == "none"
+    asked = {"a": 2}
+    assert (abc >> asked).b == 2 and asked == {"a": 2, "b": 2, "c": 5}
+    with pytest.raises(NotFoundError):
+        abc >> {"a": 9}
     with pytest.raises(KeyError):
         abc[{"zz": 1}, ::]
     with pytest.raises(ValueError):
