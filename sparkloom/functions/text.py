@@ -124,7 +124,10 @@ def _units(c: Column) -> Column:
     space, opening, closing = in_class(BLANKS), in_class(OPENING), in_class(CLOSING)
     wide = f"[^\\x{{0}}-\\x{{ff}}{space}{opening}{closing}]"
     other = f"[\\x{{0}}-\\x{{ff}}{opening}{closing}&&[^{space}]]"
-    return F.regexp_extract_all(c, F.lit(f"(?:{other}*[{opening}])?{wide}[{closing}]*|{other}+|[{space}]"), F.lit(0))
+    full = F.regexp_extract_all(c, F.lit(f"(?:{other}*[{opening}])?{wide}[{closing}]*|{other}+|[{space}]"), F.lit(0))
+    # without wide characters there are runs only, and white space has few forms
+    plain = F.regexp_extract_all(c, F.lit(r"[^\t-\r\x1c-\x20\x85\xa0]+|[\t-\r\x1c-\x20\x85\xa0]"), F.lit(0))
+    return F.when(c.rlike(r"[^\x00-\xff]"), full).otherwise(plain)
 
 
 def _pieces(unit: Column, width: int) -> Column:
@@ -142,9 +145,11 @@ def _pieces(unit: Column, width: int) -> Column:
 
 def wrap(c: Column, width: int) -> Column:
     """A text's lines, as :func:`wrap_text` gives them, in built-in functions: units by one pattern, lines by a fold over units."""
-    step = lambda t, forced: F.struct(t.alias("t"), coarse_width(t).alias("w"), forced.alias("forced"))
-    units = F.transform(_units(c), lambda u: F.when(u.rlike(r"^\s$") | (F.ltrim(F.translate(u, BLANKS, " " * len(BLANKS))) == ""), F.lit(" ")).otherwise(u))
-    units = F.flatten(F.transform(units, lambda u: F.when(coarse_width(u) <= width, F.array(step(u, F.lit(False)))).otherwise(F.transform(_pieces(u, width), lambda p, i: step(p, i == 0)))))
+    narrow = lambda t: F.when(F.octet_length(t) == F.length(t), F.length(t)).otherwise(coarse_width(t))  # noqa: E731  no pattern for ASCII
+    step = lambda t, w, forced: F.struct(t.alias("t"), w.alias("w"), forced.alias("forced"))
+    units = F.transform(_units(c), lambda u: F.when(F.lit(BLANKS).contains(u), step(F.lit(" "), F.lit(1), F.lit(False))).otherwise(step(u, narrow(u), F.lit(False))))
+    cut = lambda u: F.transform(_pieces(u["t"], width), lambda p, i: step(p, narrow(p), i == 0))
+    units = F.flatten(F.transform(units, lambda u: F.when(u["w"] <= width, F.array(u)).otherwise(cut(u))))
     begin = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"), F.lit(0).alias("used"))
 
     def fill_line(a: Column, u: Column) -> Column:
@@ -166,15 +171,15 @@ def fill(c: Column, width: int) -> Column:
 def dedent(c: Column) -> Column:
     """The common leading white space of all lines taken off; lines of white space only become empty and don't count."""
 
-    def cut(lines: Column, least: Column, most: Column) -> Column:
-        # what the least and the greatest of sorted indents have in common, all have
-        same = F.size(F.filter(F.sequence(F.lit(0), F.length(least)), lambda i: F.left(least, i) == F.left(most, i))) - 1
-        return F.transform(lines, lambda x: F.when(F.trim(F.translate(x, "\t", " ")) == "", F.lit("")).otherwise(F.substring(x, same + 1, 2**31 - 1)))
-
+    blank = lambda x: F.trim(F.translate(x, "\t", " ")) == ""
     lines = F.split(c, "\n")
-    indents = F.transform(F.filter(lines, lambda x: F.trim(F.translate(x, "\t", " ")) != ""), lambda x: F.regexp_extract(x, r"^[ \t]*", 0))
-    least, most = F.coalesce(F.array_min(indents), F.lit("")), F.coalesce(F.array_max(indents), F.lit(""))
-    return F.array_join(cut(lines, least, most), "\n")
+    indents = F.transform(F.filter(lines, lambda x: ~blank(x)), lambda x: F.regexp_extract(x, r"^[ \t]*", 0))
+    ends = F.struct(F.coalesce(F.array_min(indents), F.lit("")).alias("least"), F.coalesce(F.array_max(indents), F.lit("")).alias("most"))
+    # what the least and the greatest of sorted indents have in common, all have
+    same = lambda e: F.size(F.filter(F.sequence(F.lit(0), F.length(e["least"])), lambda i: F.left(e["least"], i) == F.left(e["most"], i))) - 1
+    # in an array of one, so that it is worked out once and not for each line
+    known = F.transform(F.array(ends), lambda e: same(e))
+    return F.get(F.transform(known, lambda n: F.array_join(F.transform(lines, lambda x: F.when(blank(x), F.lit("")).otherwise(F.substring(x, n + 1, 2**31 - 1))), "\n")), F.lit(0))
 
 
 def split_word(c: Column, quotes: str = "\"'`") -> Column:
