@@ -92,4 +92,4 @@ def test_entry_without_the_subpackage(tmp_path):
     assert said.returncode == 0, said.stderr
     n, ops, ok = said.stdout.split()
     assert int(n) > 60 and ops == "0" and ok == "True"
-    assert len(queries.queries()) == 10 and all(f"op{k}_" in " ".join(queries.queries()) for k in range(1, 11))
+    assert len(queries.queries()) == 13 and all(f"op{k}_" in " ".join(queries.queries()) for k in range(1, 14))
