@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Bytes of an Arrow batch: Spark's own bound (64 MB, 10,000 rows) is held by each task at once in the JVM and in its Python worker.
+BATCH_BYTES = "4m"
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -28,6 +31,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends ``BATCH_BYTES`` to a Python worker at a time, or one row if it is longer.
+
+    The setting holds for what runs later too, as a returned DataFrame is run by the caller.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back.
 

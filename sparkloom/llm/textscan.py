@@ -28,6 +28,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+#: Bytes of text in a block: numpy's arrays over a block take many times as much, and an executor has several workers.
+BLOCK_BYTES = 1 << 19
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -52,13 +55,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def give_back() -> None:
-    """Return freed memory to the system: a Python worker goes on to other tasks, and what it keeps for itself others lack."""
+    """Return freed memory to the system, and the powers, which are soon made again: a Python worker goes on to other tasks or
+    waits for some, and what it keeps for itself others lack."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with about ``most`` bytes of text each; freed memory is given back when they end."""
     yield from _blocks(batches, column, most)
     give_back()

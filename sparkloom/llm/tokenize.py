@@ -257,6 +257,7 @@ def encoder(path: str) -> Encoder:
     """One encoder for each file and Python worker."""
     if path not in _made:
         _made[path] = Encoder(path)
+        S.give_back()  # the file's text and what was parsed from it
     return _made[path]
 
 
