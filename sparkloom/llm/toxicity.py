@@ -30,6 +30,8 @@ GAP = S.SPACE.copy()
 GAP[list(b'.,;:!?"()[]{}|')] = True
 #: A worker's table of scored words is emptied beyond so many; it is a cache only.
 MOST_WORDS = 500_000
+#: Training runs in the driver, so it works on so many words and documents at a time.
+TRAIN_WORDS, TRAIN_DOCS = 1 << 12, 128
 
 
 def means(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -115,6 +117,72 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int, sample_b
     return made.where(F.col("turn") <= last).orderBy("turn").select("toxic", "words").toArrow()  # at most sample_bytes
 
 
+class Bags:
+    """The words of the training documents, for the driver's memory in few and narrow numbers.
+
+    ``grams`` and ``begin``: the buckets of each distinct word, end to end.  ``word`` and ``edges``: the words of each document that has
+    any, end to end; ``have``: which documents these are.  All that is worked out over them is worked out slice by slice.
+    """
+
+    def __init__(self, table: pa.Table):
+        keys, ids = np.zeros(0, U), np.zeros(0, np.int32)  # hashes of the words so far, in order, and their numbers
+        grams, lens, word, counts = [], [], [], []
+        for batch in table.to_batches(max_chunksize=200):
+            buf, offs = S.raw(batch.column("words"))
+            starts, ends = S.runs(~GAP[buf], offs)
+            counts.append(np.bincount(S.owners(starts, offs), minlength=batch.num_rows))
+            for i in range(0, len(starts), TRAIN_WORDS):
+                part = slice(starts[i], ends[min(len(ends), i + TRAIN_WORDS) - 1])
+                begin, end = starts[i : i + TRAIN_WORDS] - part.start, ends[i : i + TRAIN_WORDS] - part.start
+                h = S.hash_spans(buf[part], begin, end)
+                new, first = np.unique(h, return_index=True)
+                at = np.searchsorted(keys, new)
+                fresh = keys[np.minimum(at, len(keys) - 1)] != new if len(keys) else np.ones(len(new), bool)
+                g, b = S.ngrams(buf[part], begin[first[fresh]], end[first[fresh]], LEAST, MOST, BITS)
+                numbers = np.arange(len(ids), len(ids) + fresh.sum(), dtype=np.int32)
+                keys, ids = np.insert(keys, at[fresh], new[fresh]), np.insert(ids, at[fresh], numbers)
+                grams.append(g)
+                lens.append(np.diff(b))
+                word.append(ids[np.searchsorted(keys, h)])
+        counts = np.concatenate(counts)
+        self.have = np.flatnonzero(counts)
+        self.edges = S.segments(counts[self.have])
+        if not len(self.have):
+            return
+        self.begin, self.word = S.segments(np.concatenate(lens)), np.concatenate(word)
+        self.grams = np.empty(self.begin[-1], np.int32)
+        del lens, word, keys, ids
+        at = len(self.grams)
+        while grams:  # each piece goes as soon as it is in its place
+            g = grams.pop()
+            self.grams[at - len(g) : at] = g
+            at -= len(g)
+        S.give_back()
+
+    def word_slices(self):
+        n = len(self.begin) - 1
+        return [(a, min(n, a + TRAIN_WORDS)) for a in range(0, n, TRAIN_WORDS)]
+
+    def documents(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents, and toxic documents, that each word is in."""
+        n = len(self.begin) - 1
+        toxic = np.repeat(y[self.have] == 1, np.diff(self.edges))
+        return np.bincount(self.word, minlength=n), np.bincount(self.word[toxic], minlength=n).astype(float)
+
+    def strongest(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each document's largest mean of a word's weights, and the first word that has it."""
+        score = np.concatenate([means(weights[self.grams[self.begin[a] : self.begin[z]]], self.begin[a : z + 1] - self.begin[a]) for a, z in self.word_slices()])
+        top, picked = np.zeros(len(self.have)), np.zeros(len(self.have), np.int64)
+        for a in range(0, len(self.have), TRAIN_DOCS):
+            z = min(len(self.have), a + TRAIN_DOCS)
+            word = self.word[self.edges[a] : self.edges[z]]
+            logit, begin = score[word], self.edges[a:z] - self.edges[a]
+            top[a:z] = np.maximum.reduceat(logit, begin)
+            at = np.flatnonzero(logit == np.repeat(top[a:z], np.diff(self.edges[a : z + 1])))
+            picked[a:z] = word[at[np.searchsorted(at, begin)]]
+        return top, picked
+
+
 def train(table: pa.Table, dims: int = 8, epochs: int = 40, rate: float = 0.3, prior: float = 5.0) -> Model:
     """Embeddings and softmax, jointly, through each document's strongest bag.
 
@@ -125,33 +193,15 @@ def train(table: pa.Table, dims: int = 8, epochs: int = 40, rate: float = 0.3, p
     none = Model(np.zeros(1 << BITS), -4.0)
     if not len(y) or not 0 < y.sum() < len(y):
         return none
-    keys, grams, begins, doc_word, doc_of = np.zeros(0, U), [], [], [], []
-    done = 0
-    for batch in table.to_batches(max_chunksize=200):
-        for part in S.blocks([batch], "words", 1 << 18):
-            buf, offs = S.raw(part.column("words"))
-            starts, ends = S.runs(~GAP[buf], offs)
-            h = S.hash_spans(buf, starts, ends)
-            doc_of.append(S.owners(starts, offs) + done)
-            doc_word.append(h)
-            new, first = np.unique(h, return_index=True)
-            fresh = ~np.isin(new, keys)
-            g, b = S.ngrams(buf, starts[first[fresh]], ends[first[fresh]], LEAST, MOST, BITS)
-            keys = np.concatenate([keys, new[fresh]])
-            grams.append(g)
-            begins.append(np.diff(b))
-            done += part.num_rows
-    grams, begin = np.concatenate(grams), S.segments(np.concatenate(begins))
-    doc_of, h = np.concatenate(doc_of), np.concatenate(doc_word)
-    order = np.argsort(keys)
-    word = order[np.searchsorted(keys[order], h)]
-    seen_in = np.bincount(word, minlength=len(keys))
-    toxic_in = np.bincount(word, weights=y[doc_of], minlength=len(keys))
+    bags = Bags(table)
+    if not len(bags.have):
+        return none
+    del table
+    seen_in, toxic_in = bags.documents(y)
     # documents of an n-gram, counted by its words
     n, t = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for a in range(0, len(keys), 50_000):
-        z = min(len(keys), a + 50_000)
-        part, lens = grams[begin[a] : begin[z]], np.diff(begin[a : z + 1])
+    for a, z in bags.word_slices():
+        part, lens = bags.grams[bags.begin[a] : bags.begin[z]], np.diff(bags.begin[a : z + 1])
         n += np.bincount(part, weights=np.repeat(seen_in[a:z], lens), minlength=1 << BITS)
         t += np.bincount(part, weights=np.repeat(toxic_in[a:z], lens), minlength=1 << BITS)
     share = toxic_in.sum() / max(1, seen_in.sum())
@@ -159,47 +209,45 @@ def train(table: pa.Table, dims: int = 8, epochs: int = 40, rate: float = 0.3, p
     rng = np.random.Generator(np.random.PCG64(7))
     emb = rng.normal(0, 0.01, (1 << BITS, dims))
     emb[:, 0] = odds
+    del n, t, odds, seen_in, toxic_in
     soft = rng.normal(0, 0.01, (dims, 2))
     soft[0] = (-0.5, 0.5)
     bias = np.zeros(2)
     weight = np.where(y == 1, 0.5 * len(y) / max(1, y.sum()), 0.5 * len(y) / max(1, len(y) - y.sum()))
     weight /= weight.sum()
-    edges = np.flatnonzero(np.append(True, doc_of[1:] != doc_of[:-1]))
-    have = doc_of[edges]
+    have, grams, begin = bags.have, bags.grams, bags.begin
     squares = [np.full_like(x, 1e-6) for x in (soft, bias)]
-    emb_squares = np.full_like(emb, 1e-6)
-    logit = means((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)[grams], begin)[word]
-    top = np.maximum.reduceat(logit, edges)
+    # an n-gram's squares are kept from its first pull on: few are ever in a strongest bag
+    slot, emb_squares = np.full(1 << BITS, -1, np.int32), np.zeros((0, dims))
+    top, _ = bags.strongest((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32))
     bias[1] = -_best_cut(top, y[have], weight[have])  # where the first maxima split best
     for _ in range(epochs):
         diff = soft[:, 1] - soft[:, 0]
-        logit = means((emb @ diff).astype(np.float32)[grams], begin)[word]
-        top = np.maximum.reduceat(logit, edges)
-        at = np.flatnonzero(logit == np.repeat(top, np.diff(np.append(edges, len(logit)))))
-        at = at[np.append(True, doc_of[at][1:] != doc_of[at][:-1])]  # each document's strongest bag
+        top, picked = bags.strongest((emb @ diff).astype(np.float32))
         p = 1 / (1 + np.exp(-(top + bias[1] - bias[0])))
         err = (p - y[have]) * weight[have]
         err[np.abs(p - y[have]) < 0.02] = 0
-        picked = word[at]
         lens = begin[picked + 1] - begin[picked]
         flat = grams[np.arange(lens.sum()) + np.repeat(begin[picked] - (np.cumsum(lens) - lens), lens)]
         per = np.repeat(err / np.maximum(1, lens), lens)
         who = np.repeat(np.arange(len(picked)), lens)
-        bags = np.zeros((len(picked), dims))
-        np.add.at(bags, who, emb[flat] / np.maximum(1, lens)[who, None])
-        g_soft = np.stack([-(err @ bags), err @ bags], 1)
+        means_of = np.zeros((len(picked), dims))
+        np.add.at(means_of, who, emb[flat] / np.maximum(1, lens)[who, None])
+        g_soft = np.stack([-(err @ means_of), err @ means_of], 1)
         g_bias = np.array([-err.sum(), err.sum()])
         pull = np.bincount(flat, weights=per, minlength=1 << BITS)
         live = np.flatnonzero(pull)
         g_emb = pull[live, None] * diff
-        emb_squares[live] += g_emb**2
-        emb[live] -= rate * g_emb / np.sqrt(emb_squares[live])
+        new = live[slot[live] < 0]
+        slot[new] = np.arange(len(emb_squares), len(emb_squares) + len(new))
+        emb_squares = np.concatenate([emb_squares, np.full((len(new), dims), 1e-6)])
+        emb_squares[slot[live]] += g_emb**2
+        emb[live] -= rate * g_emb / np.sqrt(emb_squares[slot[live]])
         for x, g, s in ((soft, g_soft, squares[0]), (bias, g_bias, squares[1])):
             s += g**2
             x -= 0.1 * rate * g / np.sqrt(s)
     weights = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
-    logit = means(weights[grams], begin)[word]
-    top = np.maximum.reduceat(logit, edges)
+    top, _ = bags.strongest(weights)
     return Model(weights, min(-_best_cut(top, y[have], weight[have]), -0.1))
 
 
@@ -237,7 +285,10 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 5_000, sample_bytes: int = 16 << 20) -> Model:
-    return train(training_rows(docs, labels, sample_rows, sample_bytes))
+    try:
+        return train(training_rows(docs, labels, sample_rows, sample_bytes))
+    finally:
+        S.give_back()  # the driver has other stages to run
 
 
 def drop_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
