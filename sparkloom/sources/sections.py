@@ -31,11 +31,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _blank(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"\s+", " ")) == ""
+    return ~line.rlike(r"\S")
 
 
 def _marked(line: Column) -> Column:
-    return F.ltrim(F.regexp_replace(line, r"^\s+", "")).startswith(MARK)
+    return line.contains(MARK) & line.rlike(rf"^\s*{MARK}")
 
 
 def _all(parts: list[Column]) -> Column:
@@ -53,12 +53,10 @@ def _parsed(df: DataFrame, keep: list[str]) -> DataFrame:
     options = F.when(typed, F.regexp_extract("__rest", TITLE, 4)).otherwise(F.regexp_extract("__rest", UNTYPED, 2))
     df = df.withColumns({"name": got(1, F.regexp_extract("__rest", UNTYPED, 1)), "type": F.coalesce(F.lower(got(2)), F.lit("value")), "args": got(3), "__options": options})
     df = df.withColumns({"alias": F.nullif(F.regexp_extract("__options", r"\sas\s+(?!ends\s)(\S+)", 1), F.lit("")), "__ends": F.coalesce(F.nullif(F.regexp_extract("__options", r"\sends\s+E([123])", 1), F.lit("")), F.lit("1"))})
-    # the first run of so many blank lines, those behind the last line among them
-    blank = F.transform("lines", _blank)
-    df = df.withColumn("__blank", blank)
-    run = lambda n: F.array_position(F.transform("__blank", lambda x, i: x & _all([F.coalesce(F.get("__blank", i + k), F.lit(True)) for k in range(1, n)])), True)
-    stop = F.when(F.col("__ends") == "1", run(1)).when(F.col("__ends") == "2", run(2)).otherwise(run(3))
-    df = df.withColumn("__n", F.when(stop > 0, stop - 1).otherwise(F.size("lines")).cast("int")).withColumn("__indent", F.expr(f"locate('{MARK}', title)"))
+    # up to the first run of so many blank lines, those behind the last line among them; found in a string of one letter for each line: were it looked
+    # up in an array from within a lambda, a condition that Spark moves down here would work the array out again for each line
+    marks = F.concat(F.array_join(F.transform("lines", lambda x: F.when(_blank(x), "b").otherwise("t")), ""), F.lit("bbb"))
+    df = df.withColumn("__n", F.position(F.repeat(F.lit("b"), F.col("__ends").cast("int")), marks) - 1).withColumn("__indent", F.expr(f"locate('{MARK}', title)"))
     body = F.array_join(F.transform(F.slice("lines", F.lit(1), F.col("__n")), lambda x: F.substr(x, F.col("__indent"))), "\n")
     return df.select(*keep, "name", "type", "args", "alias", body.alias("body"))
 
@@ -104,7 +102,8 @@ def object_pairs(rows: DataFrame, body: str = "body") -> DataFrame:
     # sorted by key, the last line of a key first, so each looks at its neighbour only
     ordered = F.array_sort(entry)
     last = F.filter(F.zip_with(ordered, F.concat(F.array(F.lit(None).cast("string")), F.transform(ordered, lambda e: e["k"])), lambda e, k: F.when(e["k"].isNotNull() & ~e["k"].eqNullSafe(k), F.struct(e["k"], e["v"]))), lambda e: e.isNotNull())
-    return rows.withColumn("pairs", F.map_from_entries(last))
+    # from a generator, else exploding the pairs has Spark ask for their size before any other condition on the rows, thus for those of all sections
+    return rows.withColumn("pairs", F.explode(F.array(F.map_from_entries(last))))
 
 
 def parse_nested(text: str) -> str:

@@ -88,6 +88,19 @@ def test_sections(spark):
     assert sections.nested_json(s.where("name = 'deep'")).first().json == '{"a": {"": "1", "b": {"": "2", "c": "3"}}, "d": "4"}'
 
 
+def test_a_condition_on_sections_is_asked_once_for_each(spark):
+    """No condition that Spark moves down works a section's lines out again line by line, nor for sections of other types."""
+    long = "##!# a .value ends E2\n" + "x: y\n\n" * 500 + "\nleft out: z\n\n##!# b .object ends E3\n" + "k: 1\n\n\nm: 2\n" * 2 + "\n\n\n\nn: 3"
+    found = sections.sections(spark.createDataFrame([(1, long)], "id int, text string"), "id")
+    pairs = sections.object_pairs(found.where("type = 'object'")).select(F.explode("pairs").alias("key", "value"))
+    assert sorted(map(tuple, pairs.collect())) == [("k", "1"), ("m", "2")]
+    bodies = found.where("body like '%y'").select("body")
+    assert bodies.first().body == "x: y\n\n" * 499 + "x: y" and bodies.count() == 1
+    conditions = lambda df: [x for x in df._jdf.queryExecution().optimizedPlan().toString().split("+- ") if x.startswith("Filter")]
+    assert conditions(pairs) and not any("lines" in x for x in conditions(pairs))
+    assert sum(x.count("transform(") for x in conditions(bodies)) == 2  # marks of lines and lines of the body, side by side
+
+
 def test_table_columns_begin_at_marks():
     assert sections.column_starts(["!id !name   !city"]) == [(0, "id"), (4, "name"), (12, "city")]
     assert sections.parse_table("!a !b\n1  2 3\n! x 4") == [{"row": 0, "col": 0, "name": "a", "value": "1\r\nx"}, {"row": 0, "col": 1, "name": "b", "value": "2 3\r\n4"}]
